@@ -70,31 +70,33 @@ def fingerprint(docs: DataFrame, text: str = "text", k: int = K, w: int = W) ->
     return docs.withColumn("fingerprint", chosen(F.coalesce(F.col(text), F.lit("")), k, w))
 
 
-def with_next(docs: DataFrame, per_range: int = 4096) -> DataFrame:
-    """Add next_text and next_fingerprint: those of the next row in order of doc_id, text; after the last row, the first's.
+def with_next(docs: DataFrame, per_range: int = 4096, k: int = K, w: int = W) -> DataFrame:
+    """Add fingerprint, next_text and next_fingerprint: those of the next row in order of doc_id, text; after the last row, the first's.
 
     Rows are dealt to ranges of doc_id of about ``per_range`` rows, whose
     width follows from the smallest and largest id and the count. Within a
     range the next row is the following one; the last row of a range takes
     the first row of the next range that has any. Only one bigint per range
-    meets in one task. Null ids come first. Needs the columns doc_id, text
-    and fingerprint.
+    meets in one task. Null ids come first. Needs the columns doc_id and
+    text.
     """
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     ranges = max(1, -(-(n or 0) // per_range))
     width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
     span = F.coalesce(F.floor((F.col("doc_id") - (low or 0)) / width), F.lit(-1)).cast("bigint")
-    dealt = docs.withColumn("span", span)
+    dealt = fingerprint(docs.select("doc_id", "text"), "text", k, w).withColumn("span", span)
     order = Window.partitionBy("span").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     led = dealt.withColumns({
         "next_text": F.lead("text").over(order), "next_fingerprint": F.lead("fingerprint").over(order), "is_last": F.lead(F.lit(False), 1, True).over(order),
     })
-    firsts = dealt.groupBy("span").agg(F.min("doc_id").alias("first_id"))
+    firsts = docs.select("doc_id", span.alias("span")).groupBy("span").agg(F.min("doc_id").alias("first_id"))
     by_span = Window.orderBy("span")
     heads = firsts.select("span", "first_id", F.lead("span").over(by_span).alias("after"), F.min("span").over(by_span).alias("start")).select(
         "span", F.coalesce("after", "start").alias("after"))
-    first_text = dealt.join(F.broadcast(firsts.select(F.col("span").alias("of"), "first_id")), (F.col("span") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    first_row = first_text.groupBy("of").agg(F.min(F.struct("text", "fingerprint")).alias("head"))
+    # The texts of the few first rows are read again, before fingerprints are made, rather than making all of them twice.
+    first_text = docs.select("doc_id", "text").withColumn("span", span).join(
+        firsts.select(F.col("span").alias("of"), "first_id"), (F.col("span") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    first_row = fingerprint(first_text.groupBy("of").agg(F.min("text").alias("text")), "text", k, w).select("of", F.struct("text", "fingerprint").alias("head"))
     turn = heads.join(first_row, heads["after"] == first_row["of"]).select(F.col("span").alias("last_of"), "head")
     return led.join(turn, (F.col("span") == F.col("last_of")) & F.col("is_last"), "left").select(
         "doc_id", "text", "fingerprint", F.coalesce("next_text", "head.text").alias("next_text"),
@@ -104,7 +106,7 @@ def with_next(docs: DataFrame, per_range: int = 4096) -> DataFrame:
 
 def compare_with_edit(docs: DataFrame) -> DataFrame:
     """The contract's columns: every document, its edited text, and the next document."""
-    own = fingerprint(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n, t = F.length("text"), F.col("text")
     cut = F.floor(F.length("text") / 4).cast("int")
     edited = with_next(own).withColumn("edited", F.concat(F.substring(t, F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut)))
