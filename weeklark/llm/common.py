@@ -70,6 +70,15 @@ class Scratch:
         _remove(self.spark, f"{self.path}/{name}")
 
 
+#: A table of a few numbers a row is broadcast up to this many rows, and joined by shuffling beyond.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast ``df`` if its known number of rows allows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body`` as a bound variable."""
     return F.element_at(F.transform(F.array(value), body), 1)
