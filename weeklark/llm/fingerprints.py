@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, steps
+from .common import let, small, steps
 
 K = 5
 W = 16
@@ -95,7 +95,7 @@ def with_next(docs: DataFrame, per_range: int = 4096, k: int = K, w: int = W) ->
         "span", F.coalesce("after", "start").alias("after"))
     # The texts of the few first rows are read again, before fingerprints are made, rather than making all of them twice.
     first_text = docs.select("doc_id", "text").withColumn("span", span).join(
-        firsts.select(F.col("span").alias("of"), "first_id"), (F.col("span") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+        small(firsts.select(F.col("span").alias("of"), "first_id"), ranges), (F.col("span") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     first_row = fingerprint(first_text.groupBy("of").agg(F.min("text").alias("text")), "text", k, w).select("of", F.struct("text", "fingerprint").alias("head"))
     turn = heads.join(first_row, heads["after"] == first_row["of"]).select(F.col("span").alias("last_of"), "head")
     return led.join(turn, (F.col("span") == F.col("last_of")) & F.col("is_last"), "left").select(
