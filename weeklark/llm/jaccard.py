@@ -7,8 +7,9 @@ sets' Jaccard similarity is at least ``NUM / DEN``. The result is exact up to
 1. Sets. One pass over the texts gives each document's set size, a 128-bit
    key of its set and three min-hashes, and adds all its tokens to a
    fixed-size count sketch. Documents of equal sets are one set from here on.
-2. Groups. Sets that share a min-hash are compared with the smallest of
-   their bucket; verified links make groups of similar sets, which are
+2. Groups. Sets that share a min-hash are compared with the first of their
+   bucket and, where that fails, with up to ``LEADERS`` others that failed
+   before them; verified links make groups of similar sets, which are
    components already. A group is stored in cells of about ``CELL`` sets.
    Buckets are dealt by size, so a bucket with a third of all sets is many
    small tasks.
@@ -19,7 +20,12 @@ sets' Jaccard similarity is at least ``NUM / DEN``. The result is exact up to
    holds, for each token, the cells whose union of first tokens has it.
 4. Bounds. Cells of different groups are counted over their common tokens.
    A pair of cells qualifies if the count reaches the smaller need, and the
-   sizes of their sets allow a link.
+   sizes of their sets allow a link. A token that more than ``HOT`` cells
+   have is not paired up; each cell counts such tokens instead, and the need
+   of a pair falls by the smaller of its two counts. Cells whose own count
+   alone could meet a need (a known, usually small part) go through steps 3
+   and 4 once more among themselves, with all their tokens ordered by exact
+   frequency there, and all pairs.
 5. Opening. Only for qualifying pairs are whole sets read: each set of one
    cell is bounded by its overlap with the other cell's token union, and
    compared with that cell's sets if the bound allows. One link ties two
@@ -55,6 +61,9 @@ NEED = 20
 SKETCH_BITS, BLOCK_BITS = 21, 15
 #: Members of a min-hash bucket that one task compares with the bucket's smallest set.
 DEAL = 2000
+LEADERS = 16
+#: Cells of a token up to which they are paired up at once.
+HOT = 16
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -174,17 +183,22 @@ def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), *part.columns[1:]], ["tokens", *part.schema.names[1:]])
 
 
-def _against_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by leader and deal, the leader's own first: links of members with their leader."""
-    held, leader = np.empty(0, np.uint64), None
+def _against_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by leader and deal, the leader's own first: links of members with it or with members that it didn't link."""
+    held: list[tuple[int, np.ndarray]] = []
+    now = None
     for batch in batches:
         a, b = [], []
         for of, deal, doc, tokens in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             own = np.frombuffer(tokens, np.uint64)
-            if doc == of:
-                held, leader = own, (of, deal)
-            elif leader == (of, deal) and linked(held, own):
-                a.append(of)
+            if now != (of, deal):
+                held, now = [], (of, deal)
+            found = next((x for x, other in held if linked(other, own)), None)
+            if found is None:
+                if len(held) < LEADERS:
+                    held.append((doc, own))
+            elif found != doc:
+                a.append(found)
                 b.append(doc)
         yield _rows([a, b], (pa.int64(), pa.int64()), ["a", "b"])
 
@@ -247,9 +261,19 @@ def _pairs_of(cells: np.ndarray, groups: np.ndarray, starts: np.ndarray, sizes:
                     yield cells[left[apart]], cells[right[apart]]
 
 
-def _common_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token, then cell: pairs of cells with how many tokens of this batch they share."""
-    carry = np.empty((3, 0), np.int64)
+def _common_tokens(limit: int | None):
+    """Rows sorted by token, then cell: pairs of cells with how many tokens of this batch they share.
+
+    A token of more than ``limit`` cells yields its cells alone, with a null partner.
+    """
+    kinds, names = (pa.int64(), pa.int64(), pa.int64()), ["ca", "cb", "n"]
+
+    def tallied(held) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        return _rows([a[first], b[first], np.diff(np.append(first, len(a)))], kinds, names)
 
     def counted(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not rows.shape[1]:
@@ -258,6 +282,11 @@ def _common_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         token, cell, group = rows[:, new]
         starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         sizes = np.diff(np.append(starts, len(token)))
+        if limit is not None and (sizes > limit).any():
+            mixed = np.maximum.reduceat(group, starts) != np.minimum.reduceat(group, starts)
+            hot, n = np.unique(cell[np.repeat((sizes > limit) & mixed, sizes)], return_counts=True)
+            yield _rows([hot, [None] * len(hot), n], kinds, names)
+            starts, sizes = starts[sizes <= limit], sizes[sizes <= limit]
         held, n = [], 0
         for pair in _pairs_of(cell, group, starts, sizes):
             held.append(pair)
@@ -268,21 +297,53 @@ def _common_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if held:
             yield tallied(held)
 
-    def tallied(held) -> pa.RecordBatch:
-        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(np.diff(np.append(first, len(a))))], ["ca", "cb", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = np.empty((3, 0), np.int64)
+        for batch in batches:
+            rows = np.concatenate((carry, np.array([batch.column(i).to_numpy() for i in range(3)])), axis=1)
+            if not rows.shape[1]:
+                continue
+            cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last token's run may go on
+            carry = rows[:, cut:]
+            yield from counted(rows[:, :cut])
+        yield from counted(carry)
 
+    return run
+
+
+def _counted_pairs(postings: DataFrame, limit: int | None) -> DataFrame:
+    """(ca, cb, n): pairs of cells and their common tokens; with a null cb, a cell's tokens beyond the limit."""
+    dealt = postings.repartition(F.col("token")).sortWithinPartitions("token", "cell")
+    return dealt.mapInArrow(_common_tokens(limit), "ca bigint, cb bigint, n bigint").groupBy("ca", "cb").agg(F.sum("n").alias("n"))
+
+
+def _qualified(pairs: DataFrame, stats: DataFrame) -> DataFrame:
+    """The pairs whose count reaches the need that is left after unpaired tokens, and whose sizes allow a link."""
+    sa, sb = (stats.select(*[F.col(c).alias(f"{c}_{x}") for c in stats.columns]) for x in "ab")
+    both = pairs.join(sa, F.col("ca") == F.col("cell_a")).join(sb, F.col("cb") == F.col("cell_b"))
+    need = F.greatest(F.least("need_a", "need_b") - F.least("hot_a", "hot_b"), F.lit(1))
+    return both.filter(
+        (F.col("n") >= need) & (F.col("high_a") * DEN >= F.col("low_b") * NUM) & (F.col("high_b") * DEN >= F.col("low_a") * NUM)
+    ).select("ca", "cb", "grp_a", "grp_b")
+
+
+def _by_frequency(sets: DataFrame) -> DataFrame:
+    """Postings of first tokens under the exact order by frequency among ``sets`` (rep, cell, grp, n, tokens)."""
+    rows = sets.select("tokens", "cell", "grp", "rep", "n").mapInArrow(_all_tokens, "token bigint, cell bigint, grp bigint, rep bigint, n bigint")
+    often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
+    ordered = rows.join(often, "token").groupBy("rep", "cell", "grp", "n").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("all"))
+    first = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + F.greatest(F.lit(1), F.floor(F.col("n") / NEED))
+    return ordered.select(F.explode(F.slice("all", F.lit(1), first.cast("int"))).alias("x"), "cell", "grp").select(F.col("x.token").alias("token"), "cell", "grp")
+
+
+def _all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = np.concatenate((carry, np.array([batch.column(i).to_numpy() for i in range(3)])), axis=1)
-        if not rows.shape[1]:
-            continue
-        cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last token's run may go on
-        carry = rows[:, cut:]
-        yield from counted(rows[:, :cut])
-    yield from counted(carry)
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            sets = [np.frombuffer(x, np.int64) for x in part.column(0).to_pylist()]
+            sizes = [len(x) for x in sets]
+            columns = [np.concatenate(sets) if sets else np.empty(0, np.int64)] + [np.repeat(part.column(i).to_numpy(), sizes) for i in (1, 2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "cell", "grp", "rep", "n"])
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,8 +376,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n_stars = stars.count()
     chosen = pair.join(small(stars, n_stars), pair["doc_id"] == stars["rep"]).select("text", "leader", "deal", "rep")
     spread = chosen.mapInArrow(_to_sets, "tokens binary, leader bigint, deal bigint, rep bigint").select("leader", "deal", "rep", "tokens")
-    sorted_ = spread.repartition(F.col("leader"), F.col("deal")).withColumn("other", F.col("rep") != F.col("leader")).sortWithinPartitions("leader", "deal", "other")
-    star_links = scratch.write(sorted_.drop("other").mapInArrow(_against_leader, "a bigint, b bigint"), "star-links")
+    sorted_ = spread.repartition(F.col("leader"), F.col("deal")).withColumn("other", F.col("rep") != F.col("leader")).sortWithinPartitions("leader", "deal", "other", "rep")
+    star_links = scratch.write(sorted_.drop("other").mapInArrow(_against_leaders, "a bigint, b bigint"), "star-links")
     groups = components(star_links, scratch, "groups")
     grouped = sets.join(groups, sets["rep"] == groups["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("grp"))
     sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
@@ -329,15 +390,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     firsts = pair.mapInArrow(_first_tokens(ranks), "doc_id bigint, key binary, firsts binary")
     placed = firsts.join(small(members.select("key", "rep", "cell", "grp"), n_members).withColumnRenamed("key", "of"), (F.col("key") == F.col("of")) & (F.col("doc_id") == F.col("rep")))
     postings = placed.select("firsts", "cell", "grp").mapInArrow(_postings, "token bigint, cell bigint, grp bigint")
-    shared = postings.repartition(F.col("token")).sortWithinPartitions("token", "cell").mapInArrow(_common_tokens, "ca bigint, cb bigint, n bigint")
-    counts = shared.groupBy("ca", "cb").agg(F.sum("n").alias("n"))
+    counts = scratch.write(_counted_pairs(postings, HOT), "counts")
+    hot = counts.filter(F.col("cb").isNull()).select(F.col("ca").alias("of"), F.col("n").alias("hot"))
     need = F.min(F.greatest(F.lit(1), F.floor(F.col("n") / NEED)))
     stats = members.groupBy("cell").agg(F.first("grp").alias("grp"), need.alias("need"), F.min("n").alias("low"), F.max("n").alias("high"))
-    sa, sb = (stats.select(*[F.col(c).alias(f"{c}_{x}") for c in stats.columns]) for x in "ab")
-    qualified = scratch.write(
-        counts.join(sa, F.col("ca") == F.col("cell_a")).join(sb, F.col("cb") == F.col("cell_b")).filter(
-            (F.col("n") >= F.least("need_a", "need_b")) & (F.col("high_a") * DEN >= F.col("low_b") * NUM) & (F.col("high_b") * DEN >= F.col("low_a") * NUM)
-        ).select("ca", "cb", "grp_a", "grp_b"), "qualified")
+    stats = scratch.write(stats.join(hot, F.col("cell") == F.col("of"), "left").select("cell", "grp", "need", "low", "high", F.coalesce("hot", F.lit(0)).alias("hot")), "stats")
+    found = _qualified(counts.filter(F.col("cb").isNotNull()), stats)
+    # A linked set may be a quarter smaller, and so may its need.
+    again = stats.filter(F.col("hot") >= F.greatest(F.lit(1), F.floor(F.floor(F.col("low") * NUM / DEN) / NEED)))
+    rest = scratch.write(members.join(again.select("cell"), "cell").select("key", "rep", "cell", "grp", F.col("n").cast("bigint").alias("n")), "rest")
+    n_rest = rest.count()
+    if n_rest:
+        texts = pair.join(small(rest, n_rest), pair["doc_id"] == rest["rep"]).select("text", "key", "rep", "cell", "grp", "n")
+        whole_sets = texts.mapInArrow(_to_sets, "tokens binary, key binary, rep bigint, cell bigint, grp bigint, n bigint").dropDuplicates(["rep"])
+        pairs = _counted_pairs(_by_frequency(scratch.write(whole_sets, "rest-sets")), None)
+        found = found.unionByName(_qualified(pairs, stats.withColumn("hot", F.lit(0).cast("bigint")))).distinct()
+    qualified = scratch.write(found, "qualified")
 
     # Whole sets of qualifying cells only.
     wanted = scratch.write(
