@@ -134,7 +134,9 @@ def stl_seasonal(y: np.ndarray, season: int, outer: int = 2, inner: int = 2) ->
             for p in range(season):
                 seasonal[p::season] = _loess(free[p::season], 7, weights[p::season])
             kernel = np.ones(season) / season
-            low = np.convolve(np.pad(seasonal, (season // 2, season - 1 - season // 2), mode="edge"), kernel, "valid")
+            before, after = season // 2, season - 1 - season // 2  # the ends go on with the cycle next to them
+            wide = np.concatenate((seasonal[season - before:season], seasonal, seasonal[n - season:n - season + after]))
+            low = np.convolve(wide, kernel, "valid")
             seasonal = seasonal - low
             trend = _loess(y - seasonal, int(1.5 * season) | 1, weights)
         rest = np.abs(y - trend - seasonal)

@@ -71,7 +71,9 @@ def with_forecasts(series: DataFrame, names: Sequence[str], horizon: int, wanted
         slim = fed.select(ID, "y", "dates", *([wanted] if wanted else []))
         kind = slim.schema[ID].dataType.simpleString()
         more = slim.mapInPandas(_python(python, horizon, wanted, [ID]), f"`{ID}` {kind}, `__more` array<{_ONE}>")
-        out = out.join(more, ID).withColumn(FORECASTS, F.array_sort(F.concat(FORECASTS, "__more"), _by_order)).select(*keep)
+        # pandas hands NaN over as null.
+        whole = F.transform("__more", lambda x: x.withField("f", F.transform(x["f"], lambda v: F.coalesce(v, nan()))))
+        out = out.join(more, ID).withColumn(FORECASTS, F.array_sort(F.concat(F.col(FORECASTS), whole), _by_order)).select(*keep)
     else:
         out = out.withColumn(FORECASTS, F.array_sort(FORECASTS, _by_order))
     return out
