@@ -1,0 +1,283 @@
+"""Secrets, fingerprints, chat, sharding, language ID, packing and HTML against brute force, round trips and held-out accuracy."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from weeklark.llm import chat, fingerprints, html, langid, packing, queries, secrets, sharding
+
+
+def docs_of(spark, texts):
+    rows = list(texts.items()) if isinstance(texts, dict) else list(enumerate(texts))
+    return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
+# Secrets
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def base_spans(text):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def entropy_spans(text):
+    base, found = base_spans(text), []
+    for m in re.finditer(secrets.CANDIDATE, text):
+        w = m[0]
+        if not re.search("[0-9]", w) or not re.search("[A-Za-z]", w) or re.search(secrets.ALLOWED, w) or any(s < m.end() and e > m.start() for s, _, e in base):
+            continue
+        least = secrets.CLASSES["hexadecimal" if re.fullmatch("[0-9a-fA-F]+", w) else "mixed"][1]
+        hot = [i for i in range(len(w) - secrets.WINDOW + 1) if -sum(
+            c / secrets.WINDOW * math.log2(c / secrets.WINDOW) for c in Counter(w[i:i + secrets.WINDOW]).values()) >= least]
+        if hot:
+            found.append((m.start() + hot[0], 3, m.start() + hot[-1] + secrets.WINDOW))
+    return found
+
+
+TEXTS = [
+    "", None, 'password = "hunter22"', "Token:abc", "token=token:abcdef1", "api_key='x9/+=-_.A' API_KEY: zzzzzz", "secret: short secret=longenough1", "AKIA" + "A" * 16,
+    "AKIAAKIA" + "0" * 14, "x" * 24 + "abcdef0123456789abcdef01", "é😀 passwd=ünïcode passwd=unicode1 😀", "0123456789abcdef01234567é" * 300, "key aB3xZ9qLm2Vt7KpR4sYw8N",
+    "123e4567-e89b-12d3-a456-426614174000", "aaaaaaaaaaaaaaaaaaaa1111", "example" + "aB3xZ9qLm2Vt7KpR4sYw8N", "Q7" * 30, "9f86d081884c7d659a2feaa0", "9F86D081884C7D659A2FEAA0C55AD015",
+    "pre aB3xZ9qLm2Vt7KpR4sYw8Naaaaaaaaaaaaaaaaaaaaaaaaaaaaaa post", "token = token = token = abcdefg", "ſecret=abcdefgh ToKeN\"  :  'abcdefgh'",
+]
+
+
+def test_secrets_match_by_hand(spark):
+    got = {r["doc_id"]: r for r in secrets.digest(secrets.scan(docs_of(spark, TEXTS))).collect()}
+    name = lambda spans: ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+    for i, text in enumerate(TEXTS):
+        base, extra = base_spans(text or ""), entropy_spans(text or "")
+        assert got[i]["base_sha256"] == hashlib.sha256(name(base).encode()).hexdigest(), text
+        assert got[i]["spans"] == name(sorted(base + extra)), text
+        assert (got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]) == tuple(sum(k == x for _, k, _ in base) for x in range(3))
+    assert got[12]["n_entropy"] == 1 and got[13]["n_entropy"] == 0 and got[15]["n_entropy"] == 0
+
+
+def test_secrets_in_random_texts(spark):
+    r = random.Random(4)
+    bits = ["token", "secret", "password", "api_key", "apikey", "=", ":", " ", '"', "'", "abcdef", "AKIA", "0123456789", "Zx9", "é", "\n", "deadbeef", "ABCDEFGHIJKLMNOP", "."]
+    texts = ["".join(r.choices(bits, k=r.randint(1, 60))) for _ in range(300)]
+    got = {x["doc_id"]: x for x in secrets.digest(secrets.scan(docs_of(spark, texts))).collect()}
+    for i, text in enumerate(texts):
+        assert got[i]["spans"] == ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(base_spans(text) + entropy_spans(text))), text
+
+
+def test_redaction(spark):
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs_of(spark, {1: "a token=abcdef1 b", 2: None, 3: "plain"})).collect()}
+    assert out == {1: "a [SECRET] b", 2: None, 3: "plain"}
+    assert secrets.scan(docs_of(spark, {1: "x"}).limit(0)).count() == 0
+
+
+# Fingerprints
+
+def test_fingerprints_by_hand(spark):
+    r = random.Random(6)
+    texts = ["", None, "one", "a b c d", "a b c d e", " ".join("ab" for _ in range(60)), "x" * 2000] + [" ".join(r.choices([f"w{i}" for i in range(40)], k=r.randint(1, 120))) for _ in range(40)]
+    rows = {x["doc_id"]: x["fingerprint"] for x in fingerprints.fingerprint(docs_of(spark, texts)).collect()}
+    pieces = spark.createDataFrame([(t, " ".join(map(str, range(0)))) for t in ["x"]], "a string, b string")
+    del pieces
+    for i, text in enumerate(texts):
+        tokens = re.findall(r"[^\x20\x09-\x0D]{1,%d}" % fingerprints.PIECE, text or "")
+        found = [(p >> 31, (1 << 31) - 1 - (p & ((1 << 31) - 1))) for p in rows[i]]
+        n = max(len(tokens) - fingerprints.K + 1, min(len(tokens), 1))
+        assert [p for _, p in found] == sorted({p for _, p in found}) and all(0 <= p < n for _, p in found)
+        assert bool(found) == bool(tokens)
+        # Every window has a chosen place, so no two neighbours are more than a window apart.
+        places = [p for _, p in found]
+        assert all(b - a <= fingerprints.W for a, b in zip(places, places[1:]))
+        by_place = dict((p, h) for h, p in found)
+        if len(tokens) >= fingerprints.K:
+            same = {}
+            for p, h in by_place.items():
+                assert same.setdefault(tuple(tokens[p:p + fingerprints.K]), h) == h
+    assert [p for p in rows[5]][-1:] and len(set(p >> 31 for p in rows[5])) == 1
+    last = (1 << 31) - 1 - (rows[5][0] & ((1 << 31) - 1))
+    assert last == fingerprints.W - 1  # ties go to the right
+
+
+def test_edits_and_next_documents(spark):
+    r = random.Random(7)
+    texts = {i * 3: " ".join(r.choices([f"w{j}é" for j in range(500)], k=r.randint(0, 90))) for i in range(30)} | {1000: None, 10**12: "far away " * 40}
+    df = docs_of(spark, texts)
+    got = {x["doc_id"]: x for x in fingerprints.compare_with_edit(df).collect()}
+    ids = sorted(texts)
+    for a, b in zip(ids, ids[1:] + ids[:1]):
+        own, after = texts[a] or "", texts[b] or ""
+        k = len(own) // 4
+        assert got[a]["edited_sha256"] == hashlib.sha256((own[:len(own) - k] + after[:k]).encode()).hexdigest() and got[a]["n_chars"] == len(own)
+        assert 0 <= got[a]["near_edited"] <= 1 and 0 <= got[a]["near_next"] <= 1
+    long = [i for i in ids if len(texts[i] or "") > 300]
+    assert all(got[i]["near_edited"] > got[i]["near_next"] for i in long)
+    nexts = {x["doc_id"]: x["next_text"] for x in fingerprints.with_next(docs_of(spark, {k: v or "" for k, v in texts.items()}), per_range=4).collect()}
+    assert nexts == {a: texts[b] or "" for a, b in zip(ids, ids[1:] + ids[:1])}
+    one = fingerprints.compare_with_edit(docs_of(spark, {5: "a b c d e f g h"})).first()
+    assert one["near_next"] == 1.0
+    assert fingerprints.compare_with_edit(df.limit(0)).count() == 0
+
+
+# Chat
+
+CONTROL = ["</s>", "<s>", "[INST]", "[/INST]", "\\", " ", "\n", "a", "é", " [INST] ", " [/INST]</s>", "\\[INST]", "s>", "<", "["]
+
+
+def test_chats_round_trip(spark):
+    r = random.Random(8)
+    rows = [(c, t, r.choice(["user", "assistant", "system", "to<s>ol", None]), "".join(r.choices(CONTROL, k=r.randint(0, 8))) or None) for c in range(120) for t in range(r.randint(1, 5))]
+    rows += [(500, 0, "user", "x" * 100_000), (500, 1, "assistant", "y\\" * 5000), (None, 0, "user", "no id"), (501, 0, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("formatted", F.lit("mine"))
+    formatted = chat.format_chats(df)
+    got = {x["conv_id"]: x for x in formatted.collect()}
+    said = {x["conv_id"]: x for x in chat.digest(formatted).collect()}
+    for conv in {x[0] for x in rows}:
+        turns = sorted((x[1], x[2] or "", x[3] or "") for x in rows if x[0] == conv)
+        assert got[conv]["round_trip"] and [(t["role"], t["text"]) for t in got[conv]["turns"]] == [t[1:] for t in turns]
+        loss = "".join(t[2] for t in turns if t[1] == "assistant")
+        assert (said[conv]["n_turns"], said[conv]["loss_chars"]) == (len(turns), len(loss))
+        assert said[conv]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+        assert said[conv]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest()
+        needs = any(re.search(r"\\|</?s>|\[/?INST\]", a + " " + b) for _, a, b in turns)
+        assert got[conv]["escaped"] == needs
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+# Sharding
+
+@given(st.integers(1, 40))
+@settings(max_examples=15, deadline=None)
+def test_tables_are_even_and_stable(n):
+    names = [f"s{i}" for i in range(n)]
+    table = sharding.lookup_table(names, 1009)
+    counts = Counter(table)
+    assert len(counts) == n and max(counts.values()) - min(counts.values()) <= 1
+    if n > 1:
+        fewer = sharding.lookup_table(names[:-1], 1009)
+        moved = sum(a != b for a, b in zip(table, fewer) if a != n - 1)
+        assert moved <= 1009 // 4
+
+
+def test_shards(spark):
+    df = spark.createDataFrame([(1, "mine"), (1, None), (None, "x"), (2, "y")], "doc_id bigint, shard string")
+    got = sharding.shard(df, "doc_id", 8).collect()
+    assert len(got) == 4 and len({r["shard"] for r in got if r["doc_id"] == 1}) == 1 and all(0 <= r["shard"] < 8 for r in got)
+    table = sharding.lookup_table([f"shard-{i:05d}" for i in range(8)])
+    assert all(table[r["slot"]] == r["shard"] for r in got)
+    hot = spark.range(500).select(F.lit("k").alias("key"), "id")
+    assert sharding.shard(hot, "key", 8, spread_by="id", spread=32).select("shard").distinct().count() > 3
+    assert sharding.shard(df.limit(0), "doc_id").count() == 0
+    with pytest.raises(ValueError):
+        sharding.lookup_table(["a"], 1000)
+
+
+# Language ID
+
+def test_language_id_held_out(spark, sf_dir):
+    got = queries.op4_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").collect()
+    out = [r for r in got if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    assert sum(r["lang_pred"] == r["lang"] for r in out) / len(out) > 0.97
+    assert sum(r["rejected"] for r in got) / len(got) < 0.02
+
+
+def test_language_id_edges(spark):
+    rows = [(i, "the cat sat on the mat with " * 3, "en") for i in range(20)] + [(100 + i, "der Hund und die Katze " * 3, "de") for i in range(20)] + [(200, "x", None)]
+    train = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(train)
+    test = spark.createDataFrame([(1, None, 9.0), (2, "", 9.0), (3, "123 %$ \n", 9.0), (4, "die Katze und der Hund", 9.0), (5, "the mat " * 20_000, 9.0), (6, "漢字", 9.0)], "doc_id bigint, text string, score double")
+    got = {r["doc_id"]: r for r in langid.classify(test, model).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and all(got[i]["rejected"] and got[i]["score"] == 0.0 for i in (1, 2, 3))
+    assert (got[4]["lang_pred"], got[5]["lang_pred"]) == ("de", "en") and got[6]["lang_pred"] in ("en", "de") and got[6]["rejected"]
+    nothing = langid.fit(train.limit(0))
+    assert {r["lang_pred"] for r in langid.classify(test, nothing).collect()} == {"und"}
+
+
+# Packing
+
+def test_packing_is_whole_gapless_and_tight(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    odd = docs_of(spark, {-1: None, -2: "", -3: "<|endoftext|> it's DON'T é. İ. ", -4: "same", -5: "same"}).union(docs_of(spark, {-4: "same"}))
+    both = df.union(odd)
+    pieces = packing.pack(both, queries.tokenizer_path()).collect()
+    texts = Counter((r["doc_id"], r["text"]) for r in both.collect())
+    want = Counter()
+    for (doc, text), n in texts.items():
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        for piece, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at:at + 2048]
+            want[(doc, piece, at, len(part), zlib.crc32(part.tobytes()))] += n
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in pieces) == want
+    by_sequence = {}
+    for r in pieces:
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in by_sequence.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(by_sequence) <= math.ceil(sum(r["length"] for r in pieces) / 2048) + 1
+    assert packing.pack(both.limit(0), queries.tokenizer_path()).count() == 0
+
+
+def test_islands_beat_or_match_best_fit():
+    rng = np.random.default_rng(9)
+    lengths = np.sort(rng.integers(500, 1100, 400))
+    first = packing._fresh(lengths, 2048, 0.0, rng)
+    pool = packing.evolve(lengths, [], 2048, seed=1)
+    more = packing.evolve(lengths, pool, 2048, seed=2)
+    assert packing.score(lengths, more[0]) <= packing.score(lengths, pool[0]) <= packing.score(lengths, first)
+    for p in more:
+        assert (p >= 0).all() and np.bincount(p, weights=lengths).max() <= 2048
+    child = packing.cross(lengths, more[0], first, 2048, rng)
+    assert (child >= 0).all() and np.bincount(child, weights=lengths).max() <= 2048
+
+
+# HTML
+
+def page(body, head=""):
+    return f"<!DOCTYPE html><html><head><title>T</title>{head}</head><body>{body}</body></html>"
+
+
+def test_html_by_structure():
+    text = html.main_text(page(
+        '<header>Site</header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>'
+        '<article><h1>Head &amp; tail</h1><p>One <b>bold</b>\n line<br>and more &#233;<p>Two<script>x("<p>no</p>")</script><aside>Related</aside>'
+        '<form><label>Mail</label><input></form><div class="ad">Buy</div><section id="comments"><p>Nice!</p></section></article>'
+        '<div class="sidebar"><p>Side</p></div><!-- gone --><footer>&copy; me</footer><style>p{}</style>'))
+    assert text == "Head & tail\nOne bold line and more é\nTwo"
+    assert html.main_text(None) == "" and html.main_text("") == "" and html.main_text("plain  text") == "plain text"
+    assert html.main_text("<nav><ul><li>Menu<article><p>Body</article>") == "Body"
+    assert html.main_text("<p>x" * 20_000).count("\n") == 19_999
+
+
+def test_html_templates(spark):
+    shell = '<div class="top">Welcome to the site</div><div class="box1"><p>{}</p></div><div class="legal">All rights reserved</div>'
+    rows = [(i, f"http://h.example/{i}", page(shell.format(f"Own words of page {i}"))) for i in range(12)]
+    rows += [(100, "http://other.example/", page(shell.format("Alone"))), (101, None, page("<p>No host</p>")), (102, "http://h.example/x", None), (0, "http://h.example/0", rows[0][2])]
+    got = html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit(1))).collect()
+    out = {r["page_id"]: r["text"] for r in got}
+    assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert all(out[i] == f"Own words of page {i}" for i in range(12))
+    assert out[100] == "Welcome to the site\nAlone\nAll rights reserved" and out[101] == "No host" and out[102] == ""
+    assert html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").limit(0)).count() == 0
+
+
+@given(st.text(alphabet="<>/pdivartcle =\"'!-&;é\n", max_size=80))
+@settings(max_examples=200, deadline=None, suppress_health_check=list(HealthCheck))
+def test_html_never_breaks(text):
+    assert isinstance(html.main_text(text), str)
