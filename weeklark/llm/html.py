@@ -38,8 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 MIN_PAGES = 4
 SHARE = 0.6
+#: Tokens of all templates together up to which they are broadcast; beyond, pages and templates meet by a shuffle on the host.
+BROADCAST_TOKENS = 2_000_000
 
 # Element names by their part in a page.
 BLOCK = frozenset(
@@ -49,6 +53,7 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea svg iframe object math xmp noembed noframes".split())
 SIDE = frozenset("nav aside footer form menu dialog head title button select option datalist audio video canvas".split())
+LEFT_OPEN = frozenset("nav form menu header button select".split())
 MAIN = frozenset("article main".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar tablist".split())
 SIDE_NAMES = frozenset(
@@ -144,8 +149,9 @@ def read(page: str | None) -> tuple[list[Block], list[str]]:
         inside_main = stack[-1].main
         opens_main = tag in MAIN and not names & SIDE_NAMES or named.get("role") == "main" or named.get("itemprop") == "articlebody"
         if opens_main:
-            while len(stack) > 1 and stack[-1].side and stack[-1].tag in SIDE:  # an article ends menus that were left open
-                stack.pop()
+            first = next((i for i, x in enumerate(stack) if x.side), 0)
+            if first and stack[first].tag in LEFT_OPEN:  # an article ends menus that were left open
+                del stack[first:]
         by_name = tag not in ("html", "body", "p", "h1", "h2", "h3", "h4", "h5", "h6") and bool(names & SIDE_NAMES) and not opens_main
         header = tag == "header" and not inside_main or bool(names & {"header"}) and tag == "div" and not inside_main
         side = stack[-1].side or tag in SIDE or named.get("role", "") in SIDE_ROLES or by_name or header
@@ -223,7 +229,9 @@ def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """page_id, url, text, n_chars of every row. Needs page_id, url and html; other columns are left out."""
     hosted = with_host(pages.select("page_id", "url", "html"))
-    marked = hosted.join(templates(hosted, min_pages, share), F.col("__host") == F.col("__of"), "left").select("page_id", "url", "html", "template")
+    found = Scratch(pages.sparkSession, "html").write(templates(hosted, min_pages, share), "templates")
+    size = found.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0]
+    marked = hosted.join(F.broadcast(found) if size <= BROADCAST_TOKENS else found, F.col("__host") == F.col("__of"), "left").select("page_id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple = (None, frozenset())
