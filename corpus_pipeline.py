@@ -14,20 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weeklark.llm import decontam, jaccard, langid, linededup, packing
-from weeklark.llm.common import Scratch, table
+from weeklark.llm.common import Scratch, table, unwrapped, wrapped
 from weeklark.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: learnt from the labelled documents of the stage's input; documents that it rejects go."""
     model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
-    return langid.classify(docs, model).filter(~F.col("rejected")).select(*docs.columns)
+    return unwrapped(langid.classify(wrapped(docs, "text"), model).filter(~F.col("rejected")), docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: repeated lines leave the texts; documents stay, with what is left of them."""
-    kept = linededup.dedup_lines(docs)
-    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    kept = linededup.dedup_lines(wrapped(docs, "doc_id", "text"))
+    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("__row.n_chars"))
+    return unwrapped(kept, docs.columns, text=F.col("text"), n_chars=n_chars)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import sys
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 REPO = str(Path(__file__).resolve().parents[2])
 
@@ -23,6 +28,25 @@ def ensure_importable() -> None:
         cloudpickle.register_pickle_by_value(sys.modules["weeklark"])
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch is held on both sides.
+ARROW_ROWS = 2000
+_ARROW_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of ARROW_ROWS, unless the session names a number of its own."""
+    if spark.sparkContext.getConf().get(_ARROW_KEY, None) is None:
+        spark.conf.set(_ARROW_KEY, str(ARROW_ROWS))
+
+
+def tidy() -> None:
+    """Give freed memory back: a Python worker outlives its task and waits for the next one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,6 +81,7 @@ class Scratch:
     """Tables written under the shared folder; they replace recomputation and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.path = f"{scratch_root(spark)}/weeklark-{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(_remove_at_exit, spark, self.path)
@@ -70,6 +95,21 @@ class Scratch:
         _remove(self.spark, f"{self.path}/{name}")
 
 
+def wrapped(df: DataFrame, *needed: str) -> DataFrame:
+    """The row as one struct, and the columns that an operator needs beside it: no other name can clash with the operator's own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *needed)
+
+
+def unwrapped(df: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:
+    """The rows that ``wrapped`` took in, some columns replaced."""
+    return df.select(*[(replaced[c] if c in replaced else F.col(f"__row.`{c}`")).alias(c) for c in columns])
+
+
+def with_fields(schema: StructType, **kinds: DataType) -> StructType:
+    """A schema and further nullable fields."""
+    return StructType([StructField(f.name, f.dataType, True) for f in schema.fields] + [StructField(n, k, True) for n, k in kinds.items()])
+
+
 #: A table of a few numbers a row is broadcast up to this many rows, and joined by shuffling beyond.
 BROADCAST_ROWS = 1_000_000
 

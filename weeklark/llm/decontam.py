@@ -27,6 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType
+
+from .common import small_batches, unwrapped, with_fields, wrapped
 
 WIDTH = 13
 BLOCK_BYTES = 32 << 20
@@ -134,17 +137,18 @@ def _scanner(shared, text_at: int, first: bool, names: list[str]):
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Add n_words, hit_marks (packed bits, null if none) and items to every row; no shuffle. Columns so named are replaced."""
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     out = docs.drop("n_words", "hit_marks", "items")
     own = out.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
+    schema = with_fields(out.schema, n_words=LongType(), hit_marks=BinaryType(), items=ArrayType(StringType()))
     names, first = [*own, "n_words", "hit_marks", "items"], True
     for block in blocks_of(benchmark, block_bytes):
         shared = spark.sparkContext.broadcast(NgramSet(block, width))
-        out = out.mapInArrow(_scanner(shared, own.index("text"), first, names), f"{fields}, n_words bigint, hit_marks binary, items array<string>")
+        out = out.mapInArrow(_scanner(shared, own.index("text"), first, names), schema)
         first = False
     if first:
         empty = spark.sparkContext.broadcast(NgramSet([], width))
-        out = out.mapInArrow(_scanner(empty, own.index("text"), True, names), f"{fields}, n_words bigint, hit_marks binary, items array<string>")
+        out = out.mapInArrow(_scanner(empty, own.index("text"), True, names), schema)
     return out
 
 
@@ -180,20 +184,19 @@ def remove_spans(text: str | None, marks: bytes | None) -> str | None:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", width: int = WIDTH) -> DataFrame:
     """``docs`` without contaminated documents, or, with remove="spans", with the hit spans cut from all texts."""
-    columns = docs.columns
+    scanned = scan(wrapped(docs, "text"), benchmark, width)
     if remove == "documents":
-        return judged(scan(docs, benchmark, width)).filter(~F.col("contaminated")).select(*columns)
+        return unwrapped(judged(scanned).filter(~F.col("contaminated")), docs.columns)
     if remove != "spans":
         raise ValueError("remove must be documents or spans")
-    scanned = scan(docs, benchmark, width)
-    at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cut = [remove_spans(t, m) for t, m in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string()) if i == at else b.column(i) for i in range(len(columns))], columns)
+            cut = [remove_spans(t, m) for t, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cut, pa.string())], ["__row", "text"])
 
-    return scanned.select(*columns, "hit_marks").mapInArrow(run, docs.schema)
+    slim = scanned.select("__row", "text", "hit_marks")
+    return unwrapped(slim.mapInArrow(run, slim.drop("hit_marks").schema), docs.columns, text=F.col("text"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:

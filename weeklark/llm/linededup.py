@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from .common import Scratch
+from .common import Scratch, with_fields
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -157,8 +158,7 @@ def dedup_lines(
     whole = docs.drop("n_lines", "n_dropped", "__cut", "__id")
     marked = whole.join(lost, F.col("doc_id") == F.col("__id"), "left").drop("__id")
     names = [*whole.columns, "n_lines", "n_dropped"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields)
-    return marked.mapInArrow(_cutter(names, whole.columns.index("text"), min_chars), f"{fields}, n_lines bigint, n_dropped bigint")
+    return marked.mapInArrow(_cutter(names, whole.columns.index("text"), min_chars), with_fields(whole.schema, n_lines=LongType(), n_dropped=LongType()))
 
 
 def digest(deduped: DataFrame) -> DataFrame:
