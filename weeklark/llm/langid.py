@@ -7,8 +7,9 @@ taken over all learning documents. The centroids come from spherical k-means
 over a bounded sample: about ``PER_LANGUAGE`` documents of each language,
 chosen by a hash of doc_id (all of a rarer language). A prediction is the
 language of the centroid with the largest cosine; a text further from it
-than the radius of that language (the largest distance of a sample's member
-from its own centroid, times ``SLACK``) is rejected.
+than the radius of that language is rejected. The radius leaves room beyond
+the sample: it lies where the cosine is ``KEEP`` times the least one of the
+sample's members with their own centroids.
 
 Edge cases: texts that are null or without letters are ``und`` with score
 0.0 and rejected; documents of null language are not learnt from; with
@@ -18,6 +19,7 @@ need no special care, since every text is read whole, one at a time.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,12 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType
+
+from .common import small_batches, with_fields
 
 UND = "und"
 DIMENSIONS = 4096
-PER_LANGUAGE = 1000
+PER_LANGUAGE = 500
 CENTROIDS = 3
-SLACK = 1.1
+KEEP = 0.5
 ROUNDS = 12
 BATCH = 256
 
@@ -115,7 +120,7 @@ def _features(dimensions: int):
                 counts = counts_of(text, dimensions)
                 if counts is not None:
                     langs.append(lang)
-                    rows.append(np.minimum(counts, 65_535).astype("<u2").tobytes())
+                    rows.append(zlib.compress(np.minimum(counts, 65_535).astype("<u2").tobytes(), 1))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary())], ["lang", "counts"])
 
     return run
@@ -138,8 +143,9 @@ def _clusters(x: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray,
     return c, np.array([1.0 - cosines[own == j, j].min() if (own == j).any() else 0.0 for j in range(len(c))])
 
 
-def fit(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, slack: float = SLACK) -> Model:
+def fit(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, keep: float = KEEP) -> Model:
     """Learn from text and lang of ``docs`` (doc_id only chooses the sample). What reaches the driver: one row per feature, and the sample."""
+    small_batches(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull())
     df = known.select("text").mapInArrow(_frequencies(dimensions), "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     seen = np.zeros(dimensions + 1)
@@ -156,11 +162,11 @@ def fit(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER_L
     model = Model([], np.zeros((0, dimensions), np.float32), np.zeros(0), idf.astype(np.float32))
     langs, centres, radii = [], [], []
     for lang in sorted({r["lang"] for r in rows}):
-        x = model.vectors(np.array([np.frombuffer(r["counts"], "<u2") for r in rows if r["lang"] == lang]))
+        x = model.vectors(np.array([np.frombuffer(zlib.decompress(r["counts"]), "<u2") for r in rows if r["lang"] == lang]))
         c, far = _clusters(x, centroids)
         langs += [lang] * len(c)
         centres.append(c)
-        radii.append(np.full(len(c), min(float(far.max()) * slack + 1e-6, 1.0)))
+        radii.append(np.full(len(c), 1.0 - keep * (1.0 - float(far.max()))))
     return Model(langs, np.concatenate(centres).astype(np.float32), np.concatenate(radii), idf.astype(np.float32)) if langs else model
 
 
@@ -176,5 +182,4 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
             langs, scores, rejected = shared.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    return kept.mapInArrow(run, with_fields(kept.schema, lang_pred=StringType(), score=DoubleType(), rejected=BooleanType()))
