@@ -22,6 +22,7 @@ ALPHA_BLOCKS = 0.2
 BLOCK = 4
 LEVELS = (1, 2, 4, 8, 13)
 BLEND = 0.5
+WEEKS = "__weeks"
 
 
 
@@ -38,9 +39,12 @@ def _flat(value: Column, h: int) -> Column:
 
 
 def _ahead(h: int, body: Callable[[Column, Column], Column]) -> Column:
-    """body(ISO week, 0-based step) for every forecast week."""
-    weeks = F.transform(horizon_dates(F.col("last"), h), iso_week)
-    return F.when(F.col("last").isNull(), _flat(nan(), h)).otherwise(F.transform(weeks, body))
+    """body(ISO week, 0-based step) for every forecast week; the weeks are a column, ``horizon_weeks`` of the row."""
+    return F.when(F.col("last").isNull(), _flat(nan(), h)).otherwise(F.transform(F.col(WEEKS), body))
+
+
+def horizon_weeks(h: int) -> Column:
+    return F.transform(horizon_dates(F.col("last"), h), iso_week)
 
 
 def _by_week(profile: str, default: Column, h: int) -> Column:
@@ -49,8 +53,11 @@ def _by_week(profile: str, default: Column, h: int) -> Column:
 
 def ses_level(xs: Column, alpha: float) -> Column:
     """Level of simple exponential smoothing, started at the first value; null for an empty array."""
-    rest = F.slice(xs, F.lit(2), F.greatest(F.size(xs) - 1, F.lit(0)))
-    return F.when(F.size(xs) > 0, F.aggregate(rest, F.get(xs, F.lit(0)), lambda level, x: alpha * x + (1 - alpha) * level))
+    def folded(v: Column) -> Column:
+        rest = F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0)))
+        return F.when(F.size(v) > 0, F.aggregate(rest, F.get(v, F.lit(0)), lambda level, x: alpha * x + (1 - alpha) * level))
+
+    return let(xs, folded)
 
 
 def seasonal_naive(h: int) -> Column:

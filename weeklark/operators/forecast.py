@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import nan
+from ..functions import models as models_
+from ..functions.columns import nan, settled
 from ..functions.registry import Model, model, order_of
 from ..schema import ID
 
@@ -60,9 +61,11 @@ def with_forecasts(series: DataFrame, names: Sequence[str], horizon: int, wanted
         column = F.col(wanted)
         return F.array_contains(column, m.name) if series.schema[wanted].dataType.typeName() == "array" else column == m.name
 
+    columns = series.columns
+    series = settled(series.withColumn(models_.WEEKS, models_.horizon_weeks(horizon)))
     own = [F.when(asked(m), _struct(m, horizon)) if wanted else _struct(m, horizon) for m in native]
     found = F.array(*own) if own else F.array().cast(f"array<{_ONE}>")
-    out = series.withColumn(FORECASTS, F.filter(found, lambda x: x.isNotNull()) if wanted else found)
+    out = series.withColumn(FORECASTS, F.filter(found, lambda x: x.isNotNull()) if wanted else found).select(*columns, FORECASTS)
     if python:
         keep = [f.name for f in out.schema.fields]
         dates = F.transform(F.sequence(F.lit(0), F.greatest(F.col("m") - 1, F.lit(0))), lambda i: F.date_sub(F.col("last"), (F.col("m") - 1 - i) * 7))

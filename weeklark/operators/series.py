@@ -1,8 +1,9 @@
 """From demand rows to series: densify, index, split, and the one-row-per-series table.
 
-The plan deals rows by series once. Row numbers, the train/test split, the
-week profile and the arrays of a series all follow from that one exchange:
-every later grouping has the series as its first key.
+The plan deals rows by series once and gathers each series into one row; the
+train/test split, the week profile and all models are expressions over that
+row. A series is one row of two numbers a week, so its size is bounded by
+the calendar, not by the table.
 """
 
 from __future__ import annotations
@@ -54,46 +55,50 @@ def indexed(df: DataFrame) -> DataFrame:
 
 
 def series_table(df: DataFrame, holdout: int = 0, min_rows: int = 0, decay: float = DECAY) -> DataFrame:
-    """One row per series of at least ``min_rows`` rows.
+    """One row per series of at least ``min_rows`` rows. Rows of a null date go; equal dates sort by demand.
 
     Columns: id, n, m (training rows), y (training demand), weeks, last
     (last training date), test, test_dates, and by ISO week 1..53 (null for
     unseen weeks) the mean, median and weighted mean of the training part;
     gmean, gmedian, overall (mean of week means).
     """
-    rows = indexed(df).filter(F.col("n") >= min_rows) if min_rows else indexed(df)
-    train = F.col("i") < F.col("n") - holdout
-    by_value = Window.partitionBy(ID, "week", "train").orderBy(Y)
-    ranked = rows.withColumn("train", train).withColumns({
-        "rank": F.row_number().over(by_value), "of": F.count(F.lit(1)).over(Window.partitionBy(ID, "week", "train")),
-    })
-    y, weight = F.col(Y), F.pow(F.lit(1.0 / decay), F.col("year_no"))
-    middle = (F.col("rank") == F.floor((F.col("of") + 1) / 2)) | (F.col("rank") == F.ceil((F.col("of") + 1) / 2))
-    by_week = ranked.groupBy(ID, "week").agg(
-        F.avg(F.when(F.col("train"), y)).alias("mean"),
-        F.avg(F.when(F.col("train") & middle, y)).alias("median"),
-        (F.sum(F.when(F.col("train"), y * weight)) / F.sum(F.when(F.col("train"), weight))).alias("weighted"),
-        F.collect_list(F.struct("i", y.alias("y"), F.col("week").alias("w"), F.col(DATE).alias("d"), "n")).alias("rows"),
-    )
-    gathered = by_week.groupBy(ID).agg(
-        F.array_sort(F.flatten(F.collect_list("rows"))).alias("rows"),
-        F.collect_list(F.when(F.col("mean").isNotNull(), F.struct("week", "mean", "median", "weighted"))).alias("profile"),
-    )
+    rows = df.filter(F.col(DATE).isNotNull()).groupBy(ID).agg(F.sort_array(F.collect_list(F.struct(F.col(DATE).alias("d"), F.col(Y).alias("y")))).alias("rows"))
     n = F.size("rows")
     m = F.greatest(n - holdout, F.lit(0))
-    split = gathered.withColumns({"n": n, "m": m, "head": F.slice("rows", F.lit(1), m), "tail": F.slice("rows", m + 1, F.greatest(n - m, F.lit(0)))})
+    sized = rows.filter(n >= min_rows).select(ID, n.alias("n"), m.alias("m"), F.slice("rows", F.lit(1), m).alias("head"), F.slice("rows", m + 1, F.greatest(n - m, F.lit(0))).alias("tail"))
+    years = F.array_distinct(F.transform("head", lambda r: F.year(r["d"])))
+    # By week, then demand: a week's rows stand together, in order of demand.
+    weighted = let(years, lambda ys: F.transform("head", lambda r: F.struct(
+        iso_week(r["d"]).alias("w"), r["y"].alias("y"), F.pow(F.lit(1.0 / decay), F.array_position(ys, F.year(r["d"]))).alias("k"))))
+    split = settled(settled(settled(sized).withColumn("train", weighted)).select("*", F.sort_array("train").alias("by_week")))
+    split = settled(split.withColumn("week_of", F.transform("by_week", lambda r: r["w"])))
+    split = settled(split.withColumn("week_back", F.reverse("week_of")))
+
+    def of_week(rows_: Column) -> Column:
+        n_ = F.size(rows_)
+        sums = F.aggregate(
+            rows_, F.struct(F.lit(0.0).alias("y"), F.lit(0.0).alias("v"), F.lit(0.0).alias("k")),
+            lambda a, r: F.struct((a["y"] + r["y"]).alias("y"), (a["v"] + r["y"] * r["k"]).alias("v"), (a["k"] + r["k"]).alias("k")))
+        return let(sums, lambda t: F.struct(
+            (t["y"] / n_).alias("mean"), ((at(rows_, F.floor((n_ - 1) / 2))["y"] + at(rows_, F.floor(n_ / 2))["y"]) / 2).alias("median"),
+            (t["v"] / F.nullif(t["k"], F.lit(0.0))).alias("weighted")))
+
+    def rows_of(w: Column) -> Column:
+        first = F.array_position("week_of", w)
+        return let(first, lambda p: F.when(p > 0, let(
+            F.slice("by_week", p.cast("int"), (F.col("m") + 2 - F.array_position("week_back", w) - p).cast("int")), of_week)))
+
+    by_no = F.transform(F.sequence(F.lit(1), F.lit(53)), rows_of)
+    profiled = settled(split.withColumn("by_no", by_no))
     field = lambda xs, f: F.transform(xs, lambda r: r[f])
-    weeks = F.sequence(F.lit(1), F.lit(53))
-
-    by_no = F.transform(weeks, lambda w: F.get(F.filter("profile", lambda p: p["week"] == w), F.lit(0)))  # null where the training part has no such week
-    split = settled(split.withColumn("by_no", by_no).drop("rows"))
-    arrays = split.select(
-        ID, "n", "m", field("head", "y").alias("y"), field("head", "w").alias("weeks"), F.get(field("head", "d"), F.col("m") - 1).alias("last"),
+    seen = F.filter("by_no", lambda p: p.isNotNull())
+    arrays = settled(profiled.select(
+        ID, "n", "m", field("train", "y").alias("y"), field("train", "w").alias("weeks"), F.get("head", F.col("m") - 1)["d"].alias("last"),
         field("tail", "y").alias("test"), field("tail", "d").alias("test_dates"),
         field("by_no", "mean").alias("week_mean"), field("by_no", "median").alias("week_median"), field("by_no", "weighted").alias("week_weighted"),
-        (F.aggregate("profile", F.lit(0.0), lambda a, p: a + p["mean"]) / F.nullif(F.size("profile"), F.lit(0))).alias("overall"),
-    )
-    return settled(settled(arrays).withColumns({"gmean": mean_of(F.col("y")), "gmedian": median_of(F.col("y"))}))
+        let(seen, lambda ps: F.aggregate(ps, F.lit(0.0), lambda a, p: a + p["mean"]) / F.nullif(F.size(ps), F.lit(0))).alias("overall"),
+    ))
+    return settled(arrays.withColumns({"gmean": mean_of(F.col("y")), "gmedian": median_of(F.col("y"))}))
 
 
 def mean_of(xs: Column) -> Column:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import settled
 from ..functions.registry import FITTED, get_models_for_category, order_of
 from ..operators import gbt
 from ..operators.classify import category_column
@@ -20,27 +21,28 @@ GBT, GBT_FLAT = "gbt", "gbt_global_avg"
 _ONE = "struct<model:string,model_ord:int,f:array<double>>"
 
 
-def _routed(rows: DataFrame, eval_window: int, min_rows: int, kind: str, fitted: bool, trained) -> DataFrame:
-    """The series table with its class and the forecasts of that class's models."""
-    series = series_table(rows, eval_window, min_rows)
-    series = series.withColumn("category", category_column(F.col("y")))
+def _routed(series: DataFrame, routed: Column, eval_window: int, kind: str, fitted: bool, trained) -> DataFrame:
+    """Add the class and, where ``routed`` holds, the forecasts of its models; other rows get an empty array."""
+    series = settled(series.withColumn("category", F.when(routed, category_column(F.col("y"))).otherwise("insufficient_history")))
     if kind == "gbt":
-        return gbt.with_forecast(series, trained, eval_window, FORECASTS, GBT)
+        found = gbt.with_forecast(series.filter(F.col("category") != "insufficient_history"), trained, eval_window, FORECASTS, GBT)
+        none = F.array().cast(f"array<{_ONE}>")
+        return found.unionByName(series.filter(F.col("category") == "insufficient_history").withColumn(FORECASTS, none))
     names: dict[str, list[str]] = {c: [m for m in get_models_for_category(c, kind) if fitted or m not in FITTED] for c in CATEGORIES}
     wanted = F.array().cast("array<string>")
     for category, own in names.items():
         wanted = F.when(F.col("category") == category, F.array(*[F.lit(m) for m in own])).otherwise(wanted)
     every = sorted({m for own in names.values() for m in own}, key=order_of)
-    return with_forecasts(series.withColumn("__wanted", wanted), every, eval_window, wanted="__wanted")
+    return with_forecasts(series.withColumn("__wanted", wanted), every, eval_window, wanted="__wanted").drop("__wanted")
 
 
-def _folds(tested: DataFrame, id_col: str, method: str) -> DataFrame:
-    out = fold_frame(tested, id_col, [F.col("category")])
-    return out.select(id_col, "model", "category", "fold", "date", "actual", "forecast", F.lit(method).alias("method"))
+def _folds(tested: DataFrame, id_col: str, method: Column) -> DataFrame:
+    out = fold_frame(tested.withColumn("method", method), id_col, [F.col("category"), F.col("method")])
+    return out.select(id_col, "model", "category", "fold", "date", "actual", "forecast", "method")
 
 
-def _with_one(series: DataFrame, name: str, values) -> DataFrame:
-    return series.withColumn(FORECASTS, F.array(F.struct(F.lit(name).alias("model"), F.lit(0).alias("model_ord"), values.alias("f"))).cast(f"array<{_ONE}>"))
+def _one(name: str, values: Column) -> Column:
+    return F.array(F.struct(F.lit(name).alias("model"), F.lit(0).alias("model_ord"), values.alias("f"))).cast(f"array<{_ONE}>")
 
 
 def generate_fold_details(
@@ -62,25 +64,33 @@ def generate_fold_details(
     columns = [group_col] if isinstance(group_col, str) else list(group_col or [])
     grouped = bool(columns) and all(c in df.columns for c in columns)
     key = None if not grouped else F.col(columns[0]).cast("string") if len(columns) == 1 else group_key(columns)
-    rows = normalise(df, date_col, id_col, value_col, key)
-    sized = rows.join(rows.groupBy(ID).agg(F.count(DATE).alias("__rows")), ID)
-    long, short = sized.filter(F.col("__rows") >= least).drop("__rows"), sized.filter(F.col("__rows") < least).drop("__rows")
-    trained = gbt.train(long.select(ID, DATE, "__y"), eval_window, **(gbt_options or {})) if kind == "gbt" else None
-    direct = _folds(_routed(long.select(ID, DATE, "__y"), eval_window, least, kind, fitted, trained), id_col, "direct")
+    rows = normalise(df, date_col, id_col, value_col, key).filter(F.col(DATE).isNotNull())
+    plain = rows.select(ID, DATE, "__y")
+    long_enough = F.col("n") >= least
+    trained = None
+    if kind == "gbt":
+        long_ids = plain.groupBy(ID).agg(F.count(F.lit(1)).alias("n")).filter(long_enough).select(ID)
+        trained = gbt.train(plain.join(long_ids, ID, "left_semi"), eval_window, **(gbt_options or {}))
 
     flat_name = GBT_FLAT if kind == "gbt" else "global_avg"
-    tested = series_table(short.select(ID, DATE, "__y"), eval_window, eval_window).withColumn("category", F.lit("insufficient_history"))
-    flat = _with_one(tested, flat_name, flat_forecast(eval_window))
-    if not grouped:
-        return direct.unionByName(_folds(flat, id_col, "global_avg_fallback"))
-
+    flat = _one(flat_name, flat_forecast(eval_window))
+    tested = series_table(plain, eval_window, eval_window)
+    if not grouped:  # both kinds of series in one pass
+        both = _routed(tested, long_enough, eval_window, kind, fitted, trained)
+        both = both.withColumn(FORECASTS, F.when(long_enough, F.col(FORECASTS)).otherwise(flat))
+        return _folds(both, id_col, F.when(long_enough, "direct").otherwise("global_avg_fallback"))
+
+    direct = _folds(_routed(tested.filter(long_enough), F.lit(True), eval_window, kind, fitted, trained), id_col, F.lit("direct"))
     sums = aggregate_series(rows)
     calendar = group_calendar(sums, eval_window)
-    shares = item_shares(short, calendar, new_item_share).join(calendar.select(GRP, "n_dates"), GRP)
-    poor = flat.join(shares.filter(F.col("n_dates") < least).select(ID), ID)
-    by_group = _routed(sums, eval_window, least, kind, fitted, trained).select(F.col(ID).alias(GRP), F.col("category").alias("__category"), F.col(FORECASTS).alias("__of_group"))
-    rich = shares.filter(F.col("n_dates") >= least).join(by_group, GRP).join(tested.drop("category"), ID)
+    short_ids = rows.groupBy(ID).agg(F.count(F.lit(1)).alias("n")).filter(~long_enough).select(ID)
+    shares = item_shares(rows.join(short_ids, ID, "left_semi"), calendar, new_item_share).join(calendar.select(GRP, "n_dates"), GRP)
+    short = tested.filter(~long_enough).withColumn("category", F.lit("insufficient_history"))
+    poor = short.withColumn(FORECASTS, flat).join(shares.filter(F.col("n_dates") < least).select(ID), ID)
+    by_group = _routed(series_table(sums, eval_window, least), F.lit(True), eval_window, kind, fitted, trained).select(
+        F.col(ID).alias(GRP), F.col("category").alias("__category"), F.col(FORECASTS).alias("__of_group"))
+    rich = shares.filter(F.col("n_dates") >= least).join(by_group, GRP).join(short.drop("category"), ID)
     dealt = F.transform("__of_group", lambda x: F.struct(
         x["model"].alias("model"), x["model_ord"].alias("model_ord"), F.transform(x["f"], lambda v: F.greatest(v * F.col("share"), F.lit(0.0))).alias("f")))
     lent = rich.withColumn(FORECASTS, dealt).withColumn("category", F.col("__category"))
-    return direct.unionByName(_folds(lent, id_col, "aggregate_fallback")).unionByName(_folds(poor, id_col, "global_avg_fallback"))
+    return direct.unionByName(_folds(lent, id_col, F.lit("aggregate_fallback"))).unionByName(_folds(poor, id_col, F.lit("global_avg_fallback")))
