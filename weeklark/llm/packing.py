@@ -21,8 +21,6 @@ rows.
 
 from __future__ import annotations
 
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, kept_by, tidy
 
 CAPACITY = 2048
 END_ID = 0
@@ -41,47 +39,51 @@ ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
 OFFSPRING = 4
-#: Entries of the cache of encoded chunks in a worker, and the longest chunk that is kept.
-CACHE, CACHE_BYTES = 600_000, 64
+#: Encoded chunks that a worker keeps of late (twice as many at most, older ones included), and the longest chunk that is kept.
+CACHE, CACHE_BYTES = 250_000, 64
 
-_PUNCTUATION = b".,;:!?"
+#: Signs that may end a chunk and encode apart from the letters before them: all of ASCII but those that contractions or special tokens use.
+_SIGNS = b".,;:!?$%&#*()[]{}@~^_+-/\\\"`"
 
 
 class _Chunks(dict):
-    """Encoded ids, little-endian 32-bit, of white-space separated chunks in lower case."""
+    """Encoded ids, little-endian 32-bit, of white-space separated chunks in lower case: those of late, and the generation before."""
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
+        self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
-        core = chunk.rstrip(_PUNCTUATION)
-        if core and core != chunk and (core[-1:].isalpha() or _latin_end(core)):
-            # The tokenizer splits a run of letters from the signs after it, so both parts encode alone as they do together.
-            found = self[core] + self[chunk[len(core):]]
-        else:
+        found = self.older.get(chunk)
+        if found is None:
+            core = chunk.rstrip(_SIGNS)
+            if core and core != chunk and (core[-1:].isalpha() or _latin_end(core)):
+                # The tokenizer splits a run of letters from the signs after it, so both parts encode alone as they do together.
+                return self[core] + self[chunk[len(core):]]
             found = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= CACHE_BYTES:
             if len(self) >= CACHE:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = found
         return found
 
 
 def _latin_end(core: bytes) -> bool:
-    """Ends in a Latin letter of two bytes."""
+    """Ends in a Latin letter of two bytes that is a letter alone in lower case, too (a dotted capital I leaves a mark behind)."""
     last = core[-2:]
-    return len(last) == 2 and 0xC3 <= last[0] <= 0xC9 and 0x80 <= last[1] <= 0xBF and last not in (b"\xc3\x97", b"\xc3\xb7")
+    return len(last) == 2 and 0xC3 <= last[0] <= 0xC9 and 0x80 <= last[1] <= 0xBF and last not in (b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0")
 
 
 def chunks_of(path: str) -> _Chunks:
     """One cache for each tokenizer file and Python worker; it outlives tasks."""
-    kept = sys.modules.setdefault("_weeklark_kept", types.ModuleType("_weeklark_kept"))
-    found = kept.__dict__.get(path)
+    kept = kept_by("packing")
+    found = kept.get(path)
     if found is None:
         from tokenizers import Tokenizer
 
-        found = kept.__dict__[path] = _Chunks(Tokenizer.from_file(path))
+        found = kept[path] = _Chunks(Tokenizer.from_file(path))
     return found
 
 
@@ -119,6 +121,7 @@ def _tokenized(path: str, capacity: int):
                         column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
+        tidy()
 
     return run
 
