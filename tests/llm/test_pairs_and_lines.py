@@ -67,7 +67,7 @@ def by_brute_force(rows):
     return {d: (len(sets[d]), find(d)) for d in docs}
 
 
-@pytest.mark.parametrize("settings", [{}, {"HOT": 2, "CELL": 4, "DEAL": 5, "LEADERS": 1}])
+@pytest.mark.parametrize("settings", [{}, {"HOT": 2, "CELL": 4, "DEAL": 5, "LEADERS": 1, "BLOCK": 3}, {"HOT": 1, "LEADERS": 0}])
 def test_jaccard_matches_brute_force(spark, monkeypatch, settings):
     for name, value in settings.items():
         monkeypatch.setattr(jaccard, name, value)

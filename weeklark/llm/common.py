@@ -9,6 +9,7 @@ import gc
 import os
 import sys
 import tempfile
+import types
 import uuid
 from pathlib import Path
 
@@ -28,15 +29,15 @@ def ensure_importable() -> None:
         cloudpickle.register_pickle_by_value(sys.modules["weeklark"])
 
 
-#: Rows of an Arrow batch: texts may be long, and a batch is held on both sides.
-ARROW_ROWS = 2000
-_ARROW_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Size of an Arrow batch: texts may be long, and a batch is held on both sides.
+ARROW_BYTES = "4m"
+_ARROW_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in batches of ARROW_ROWS, unless the session names a number of its own."""
+    """Hand texts to Python in batches of ARROW_BYTES, unless the session names a size of its own."""
     if spark.sparkContext.getConf().get(_ARROW_KEY, None) is None:
-        spark.conf.set(_ARROW_KEY, str(ARROW_ROWS))
+        spark.conf.set(_ARROW_KEY, ARROW_BYTES)
 
 
 def tidy() -> None:
@@ -47,6 +48,15 @@ def tidy() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def kept_by(operator: str) -> dict:
+    """What a Python worker keeps from task to task for one operator; what another one kept is given up."""
+    kept = sys.modules.setdefault("_weeklark_kept", types.ModuleType("_weeklark_kept")).__dict__
+    if kept.get("of") != operator:
+        kept["of"], kept["what"] = operator, {}
+        tidy()
+    return kept["what"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

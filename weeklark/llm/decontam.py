@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType
 
-from .common import small_batches, unwrapped, with_fields, wrapped
+from .common import kept_by, small_batches, unwrapped, with_fields, wrapped
 
 WIDTH = 13
 BLOCK_BYTES = 32 << 20
@@ -115,6 +115,7 @@ def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[
 
 def _scanner(shared, text_at: int, first: bool, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("decontam")
         ngrams = shared.value
         for batch in batches:
             total, marks, items = [], [], []

@@ -14,18 +14,22 @@ sets' Jaccard similarity is at least ``NUM / DEN``. The result is exact up to
    Buckets are dealt by size, so a bucket with a third of all sets is many
    small tasks.
 3. Token-group matrix. All tokens have one order: rarer by the sketch first,
-   then by hash. Of a set of n tokens, n - ceil(n * NUM / DEN) + need tokens
-   come first in that order, with need = max(1, n // NEED); two sets that
-   link share at least the smaller need of their first tokens. The matrix
-   holds, for each token, the cells whose union of first tokens has it.
-4. Bounds. Cells of different groups are counted over their common tokens.
-   A pair of cells qualifies if the count reaches the smaller need, and the
-   sizes of their sets allow a link. A token that more than ``HOT`` cells
-   have is not paired up; each cell counts such tokens instead, and the need
-   of a pair falls by the smaller of its two counts. Cells whose own count
-   alone could meet a need (a known, usually small part) go through steps 3
-   and 4 once more among themselves, with all their tokens ordered by exact
-   frequency there, and all pairs.
+   then by hash. With need = max(1, n // NEED), the first tokens of a set of
+   n are n - ceil(n * NUM / DEN) + need, and its index tokens the first
+   n - ceil(n * 2 * NUM / (NUM + DEN)) + need of those. The smaller of two
+   sets that link has at least the smaller need of its index tokens among
+   the other's first tokens. The matrix holds, for each token, the cells
+   whose union of first tokens has it, and whether as an index token.
+4. Bounds. Cells of different groups are counted over their common tokens
+   that are an index token of either. A pair of cells qualifies if the count
+   reaches the smaller need and the sizes of their sets allow a link. A
+   token that more than ``HOT`` cells have is not paired up; each cell
+   counts such tokens instead, and the need of a pair falls by the smaller
+   of its two counts. Sets of cells whose own count alone could meet a need
+   (a known, usually small part) go through steps 3 and 4 once more among
+   themselves, with all their tokens ordered by exact frequency there. Their
+   rows carry all first tokens, so that the smallest common index token
+   alone yields a pair, counted in full and held against its need at once.
 5. Opening. Only for qualifying pairs are whole sets read: each set of one
    cell is bounded by its overlap with the other cell's token union, and
    compared with that cell's sets if the bound allows. One link ties two
@@ -50,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, kept_by, small, tidy
 from .components import components
 
 WORDS = 5
@@ -63,7 +67,11 @@ SKETCH_BITS, BLOCK_BITS = 21, 15
 DEAL = 2000
 LEADERS = 16
 #: Cells of a token up to which they are paired up at once.
-HOT = 16
+HOT = 8
+#: Sets that are compared with each other at once.
+BLOCK = 512
+#: Rows of the matrix that a task looks at together.
+GATHER = 300_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -100,6 +108,11 @@ def least_overlap(n: int) -> int:
     return -(-n * NUM // DEN)
 
 
+def least_overlap_of_smaller(n: int) -> int:
+    """Tokens of a set of n that a linked set of n or more must share."""
+    return -(-n * 2 * NUM // (NUM + DEN))
+
+
 def needed(n: int) -> int:
     return max(1, n // NEED)
 
@@ -133,6 +146,7 @@ def _rows(columns, kinds, names) -> pa.RecordBatch:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end the task's part of the sketch in blocks."""
+    kept_by("jaccard")
     words, sketch = _Words(), np.zeros(1 << SKETCH_BITS, np.uint32)
     names = [c.split()[0] for c in _FIRST.split(", ")]
     for batch in batches:
@@ -151,6 +165,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, counts in enumerate(sketch.reshape(-1, 1 << BLOCK_BITS)):
         if counts.any():
             yield _rows([[None], [None], [None], [None], [block], [zlib.compress(counts.astype("<u4").tobytes(), 1)]], _FIRST_KINDS, names)
+    tidy()
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +196,7 @@ def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 500)
             tokens = [shingles(t, words).tobytes() for t in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), *part.columns[1:]], ["tokens", *part.schema.names[1:]])
+    tidy()
 
 
 def _against_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,36 +232,29 @@ def _stars(sets: DataFrame) -> DataFrame:
 
 
 def _first_tokens(shared):
+    """Rows (text, doc's key, cell, grp) to a row for each first token of the text's set; info is 1 for an index token."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, ranks = _Words(), np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                docs, keys, firsts = [], [], []
-                for doc, text in zip(batch.column(0)[at:at + 1000].to_pylist(), batch.column(1)[at:at + 1000].to_pylist(), strict=True):
+            for at in range(0, batch.num_rows, 500):
+                held: list[tuple] = []
+                for text, key, cell, group in zip(*(c[at:at + 500].to_pylist() for c in batch.columns), strict=True):
                     tokens = shingles(text, words)
+                    if xxhash.xxh3_128_digest(tokens.tobytes()) != key:
+                        continue  # another text under the same doc_id
                     n = len(tokens)
-                    if n and doc is not None:
-                        order = np.argsort(ranks[_cells(tokens)], kind="stable")[:n - least_overlap(n) + needed(n)]
-                        docs.append(doc)
-                        keys.append(xxhash.xxh3_128_digest(tokens.tobytes()))
-                        firsts.append(tokens[order].tobytes())
-                yield _rows([docs, keys, firsts], (pa.int64(), pa.binary(), pa.binary()), ["doc_id", "key", "firsts"])
+                    own = tokens[np.argsort(ranks[_cells(tokens)], kind="stable")[:n - least_overlap(n) + needed(n)]]
+                    index = np.arange(len(own)) < n - least_overlap_of_smaller(n) + needed(n)
+                    held.append((own.view(np.int64), np.full(len(own), cell), np.full(len(own), group), index.astype(np.int64)))
+                if held:
+                    yield _rows([np.concatenate(c) for c in zip(*held, strict=True)], (pa.int64(),) * 4, ["token", "cell", "grp", "info"])
+        tidy()
 
     return run
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            firsts = [np.frombuffer(x, np.int64) for x in part.column(0).to_pylist()]
-            sizes = [len(x) for x in firsts]
-            columns = [np.concatenate(firsts) if firsts else np.empty(0, np.int64)] + [np.repeat(part.column(i).to_numpy(), sizes) for i in (1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "cell", "grp"])
-
-
-def _pairs_of(cells: np.ndarray, groups: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of cells of different groups within each run, run by run of equal size."""
+def _pairs_of(groups: np.ndarray, index: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of different groups within each run, an index token of either; by runs of equal size."""
     for size in np.unique(sizes).tolist():
         if size < 2:
             continue
@@ -256,20 +265,20 @@ def _pairs_of(cells: np.ndarray, groups: np.ndarray, starts: np.ndarray, sizes:
             for lo in range(0, len(at), step):
                 left = np.repeat(at[lo:lo + step] + i, len(rest))
                 right = (at[lo:lo + step, None] + rest).ravel()
-                apart = groups[left] != groups[right]
+                apart = (groups[left] != groups[right]) & (index[left] | index[right])
                 if apart.any():
-                    yield cells[left[apart]], cells[right[apart]]
+                    yield left[apart], right[apart]
 
 
-def _common_tokens(limit: int | None):
+def _common_tokens(limit: int):
     """Rows sorted by token, then cell: pairs of cells with how many tokens of this batch they share.
 
     A token of more than ``limit`` cells yields its cells alone, with a null partner.
     """
-    kinds, names = (pa.int64(), pa.int64(), pa.int64()), ["ca", "cb", "n"]
+    kinds, names = (pa.int64(),) * 3, ["ca", "cb", "n"]
 
-    def tallied(held) -> pa.RecordBatch:
-        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+    def tallied(held, cell: np.ndarray) -> pa.RecordBatch:
+        a, b = (cell[np.concatenate(x)] for x in zip(*held, strict=True))
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
@@ -279,41 +288,43 @@ def _common_tokens(limit: int | None):
         if not rows.shape[1]:
             return
         new = np.concatenate(([True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])))
-        token, cell, group = rows[:, new]
+        token, cell, group, info = rows[:, new]
         starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        sizes = np.diff(np.append(starts, len(token)))
-        if limit is not None and (sizes > limit).any():
+        runs = np.diff(np.append(starts, len(token)))
+        if (runs > limit).any():
             mixed = np.maximum.reduceat(group, starts) != np.minimum.reduceat(group, starts)
-            hot, n = np.unique(cell[np.repeat((sizes > limit) & mixed, sizes)], return_counts=True)
+            useful = mixed & np.maximum.reduceat(info, starts).astype(bool)
+            hot, n = np.unique(cell[np.repeat((runs > limit) & useful, runs)], return_counts=True)
             yield _rows([hot, [None] * len(hot), n], kinds, names)
-            starts, sizes = starts[sizes <= limit], sizes[sizes <= limit]
+            starts, runs = starts[runs <= limit], runs[runs <= limit]
         held, n = [], 0
-        for pair in _pairs_of(cell, group, starts, sizes):
+        for pair in _pairs_of(group, info.astype(bool), starts, runs):
             held.append(pair)
             n += len(pair[0])
             if n > 1_000_000:
-                yield tallied(held)
+                yield tallied(held, cell)
                 held, n = [], 0
         if held:
-            yield tallied(held)
+            yield tallied(held, cell)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = np.empty((3, 0), np.int64)
+        held, n = [np.empty((4, 0), np.int64)], 0
         for batch in batches:
-            rows = np.concatenate((carry, np.array([batch.column(i).to_numpy() for i in range(3)])), axis=1)
-            if not rows.shape[1]:
-                continue
-            cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last token's run may go on
-            carry = rows[:, cut:]
-            yield from counted(rows[:, :cut])
-        yield from counted(carry)
+            held.append(np.array([batch.column(i).to_numpy() for i in range(4)]))
+            n += batch.num_rows
+            if n > GATHER:
+                rows = np.concatenate(held, axis=1)
+                cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last token's run may go on
+                yield from counted(rows[:, :cut])
+                held, n = [rows[:, cut:]], 0
+        yield from counted(np.concatenate(held, axis=1))
 
     return run
 
 
-def _counted_pairs(postings: DataFrame, limit: int | None) -> DataFrame:
+def _counted_pairs(postings: DataFrame, limit: int) -> DataFrame:
     """(ca, cb, n): pairs of cells and their common tokens; with a null cb, a cell's tokens beyond the limit."""
-    dealt = postings.repartition(F.col("token")).sortWithinPartitions("token", "cell")
+    dealt = postings.repartition(F.col("token")).sortWithinPartitions("token", "cell", F.col("info").desc())
     return dealt.mapInArrow(_common_tokens(limit), "ca bigint, cb bigint, n bigint").groupBy("ca", "cb").agg(F.sum("n").alias("n"))
 
 
@@ -328,12 +339,19 @@ def _qualified(pairs: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def _by_frequency(sets: DataFrame) -> DataFrame:
-    """Postings of first tokens under the exact order by frequency among ``sets`` (rep, cell, grp, n, tokens)."""
+    """(cell, grp, n, firsts, n_index) of ``sets`` (rep, cell, grp, n, tokens): first tokens under the exact order by frequency among them.
+
+    Tokens of a single set are left out of ``firsts`` again once the others
+    have their places; n_index counts what is left of the index tokens.
+    """
     rows = sets.select("tokens", "cell", "grp", "rep", "n").mapInArrow(_all_tokens, "token bigint, cell bigint, grp bigint, rep bigint, n bigint")
     often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
     ordered = rows.join(often, "token").groupBy("rep", "cell", "grp", "n").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("all"))
-    first = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + F.greatest(F.lit(1), F.floor(F.col("n") / NEED))
-    return ordered.select(F.explode(F.slice("all", F.lit(1), first.cast("int"))).alias("x"), "cell", "grp").select(F.col("x.token").alias("token"), "cell", "grp")
+    n, need = F.col("n"), F.greatest(F.lit(1), F.floor(F.col("n") / NEED))
+    first = (n - F.ceil(n * NUM / DEN) + need).cast("int")
+    index = (n - F.ceil(n * 2 * NUM / (NUM + DEN)) + need).cast("int")
+    shared = lambda length: F.filter(F.slice("all", F.lit(1), length), lambda x: x["often"] > 1)
+    return ordered.select("cell", "grp", "n", F.transform(shared(first), lambda x: x["token"]).alias("firsts"), F.size(shared(index)).alias("n_index"))
 
 
 def _all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,6 +364,73 @@ def _all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "cell", "grp", "rep", "n"])
 
 
+class _Run:
+    """Sets that have one token among their first tokens, as columns, a block of BLOCK sets at a time."""
+
+    def __init__(self, token: int, rows: list[tuple]):
+        self.token = token
+        self.cell, self.group, self.n = (np.array([r[i] for r in rows]) for i in range(3))
+        self.firsts = [np.asarray(r[3], np.int64) for r in rows]
+        self.n_index = [r[4] for r in rows]
+
+    def _matrix(self, places: range, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, index = (np.zeros((len(places), len(tokens)), np.float32) for _ in range(2))
+        for row, i in enumerate(places):
+            at = np.searchsorted(tokens, self.firsts[i])
+            at[at == len(tokens)] = 0
+            ok = tokens[at] == self.firsts[i]
+            first[row, at[ok]] = 1
+            index[row, at[:self.n_index[i]][ok[:self.n_index[i]]]] = 1
+        return first, index
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of the pairs whose smallest common index token this is, and whose common ones reach the need."""
+        k = len(self.cell)
+        need = np.maximum(1, self.n // NEED)
+        for a in range(0, k, BLOCK):
+            for b in range(a, k, BLOCK):
+                left, right = range(a, min(a + BLOCK, k)), range(b, min(b + BLOCK, k))
+                tokens, often = np.unique(np.concatenate([self.firsts[i] for i in {*left, *right}]), return_counts=True)
+                tokens = tokens[often > 1]
+                (fa, ia), (fb, ib) = self._matrix(left, tokens), self._matrix(right, tokens)
+
+                def common_of(cut: slice) -> np.ndarray:
+                    return fa[:, cut] @ ib[:, cut].T + ia[:, cut] @ fb[:, cut].T - ia[:, cut] @ ib[:, cut].T
+
+                here = int(np.searchsorted(tokens, self.token))
+                na, nb = self.n[a:left.stop, None], self.n[None, b:right.stop]
+                ok = (self.group[a:left.stop, None] != self.group[None, b:right.stop]) & (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb))
+                ok &= (common_of(slice(here, here + 1)) > 0) & (common_of(slice(0, here)) == 0)
+                ok &= common_of(slice(None)) >= np.minimum(need[a:left.stop, None], need[None, b:right.stop])
+                if a == b:
+                    ok = np.triu(ok, 1)
+                i, j = np.nonzero(ok)
+                yield i + a, j + b
+
+
+def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, cell, grp, n, firsts, n_index) sorted by token: pairs of cells that qualify."""
+    held: list[tuple] = []
+    token = None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if len(held) > 1 and len({r[1] for r in held}) > 1:
+            run = _Run(token, held)
+            for i, j in run.pairs():
+                if len(i):
+                    pairs = np.unique(np.stack([run.cell[i], run.cell[j], run.group[i], run.group[j]]), axis=1)
+                    yield _rows(list(pairs), (pa.int64(),) * 4, ["ca", "cb", "grp_a", "grp_b"])
+
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns[:4]] + [batch.column(4).to_numpy(zero_copy_only=False), batch.column(5).to_pylist()]
+        for now, *row in zip(*columns, strict=True):
+            if now != token:
+                yield from done()
+                held, token = [], now
+            held.append(tuple(row))
+    yield from done()
+
+
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of cells with their sets: the groups that a link ties."""
     for batch in batches:
@@ -387,9 +472,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # The token-group matrix over first tokens, and the bounds that it gives.
     ranks = spark.sparkContext.broadcast(_ranks(first).tobytes())
-    firsts = pair.mapInArrow(_first_tokens(ranks), "doc_id bigint, key binary, firsts binary")
-    placed = firsts.join(small(members.select("key", "rep", "cell", "grp"), n_members).withColumnRenamed("key", "of"), (F.col("key") == F.col("of")) & (F.col("doc_id") == F.col("rep")))
-    postings = placed.select("firsts", "cell", "grp").mapInArrow(_postings, "token bigint, cell bigint, grp bigint")
+    placed = pair.join(small(members.select("key", "rep", "cell", "grp"), n_members), pair["doc_id"] == members["rep"]).select("text", "key", "cell", "grp")
+    postings = placed.mapInArrow(_first_tokens(ranks), "token bigint, cell bigint, grp bigint, info bigint")
     counts = scratch.write(_counted_pairs(postings, HOT), "counts")
     hot = counts.filter(F.col("cb").isNull()).select(F.col("ca").alias("of"), F.col("n").alias("hot"))
     need = F.min(F.greatest(F.lit(1), F.floor(F.col("n") / NEED)))
@@ -403,8 +487,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if n_rest:
         texts = pair.join(small(rest, n_rest), pair["doc_id"] == rest["rep"]).select("text", "key", "rep", "cell", "grp", "n")
         whole_sets = texts.mapInArrow(_to_sets, "tokens binary, key binary, rep bigint, cell bigint, grp bigint, n bigint").dropDuplicates(["rep"])
-        pairs = _counted_pairs(_by_frequency(scratch.write(whole_sets, "rest-sets")), None)
-        found = found.unionByName(_qualified(pairs, stats.withColumn("hot", F.lit(0).cast("bigint")))).distinct()
+        ordered = _by_frequency(scratch.write(whole_sets, "rest-sets"))
+        dealt = ordered.select(F.explode("firsts").alias("token"), "cell", "grp", "n", "firsts", "n_index").repartition(F.col("token")).sortWithinPartitions("token", "cell")
+        found = found.unionByName(dealt.mapInArrow(_near_pairs, "ca bigint, cb bigint, grp_a bigint, grp_b bigint")).distinct()
     qualified = scratch.write(found, "qualified")
 
     # Whole sets of qualifying cells only.

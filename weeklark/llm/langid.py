@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType
 
-from .common import small_batches, with_fields
+from .common import kept_by, small_batches, with_fields
 
 UND = "und"
 DIMENSIONS = 4096
@@ -100,6 +100,7 @@ class Model:
 
 def _frequencies(dimensions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("langid")
         seen = np.zeros(dimensions + 1, np.int64)  # the last counts documents
         for batch in batches:
             for text in batch.column(0).to_pylist():

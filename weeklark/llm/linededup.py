@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import Scratch, with_fields
+from .common import Scratch, kept_by, with_fields
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -49,6 +49,7 @@ def _keys(text: str | None, min_chars: int) -> list[bytes | None]:
 
 def _digests(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("linededup")
         for batch in batches:
             ids, keys = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
