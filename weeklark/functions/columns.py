@@ -47,6 +47,8 @@ def settled(df: DataFrame) -> DataFrame:
 
     A projection on top of another one is merged into it, and then a lambda
     evaluates the array expression that it refers to for each element. A
-    generator of one row in between keeps the two apart.
+    generator of one row in between keeps the two apart. The first column, the
+    key, passes by it, so what is known of its partitioning stays known.
     """
-    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+    key, *others = df.columns
+    return df.select(key, F.inline(F.array(F.struct(*[F.col(c) for c in others]))))
