@@ -21,6 +21,7 @@ rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -46,22 +47,40 @@ CACHE, CACHE_BYTES = 250_000, 64
 _SIGNS = b".,;:!?$%&#*()[]{}@~^_+-/\\\"`"
 
 
+#: Words of a-z and of the lower-case Latin letters with a composed mark.
+_LOWER = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+def _byte_signs() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
+
+
+_BYTE_SIGNS = _byte_signs()
+
+
 class _Chunks(dict):
     """Encoded ids, little-endian 32-bit, of white-space separated chunks in lower case: those of late, and the generation before."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model = tokenizer, tokenizer.model
         self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
         found = self.older.get(chunk)
         if found is None:
-            core = chunk.rstrip(_SIGNS)
-            if core and core != chunk and (core[-1:].isalpha() or _latin_end(core)):
-                # The tokenizer splits a run of letters from the signs after it, so both parts encode alone as they do together.
-                return self[core] + self[chunk[len(core):]]
-            found = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            core = _letters_of(chunk)
+            if core:
+                found = self[core] + self[chunk[len(core):]]
+            elif _LOWER.fullmatch(chunk):
+                # Letters that are lower case and composed already are one word to the tokenizer: its model takes them as they are.
+                word = chunk.decode("ascii") if chunk.isascii() else "".join([_BYTE_SIGNS[x] for x in chunk])
+                found = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+            else:
+                found = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= CACHE_BYTES:
             if len(self) >= CACHE:
                 self.older = dict(self)
@@ -70,6 +89,12 @@ class _Chunks(dict):
         return found
 
 
+def _letters_of(chunk: bytes) -> bytes:
+    """What comes before the signs at a chunk's end, if a letter ends it: the tokenizer splits there, so both parts encode alone as together."""
+    core = chunk.rstrip(_SIGNS)
+    return core if core and core != chunk and (core[-1:].isalpha() or _latin_end(core)) else b""
+
+
 def _latin_end(core: bytes) -> bool:
     """Ends in a Latin letter of two bytes that is a letter alone in lower case, too (a dotted capital I leaves a mark behind)."""
     last = core[-2:]
