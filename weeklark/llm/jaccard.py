@@ -23,13 +23,14 @@ sets' Jaccard similarity is at least ``NUM / DEN``. The result is exact up to
 4. Bounds. Cells of different groups are counted over their common tokens
    that are an index token of either. A pair of cells qualifies if the count
    reaches the smaller need and the sizes of their sets allow a link. A
-   token that more than ``HOT`` cells have is not paired up; each cell
-   counts such tokens instead, and the need of a pair falls by the smaller
-   of its two counts. Sets of cells whose own count alone could meet a need
+   token that more than ``HOT`` cells have is not paired up; each set
+   counts such tokens instead, and the need of a pair of cells falls by the
+   smaller of their largest counts. Sets whose own count alone could meet a need
    (a known, usually small part) go through steps 3 and 4 once more among
    themselves, with all their tokens ordered by exact frequency there. Their
    rows carry all first tokens, so that the smallest common index token
-   alone yields a pair, counted in full and held against its need at once.
+   alone yields a pair, counted in full and held against its need and its
+   sizes at once.
 5. Opening. Only for qualifying pairs are whole sets read: each set of one
    cell is bounded by its overlap with the other cell's token union, and
    compared with that cell's sets if the bound allows. One link ties two
@@ -51,7 +52,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, kept_by, small, tidy
@@ -65,7 +66,7 @@ NEED = 20
 SKETCH_BITS, BLOCK_BITS = 21, 15
 #: Members of a min-hash bucket that one task compares with the bucket's smallest set.
 DEAL = 2000
-LEADERS = 16
+LEADERS = 64
 #: Cells of a token up to which they are paired up at once.
 HOT = 8
 #: Sets that are compared with each other at once.
@@ -223,31 +224,30 @@ def _stars(sets: DataFrame) -> DataFrame:
     """(rep, leader, deal): sets to compare with the smallest set of a min-hash bucket; the leader itself is in every deal."""
     hashes = sets.select("rep", F.posexplode("mins").alias("i", "m"))
     buckets = hashes.groupBy("i", "m").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    deals = F.ceil(F.col("size") / DEAL)
-    members = hashes.join(buckets, ["i", "m"]).groupBy("rep", "leader").agg(F.max(deals).alias("deals")).filter("rep <> leader")
-    members = members.withColumn("deals", F.max("deals").over(Window.partitionBy("leader")))
+    leaders = buckets.groupBy("leader").agg(F.ceil(F.max("size") / DEAL).cast("bigint").alias("deals"))
+    members = hashes.join(buckets.join(leaders, "leader"), ["i", "m"]).filter("rep <> leader").groupBy("rep", "leader").agg(F.first("deals").alias("deals"))
     dealt = members.select("rep", "leader", F.pmod(F.xxhash64("rep"), F.col("deals")).alias("deal"))
-    own = members.select(F.col("leader").alias("rep"), "leader", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("deals") - 1)).alias("deal")).distinct()
+    own = leaders.select(F.col("leader").alias("rep"), "leader", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("deals") - 1)).alias("deal"))
     return dealt.unionByName(own)
 
 
 def _first_tokens(shared):
-    """Rows (text, doc's key, cell, grp) to a row for each first token of the text's set; info is 1 for an index token."""
+    """Rows (text, doc's key, cell, grp, rep) to a row for each first token of the text's set; info is 1 for an index token."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, ranks = _Words(), np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 held: list[tuple] = []
-                for text, key, cell, group in zip(*(c[at:at + 500].to_pylist() for c in batch.columns), strict=True):
+                for text, key, cell, group, rep in zip(*(c[at:at + 500].to_pylist() for c in batch.columns), strict=True):
                     tokens = shingles(text, words)
                     if xxhash.xxh3_128_digest(tokens.tobytes()) != key:
                         continue  # another text under the same doc_id
                     n = len(tokens)
                     own = tokens[np.argsort(ranks[_cells(tokens)], kind="stable")[:n - least_overlap(n) + needed(n)]]
                     index = np.arange(len(own)) < n - least_overlap_of_smaller(n) + needed(n)
-                    held.append((own.view(np.int64), np.full(len(own), cell), np.full(len(own), group), index.astype(np.int64)))
+                    held.append((own.view(np.int64), np.full(len(own), cell), np.full(len(own), group), index.astype(np.int64), np.full(len(own), rep)))
                 if held:
-                    yield _rows([np.concatenate(c) for c in zip(*held, strict=True)], (pa.int64(),) * 4, ["token", "cell", "grp", "info"])
+                    yield _rows([np.concatenate(c) for c in zip(*held, strict=True)], (pa.int64(),) * 5, ["token", "cell", "grp", "info", "rep"])
         tidy()
 
     return run
@@ -273,7 +273,7 @@ def _pairs_of(groups: np.ndarray, index: np.ndarray, starts: np.ndarray, sizes:
 def _common_tokens(limit: int):
     """Rows sorted by token, then cell: pairs of cells with how many tokens of this batch they share.
 
-    A token of more than ``limit`` cells yields its cells alone, with a null partner.
+    A token of more than ``limit`` cells yields its sets alone, with a null partner.
     """
     kinds, names = (pa.int64(),) * 3, ["ca", "cb", "n"]
 
@@ -288,13 +288,15 @@ def _common_tokens(limit: int):
         if not rows.shape[1]:
             return
         new = np.concatenate(([True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])))
-        token, cell, group, info = rows[:, new]
+        token, cell, group, info = rows[:4, new]
         starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         runs = np.diff(np.append(starts, len(token)))
         if (runs > limit).any():
             mixed = np.maximum.reduceat(group, starts) != np.minimum.reduceat(group, starts)
             useful = mixed & np.maximum.reduceat(info, starts).astype(bool)
-            hot, n = np.unique(cell[np.repeat((runs > limit) & useful, runs)], return_counts=True)
+            many = token[starts[(runs > limit) & useful]]
+            place = np.minimum(np.searchsorted(many, rows[0]), max(len(many) - 1, 0))
+            hot, n = np.unique(rows[4, many[place] == rows[0]] if len(many) else rows[4, :0], return_counts=True)
             yield _rows([hot, [None] * len(hot), n], kinds, names)
             starts, runs = starts[runs <= limit], runs[runs <= limit]
         held, n = [], 0
@@ -308,9 +310,9 @@ def _common_tokens(limit: int):
             yield tallied(held, cell)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [np.empty((4, 0), np.int64)], 0
+        held, n = [np.empty((5, 0), np.int64)], 0
         for batch in batches:
-            held.append(np.array([batch.column(i).to_numpy() for i in range(4)]))
+            held.append(np.array([batch.column(i).to_numpy() for i in range(5)]))
             n += batch.num_rows
             if n > GATHER:
                 rows = np.concatenate(held, axis=1)
@@ -323,7 +325,7 @@ def _common_tokens(limit: int):
 
 
 def _counted_pairs(postings: DataFrame, limit: int) -> DataFrame:
-    """(ca, cb, n): pairs of cells and their common tokens; with a null cb, a cell's tokens beyond the limit."""
+    """(ca, cb, n): pairs of cells and their common tokens; with a null cb, a set's tokens beyond the limit."""
     dealt = postings.repartition(F.col("token")).sortWithinPartitions("token", "cell", F.col("info").desc())
     return dealt.mapInArrow(_common_tokens(limit), "ca bigint, cb bigint, n bigint").groupBy("ca", "cb").agg(F.sum("n").alias("n"))
 
@@ -342,7 +344,9 @@ def _by_frequency(sets: DataFrame) -> DataFrame:
     """(cell, grp, n, firsts, n_index) of ``sets`` (rep, cell, grp, n, tokens): first tokens under the exact order by frequency among them.
 
     Tokens of a single set are left out of ``firsts`` again once the others
-    have their places; n_index counts what is left of the index tokens.
+    have their places; n_index counts what is left of the index tokens. Half
+    of each token stands for it from here on: tokens that look alike can only
+    add pairs.
     """
     rows = sets.select("tokens", "cell", "grp", "rep", "n").mapInArrow(_all_tokens, "token bigint, cell bigint, grp bigint, rep bigint, n bigint")
     often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
@@ -351,7 +355,7 @@ def _by_frequency(sets: DataFrame) -> DataFrame:
     first = (n - F.ceil(n * NUM / DEN) + need).cast("int")
     index = (n - F.ceil(n * 2 * NUM / (NUM + DEN)) + need).cast("int")
     shared = lambda length: F.filter(F.slice("all", F.lit(1), length), lambda x: x["often"] > 1)
-    return ordered.select("cell", "grp", "n", F.transform(shared(first), lambda x: x["token"]).alias("firsts"), F.size(shared(index)).alias("n_index"))
+    return ordered.select("cell", "grp", "n", F.array_distinct(F.transform(shared(first), lambda x: F.shiftright(x["token"], 32).cast("int"))).alias("firsts"), F.size(shared(index)).alias("n_index"))
 
 
 def _all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +374,7 @@ class _Run:
     def __init__(self, token: int, rows: list[tuple]):
         self.token = token
         self.cell, self.group, self.n = (np.array([r[i] for r in rows]) for i in range(3))
-        self.firsts = [np.asarray(r[3], np.int64) for r in rows]
+        self.firsts = [np.asarray(r[3], np.int32) for r in rows]
         self.n_index = [r[4] for r in rows]
 
     def _matrix(self, places: range, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -387,6 +391,7 @@ class _Run:
         """Places of the pairs whose smallest common index token this is, and whose common ones reach the need."""
         k = len(self.cell)
         need = np.maximum(1, self.n // NEED)
+        rest = -(-self.n * NUM // DEN) - need
         for a in range(0, k, BLOCK):
             for b in range(a, k, BLOCK):
                 left, right = range(a, min(a + BLOCK, k)), range(b, min(b + BLOCK, k))
@@ -402,6 +407,9 @@ class _Run:
                 ok = (self.group[a:left.stop, None] != self.group[None, b:right.stop]) & (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb))
                 ok &= (common_of(slice(here, here + 1)) > 0) & (common_of(slice(0, here)) == 0)
                 ok &= common_of(slice(None)) >= np.minimum(need[a:left.stop, None], need[None, b:right.stop])
+                # All common first tokens, and as many as lie beyond the first ones of either set, must make up the least overlap.
+                beyond = np.maximum(rest[a:left.stop, None], rest[None, b:right.stop])
+                ok &= fa @ fb.T + beyond >= -(-NUM * (na + nb) // (NUM + DEN))
                 if a == b:
                     ok = np.triu(ok, 1)
                 i, j = np.nonzero(ok)
@@ -472,17 +480,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # The token-group matrix over first tokens, and the bounds that it gives.
     ranks = spark.sparkContext.broadcast(_ranks(first).tobytes())
-    placed = pair.join(small(members.select("key", "rep", "cell", "grp"), n_members), pair["doc_id"] == members["rep"]).select("text", "key", "cell", "grp")
-    postings = placed.mapInArrow(_first_tokens(ranks), "token bigint, cell bigint, grp bigint, info bigint")
+    placed = pair.join(small(members.select("key", "rep", "cell", "grp"), n_members), pair["doc_id"] == members["rep"]).select("text", "key", "cell", "grp", "rep")
+    postings = placed.mapInArrow(_first_tokens(ranks), "token bigint, cell bigint, grp bigint, info bigint, rep bigint")
     counts = scratch.write(_counted_pairs(postings, HOT), "counts")
     hot = counts.filter(F.col("cb").isNull()).select(F.col("ca").alias("of"), F.col("n").alias("hot"))
+    judged = scratch.write(members.join(hot, F.col("rep") == F.col("of"), "left").select("key", "rep", "cell", "grp", F.col("n").cast("bigint").alias("n"), F.coalesce("hot", F.lit(0)).alias("hot")), "judged")
     need = F.min(F.greatest(F.lit(1), F.floor(F.col("n") / NEED)))
-    stats = members.groupBy("cell").agg(F.first("grp").alias("grp"), need.alias("need"), F.min("n").alias("low"), F.max("n").alias("high"))
-    stats = scratch.write(stats.join(hot, F.col("cell") == F.col("of"), "left").select("cell", "grp", "need", "low", "high", F.coalesce("hot", F.lit(0)).alias("hot")), "stats")
+    stats = judged.groupBy("cell").agg(F.first("grp").alias("grp"), need.alias("need"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("hot").alias("hot"))
     found = _qualified(counts.filter(F.col("cb").isNotNull()), stats)
     # A linked set may be a quarter smaller, and so may its need.
-    again = stats.filter(F.col("hot") >= F.greatest(F.lit(1), F.floor(F.floor(F.col("low") * NUM / DEN) / NEED)))
-    rest = scratch.write(members.join(again.select("cell"), "cell").select("key", "rep", "cell", "grp", F.col("n").cast("bigint").alias("n")), "rest")
+    rest = judged.filter(F.col("hot") >= F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * NUM / DEN) / NEED))).select("key", "rep", "cell", "grp", "n")
     n_rest = rest.count()
     if n_rest:
         texts = pair.join(small(rest, n_rest), pair["doc_id"] == rest["rep"]).select("text", "key", "rep", "cell", "grp", "n")
