@@ -77,6 +77,22 @@ def test_jaccard_matches_brute_force(spark, monkeypatch, settings):
     assert got == by_brute_force(rows)
 
 
+def test_jaccard_run_of_one_more_than_a_block(spark):
+    # 34 of 40 shingles are common to all, so that their runs have all sets and reach into the index; none of them link (34/46).
+    base = [f"w{i}" for i in range(42)]
+    rows = [(i, " ".join([*base[:20], f"x{i}", *base[20:], f"y{i}"])) for i in range(jaccard.BLOCK + 1)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: (40, i) for i, _ in rows}
+
+
+@pytest.mark.parametrize("block", [1, 2, 4, 12])
+def test_jaccard_pairs_do_not_depend_on_the_block(block):
+    draw = random.Random(5)
+    rows = [(i, i, 20, sorted({7, *draw.sample(range(8, 20), 5)}), 4) for i in range(13)]
+    found = lambda size: {(i, j) for x, y in jaccard._Run(7, rows).pairs(size) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+    assert found(block) == found(100) and found(100)
+
+
 def test_jaccard_repeated_null_and_empty(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")]
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(frame(spark, rows)).collect())

@@ -200,24 +200,27 @@ def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tidy()
 
 
-def _against_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _against_leaders(most: int):
     """Rows sorted by leader and deal, the leader's own first: links of members with it or with members that it didn't link."""
-    held: list[tuple[int, np.ndarray]] = []
-    now = None
-    for batch in batches:
-        a, b = [], []
-        for of, deal, doc, tokens in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            own = np.frombuffer(tokens, np.uint64)
-            if now != (of, deal):
-                held, now = [], (of, deal)
-            found = next((x for x, other in held if linked(other, own)), None)
-            if found is None:
-                if len(held) < LEADERS:
-                    held.append((doc, own))
-            elif found != doc:
-                a.append(found)
-                b.append(doc)
-        yield _rows([a, b], (pa.int64(), pa.int64()), ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray]] = []
+        now = None
+        for batch in batches:
+            a, b = [], []
+            for of, deal, doc, tokens in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                own = np.frombuffer(tokens, np.uint64)
+                if now != (of, deal):
+                    held, now = [], (of, deal)
+                found = next((x for x, other in held if linked(other, own)), None)
+                if found is None:
+                    if len(held) < most:
+                        held.append((doc, own))
+                elif found != doc:
+                    a.append(found)
+                    b.append(doc)
+            yield _rows([a, b], (pa.int64(), pa.int64()), ["a", "b"])
+
+    return run
 
 
 def _stars(sets: DataFrame) -> DataFrame:
@@ -369,7 +372,7 @@ def _all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Run:
-    """Sets that have one token among their first tokens, as columns, a block of BLOCK sets at a time."""
+    """Sets that have one token among their first tokens, as columns, compared a block of sets at a time."""
 
     def __init__(self, token: int, rows: list[tuple]):
         self.token = token
@@ -387,14 +390,16 @@ class _Run:
             index[row, at[:self.n_index[i]][ok[:self.n_index[i]]]] = 1
         return first, index
 
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places of the pairs whose smallest common index token this is, and whose common ones reach the need."""
         k = len(self.cell)
         need = np.maximum(1, self.n // NEED)
         rest = -(-self.n * NUM // DEN) - need
-        for a in range(0, k, BLOCK):
-            for b in range(a, k, BLOCK):
-                left, right = range(a, min(a + BLOCK, k)), range(b, min(b + BLOCK, k))
+        for a in range(0, k, block):
+            for b in range(a, k, block):
+                left, right = range(a, min(a + block, k)), range(b, min(b + block, k))
+                if a == b and len(left) == 1:
+                    continue  # one set has no partner here
                 tokens, often = np.unique(np.concatenate([self.firsts[i] for i in {*left, *right}]), return_counts=True)
                 tokens = tokens[often > 1]
                 (fa, ia), (fb, ib) = self._matrix(left, tokens), self._matrix(right, tokens)
@@ -416,27 +421,30 @@ class _Run:
                 yield i + a, j + b
 
 
-def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near_pairs(block: int):
     """Rows (token, cell, grp, n, firsts, n_index) sorted by token: pairs of cells that qualify."""
-    held: list[tuple] = []
-    token = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        token = None
 
-    def done() -> Iterator[pa.RecordBatch]:
-        if len(held) > 1 and len({r[1] for r in held}) > 1:
-            run = _Run(token, held)
-            for i, j in run.pairs():
-                if len(i):
-                    pairs = np.unique(np.stack([run.cell[i], run.cell[j], run.group[i], run.group[j]]), axis=1)
-                    yield _rows(list(pairs), (pa.int64(),) * 4, ["ca", "cb", "grp_a", "grp_b"])
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1 and len({r[1] for r in held}) > 1:
+                sets = _Run(token, held)
+                for i, j in sets.pairs(block):
+                    if len(i):
+                        pairs = np.unique(np.stack([sets.cell[i], sets.cell[j], sets.group[i], sets.group[j]]), axis=1)
+                        yield _rows(list(pairs), (pa.int64(),) * 4, ["ca", "cb", "grp_a", "grp_b"])
 
-    for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns[:4]] + [batch.column(4).to_numpy(zero_copy_only=False), batch.column(5).to_pylist()]
-        for now, *row in zip(*columns, strict=True):
-            if now != token:
-                yield from done()
-                held, token = [], now
-            held.append(tuple(row))
-    yield from done()
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[:4]] + [batch.column(4).to_numpy(zero_copy_only=False), batch.column(5).to_pylist()]
+            for now, *row in zip(*columns, strict=True):
+                if now != token:
+                    yield from done()
+                    held, token = [], now
+                held.append(tuple(row))
+        yield from done()
+
+    return run
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -470,7 +478,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     chosen = pair.join(small(stars, n_stars), pair["doc_id"] == stars["rep"]).select("text", "leader", "deal", "rep")
     spread = chosen.mapInArrow(_to_sets, "tokens binary, leader bigint, deal bigint, rep bigint").select("leader", "deal", "rep", "tokens")
     sorted_ = spread.repartition(F.col("leader"), F.col("deal")).withColumn("other", F.col("rep") != F.col("leader")).sortWithinPartitions("leader", "deal", "other", "rep")
-    star_links = scratch.write(sorted_.drop("other").mapInArrow(_against_leaders, "a bigint, b bigint"), "star-links")
+    star_links = scratch.write(sorted_.drop("other").mapInArrow(_against_leaders(LEADERS), "a bigint, b bigint"), "star-links")
     groups = components(star_links, scratch, "groups")
     grouped = sets.join(groups, sets["rep"] == groups["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("grp"))
     sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
@@ -496,7 +504,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         whole_sets = texts.mapInArrow(_to_sets, "tokens binary, key binary, rep bigint, cell bigint, grp bigint, n bigint").dropDuplicates(["rep"])
         ordered = _by_frequency(scratch.write(whole_sets, "rest-sets"))
         dealt = ordered.select(F.explode("firsts").alias("token"), "cell", "grp", "n", "firsts", "n_index").repartition(F.col("token")).sortWithinPartitions("token", "cell")
-        found = found.unionByName(dealt.mapInArrow(_near_pairs, "ca bigint, cb bigint, grp_a bigint, grp_b bigint")).distinct()
+        found = found.unionByName(dealt.mapInArrow(_near_pairs(BLOCK), "ca bigint, cb bigint, grp_a bigint, grp_b bigint")).distinct()
     qualified = scratch.write(found, "qualified")
 
     # Whole sets of qualifying cells only.
