@@ -1,4 +1,5 @@
 import datetime as dt
+import inspect
 import math
 
 import numpy as np
@@ -12,6 +13,7 @@ from weeklark.operators.activity import flag_inactive_items
 from weeklark.operators.diagnostics import get_diagnostics
 from weeklark.operators.evaluate import evaluate_benchmarks, select_best_fit, summarize_results
 from weeklark.operators.fallback import aggregate_series, group_calendar, item_shares
+from weeklark.plans import queries
 from weeklark.plans.pipeline import best_fit_pipeline
 from weeklark.plans.routed import generate_fold_details
 from weeklark.schema import ID, normalise
@@ -189,3 +191,16 @@ def test_weekly_stream(spark, tmp_path):
     write_weekly(weekly_demand_stream(stream, F.col("k"), "ts", F.col("q")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {(r[ID], r[DATE], r[Y]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("a", dt.date(2024, 1, 7), 3.0), ("a", dt.date(2024, 1, 14), 5.0)}
+
+
+def test_gbt_query_fits_all_trees_of_the_operator(spark, sf_dir, monkeypatch):
+    kinds, asked = inspect.signature(gbt.train), []
+
+    def train(*args, **options):
+        found = kinds.bind(*args, **options)
+        found.apply_defaults()
+        asked.append(found.arguments["max_iter"])
+
+    monkeypatch.setattr(gbt, "train", train)
+    queries.gbt_forecast(spark, sf_dir)
+    assert asked == [200]

@@ -26,8 +26,6 @@ HOLDOUT = 52
 #: Rows below which a part is short in the fallback queries.
 SHORT_TRAIN = 250
 NATIVE = tuple(m for m in TOURNAMENT if m not in FITTED)
-#: Trees of the registered boosted-tree query; the library's default is 200.
-QUERY_TREES = 10
 
 _COLUMNS = ("date", "item_id", "demand")
 
@@ -174,7 +172,7 @@ def gbt_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate_fold_details(named(supplier_weeks(spark, sf_dir)), kind="gbt", gbt_options={"max_iter": QUERY_TREES})
+    return generate_fold_details(named(supplier_weeks(spark, sf_dir)), kind="gbt")
 
 
 def statistical_fold_details(spark: SparkSession, sf_dir: str) -> DataFrame:
