@@ -265,6 +265,15 @@ def test_html_by_structure():
     assert html.main_text("<p>x" * 20_000).count("\n") == 19_999
 
 
+def test_html_keeps_text_around_raw_elements():
+    article = lambda body: html.main_text(f"<article><p>{body}</p></article>")
+    assert article('a <svg class="x"/> b <svg><path d="M0"/><text>no</text></svg> c') == "a b c"
+    assert article("a <math><mi>x</mi></math> b <math/> c") == "a x b c"
+    assert article("a <noscript>n</noscript> <object>o</object> <xmp>p</xmp> b") == "a n o p b"
+    assert article("a <svg> b <iframe src=y> c") == "a b c"
+    assert article("a <script>if (x) y") == "a"
+
+
 def test_html_templates(spark):
     shell = '<div class="top">Welcome to the site</div><div class="box1"><p>{}</p></div><div class="legal">All rights reserved</div>'
     rows = [(i, f"http://h.example/{i}", page(shell.format(f"Own words of page {i}"))) for i in range(12)]

@@ -51,7 +51,9 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul head title".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea svg iframe object math xmp noembed noframes".split())
+RAW = frozenset("script style template textarea svg iframe noembed noframes".split())
+#: Those of RAW that run to the page's end where no end tag follows, and those that end at once by "/>".
+TO_THE_END, MAY_BE_EMPTY = frozenset("script style textarea".split()), frozenset(["svg"])
 SIDE = frozenset("nav aside footer form menu dialog head title button select option datalist audio video canvas".split())
 LEFT_OPEN = frozenset("nav form menu header button select".split())
 MAIN = frozenset("article main".split())
@@ -96,6 +98,7 @@ def read(page: str | None) -> tuple[list[Block], list[str]]:
     stack = [_Open("", False, False, "")]
     parts: list[str] = []
     linked = in_link = 0
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -125,8 +128,12 @@ def read(page: str | None) -> tuple[list[Block], list[str]]:
             continue
         tag, closing = m[2].lower(), m[1] == "/"
         if tag in RAW and not closing:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if tag in MAY_BE_EMPTY and m[0].endswith("/>"):
+                continue
+            end = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if end is None:
+                unclosed.add(tag)  # nor is there an end further on
+            at = end.end() if end else len(page) if tag in TO_THE_END else at
             continue
         if tag == "a":
             in_link = 0 if closing else 1
