@@ -13,7 +13,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weeklark.llm import chat, fingerprints, html, langid, packing, queries, secrets, sharding
+from weeklark.llm import chat, fingerprints, langid, packing, queries, secrets, sharding
 
 
 def docs_of(spark, texts):
@@ -245,48 +245,3 @@ def test_islands_beat_or_match_best_fit():
         assert (p >= 0).all() and np.bincount(p, weights=lengths).max() <= 2048
     child = packing.cross(lengths, more[0], first, 2048, rng)
     assert (child >= 0).all() and np.bincount(child, weights=lengths).max() <= 2048
-
-
-# HTML
-
-def page(body, head=""):
-    return f"<!DOCTYPE html><html><head><title>T</title>{head}</head><body>{body}</body></html>"
-
-
-def test_html_by_structure():
-    text = html.main_text(page(
-        '<header>Site</header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>'
-        '<article><h1>Head &amp; tail</h1><p>One <b>bold</b>\n line<br>and more &#233;<p>Two<script>x("<p>no</p>")</script><aside>Related</aside>'
-        '<form><label>Mail</label><input></form><div class="ad">Buy</div><section id="comments"><p>Nice!</p></section></article>'
-        '<div class="sidebar"><p>Side</p></div><!-- gone --><footer>&copy; me</footer><style>p{}</style>'))
-    assert text == "Head & tail\nOne bold line and more é\nTwo"
-    assert html.main_text(None) == "" and html.main_text("") == "" and html.main_text("plain  text") == "plain text"
-    assert html.main_text("<nav><ul><li>Menu<article><p>Body</article>") == "Body"
-    assert html.main_text("<p>x" * 20_000).count("\n") == 19_999
-
-
-def test_html_keeps_text_around_raw_elements():
-    article = lambda body: html.main_text(f"<article><p>{body}</p></article>")
-    assert article('a <svg class="x"/> b <svg><path d="M0"/><text>no</text></svg> c') == "a b c"
-    assert article("a <math><mi>x</mi></math> b <math/> c") == "a x b c"
-    assert article("a <noscript>n</noscript> <object>o</object> <xmp>p</xmp> b") == "a n o p b"
-    assert article("a <svg> b <iframe src=y> c") == "a b c"
-    assert article("a <script>if (x) y") == "a"
-
-
-def test_html_templates(spark):
-    shell = '<div class="top">Welcome to the site</div><div class="box1"><p>{}</p></div><div class="legal">All rights reserved</div>'
-    rows = [(i, f"http://h.example/{i}", page(shell.format(f"Own words of page {i}"))) for i in range(12)]
-    rows += [(100, "http://other.example/", page(shell.format("Alone"))), (101, None, page("<p>No host</p>")), (102, "http://h.example/x", None), (0, "http://h.example/0", rows[0][2])]
-    got = html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit(1))).collect()
-    out = {r["page_id"]: r["text"] for r in got}
-    assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
-    assert all(out[i] == f"Own words of page {i}" for i in range(12))
-    assert out[100] == "Welcome to the site\nAlone\nAll rights reserved" and out[101] == "No host" and out[102] == ""
-    assert html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").limit(0)).count() == 0
-
-
-@given(st.text(alphabet="<>/pdivartcle =\"'!-&;é\n", max_size=80))
-@settings(max_examples=200, deadline=None, suppress_health_check=list(HealthCheck))
-def test_html_never_breaks(text):
-    assert isinstance(html.main_text(text), str)
