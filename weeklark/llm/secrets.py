@@ -2,17 +2,21 @@ r"""Secret scans [native]: fixed patterns plus sliding-window entropy.
 
 Base kinds, leftmost and non-overlapping within a kind: ``assign``,
 ``access`` and ``hex``. The method adds ``entropy`` spans: over every
-candidate string (20 or more characters of the key alphabet) a window of
-``WINDOW`` characters slides; the counts of its characters and the sum of
-c*log2(c) change by the one character that enters and the one that leaves,
-so each step costs the same however wide the window is. Hexadecimal
-candidates and mixed ones have thresholds of their own. A candidate that
-matches the allow list, or that a base span already covers in part, is
+candidate string (20 or more characters of the key alphabet, outside base
+spans) a window of ``WINDOW`` characters slides. Its sum of c * log2(c) over
+the counts of its characters changes by two terms a step, for the character
+that enters and the one that leaves; their counts are those in the window
+between. Each character class has a threshold of its own, and every
+candidate belongs to a class. A candidate that matches the allow list is
 suppressed. The span runs from the first to the last window at or above the
 threshold.
 
-Positions are code points, end exclusive. A null text counts as empty;
-repeated rows give repeated results; an empty table gives no rows.
+Positions are code points, end exclusive. A null or empty text has no
+spans; very long texts are scanned whole, and a candidate costs in
+proportion to its length; of base spans that start together the one whose
+kind is listed first comes first; repeated rows give repeated results; an
+empty table gives no rows; columns called secrets, or like the operator's
+own (``__text``, ``__base``), are replaced.
 """
 
 from __future__ import annotations
@@ -32,16 +36,14 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: (alphabet, bits from which a window is suspect) by character class.
-CLASSES = {
-    "hexadecimal": ("0123456789abcdefABCDEF", 3.0),
-    "mixed": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.75),
-}
+#: (pattern, bits from which a window is suspect) by character class; the first that fits counts. Words of one case are held to
+#: more than their usual 2.5 to 3.5 bits, hexadecimal digits to less than the 3.4 of random ones.
+CLASSES = {"digits": ("^[0-9]+$", 3.0), "hexadecimal": ("^[0-9a-fA-F]+$", 3.0), "word": ("^(?:[A-Z]?[a-z]+|[A-Z]+)$", 3.65), "mixed": ("", 3.75)}
 #: Allow list: identifiers, counting runs and fillers that look random but are not secret.
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
     r"|0123456789|1234567890|abcdefghij|example|sample|placeholder|changeme|dummy|lorem"
-    r"|^(.{1,8})\1+.{0,7}$|^[A-Za-z]+(?:[-_/][A-Za-z]+)+[0-9]{0,4}$"
+    r"|^(.{1,8})\1+.{0,7}$|^[A-Za-z]+(?:[-_/][A-Za-z]+)+[0-9]{0,4}$|^(?-i:[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})+)$"
 )
 
 SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
@@ -62,65 +64,70 @@ def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(located(found)))
 
 
-def _hot_range(word: Column, alphabet: str, least: float) -> Column:
+def _hot_range(word: Column, least: Column) -> Column:
     """struct(first, last): starts of the first and last suspect window of ``word``, or -1."""
-    c_log_c = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)])
+    c_log_c = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 1)])
     f = lambda c: F.element_at(c_log_c, c + 1)
-    codes_of = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.instr(F.lit(alphabet), F.substring(word, i, F.lit(1))))
-
-    def scan(codes: Column) -> Column:
-        def slide(acc: Column, i: Column) -> Column:
-            full = i > WINDOW
-            enters = F.element_at(codes, i)
-            leaves = F.when(full, F.element_at(codes, F.greatest(i - WINDOW, F.lit(1)))).otherwise(-1)
-            had = F.element_at(acc["counts"], F.greatest(leaves, F.lit(0)) + 1)
-            has = F.element_at(acc["counts"], enters + 1) - F.when(enters == leaves, 1).otherwise(0)
-            total = acc["total"] + F.when(full, f(F.greatest(had - 1, F.lit(0))) - f(had)).otherwise(0.0) + f(has + 1) - f(has)
-            suspect = (i >= WINDOW) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= least)
-            return F.struct(
-                F.transform(acc["counts"], lambda c, j: c + F.when(j == enters, 1).otherwise(0) - F.when(j == leaves, 1).otherwise(0)).alias("counts"),
-                total.alias("total"),
-                F.when(suspect & (acc["first"] < 0), i - WINDOW).otherwise(acc["first"]).alias("first"),
-                F.when(suspect, i - WINDOW).otherwise(acc["last"]).alias("last"),
-            )
-
-        start = F.struct(
-            F.array_repeat(F.lit(0), len(alphabet) + 1).alias("counts"), F.lit(0.0).alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last")
-        )
-        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, slide, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
-
-    return let(codes_of, scan)
+    count = lambda within, one: F.length(within) - F.length(F.replace(within, one, F.lit("")))
+
+    def slide(acc: Column, i: Column) -> Column:
+        full = i > WINDOW
+        between = F.substring(word, F.greatest(i - WINDOW + 1, F.lit(1)), F.least(i - 1, F.lit(WINDOW - 1)))
+        stay = count(between, F.substring(word, i, F.lit(1)))
+        left = count(between, F.substring(word, i - WINDOW, F.lit(1)))
+        change = let(stay, lambda n: f(n + 1) - f(n)) - F.when(full, let(left, lambda n: f(n + 1) - f(n))).otherwise(0.0)
+        return let(acc["total"] + change, lambda total: let((i >= WINDOW) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= least), lambda suspect: F.struct(
+            total.alias("total"),
+            F.when(suspect & (acc["first"] < 0), i - WINDOW).otherwise(acc["first"]).alias("first"),
+            F.when(suspect, i - WINDOW).otherwise(acc["last"]).alias("last"),
+        )))
+
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, slide, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+
+def _outside(p: Column, base: Column) -> Column:
+    """Parts of the candidate ``p`` that no base span covers and that hold a window: array<struct<start, word>>."""
+    whole = F.array(F.struct(p["start"].alias("start"), p["word"].alias("word")))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    over = F.array_sort(F.filter(base, lambda b: (b["start"] < p["end"]) & (b["end"] > p["start"])))
+    piece = lambda start, end: F.array(F.struct(start.alias("start"), end.alias("end")))
+    parts = F.aggregate(
+        over, F.struct(p["start"].alias("at"), none.alias("parts")),
+        lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["parts"], piece(acc["at"], b["start"])).alias("parts")),
+        lambda acc: F.concat(acc["parts"], piece(acc["at"], p["end"])),
+    )
+    cut = F.transform(F.filter(parts, lambda x: x["end"] - x["start"] >= WINDOW), lambda x: F.struct(
+        x["start"].alias("start"), F.substring(p["word"], (x["start"] - p["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")).alias("word")))
+    return F.when(F.exists(base, lambda b: (b["start"] < p["end"]) & (b["end"] > p["start"])), cut).otherwise(whole)
 
 
 def _entropy_spans(text: Column, base: Column) -> Column:
-    """Suspect windows of candidates that no base span touches."""
+    """Suspect windows of candidates outside base spans."""
     none = F.array().cast(SPANS)
-    words = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    #: Only words with both a digit and a letter can pass either class in practice; others are skipped unread.
-    mixed = lambda w: w.rlike("[0-9]") & w.rlike("[A-Za-z]") & ~w.rlike(ALLOWED)
+
+    def least(word: Column) -> Column:
+        named = [(F.lit(True) if not pattern else word.rlike(pattern), bits) for pattern, bits in CLASSES.values()]
+        return F.coalesce(*[F.when(fits, F.lit(bits)) for fits, bits in named])
 
     def located(found: Column) -> Column:
         gaps = F.split(text, CANDIDATE, -1)
         ends = running_sums(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: (F.length(g) + F.length(m)).cast("bigint")))
         placed = let(ends, lambda e: F.zip_with(found, e, lambda m, end: F.struct((end - F.length(m)).alias("start"), m.alias("word"), end.alias("end"))))
-        free = F.filter(placed, lambda p: mixed(p["word"]) & ~F.exists(base, lambda b: (b["start"] < p["end"]) & (b["end"] > p["start"])))
+        free = F.filter(F.flatten(F.transform(placed, lambda p: _outside(p, base))), lambda p: ~p["word"].rlike(ALLOWED))
 
         def judge(p: Column) -> Column:
-            (hexa, least_h), (both, least_m) = CLASSES["hexadecimal"], CLASSES["mixed"]
-            hot = F.when(p["word"].rlike("^[0-9a-fA-F]+$"), _hot_range(p["word"], hexa, least_h)).otherwise(_hot_range(p["word"], both, least_m))
+            hot = let(least(p["word"]), lambda bits: _hot_range(p["word"], bits))
             return let(hot, lambda h: F.when(h["first"] >= 0, F.struct(
                 (p["start"] + h["first"]).alias("start"), F.lit(3).alias("kind"), (p["start"] + h["last"] + WINDOW).alias("end"))))
 
         return F.filter(F.transform(free, judge), lambda s: s.isNotNull())
 
-    return let(words, lambda found: F.when(~F.exists(found, mixed), none).otherwise(located(found)))
+    return let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(located(found)))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``secrets``: array<struct<start, kind, end>> in order of start, then kind (its place in KINDS).
-
-    A column of ``docs`` that is called secrets, or starts with ``__``, is replaced.
-    """
+    """Add ``secrets``: array<struct<start, kind, end>> in order of start, then kind (its place in KINDS)."""
     whole = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
     long_enough = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6
     t = F.col("__text")
