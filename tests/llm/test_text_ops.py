@@ -154,12 +154,31 @@ def test_edits_and_next_documents(spark):
 
 # Chat
 
-CONTROL = ["</s>", "<s>", "[INST]", "[/INST]", "\\", " ", "\n", "a", "é", " [INST] ", " [/INST]</s>", "\\[INST]", "s>", "<", "["]
+CONTROL = ["</s>", "<s>", "\\e", "e", "[INST]", "[/INST]", "\\", " ", "\n", "a", "é", " [INST] ", " [/INST]</s>", "\\[INST]", "s>", "<", "["]
+
+
+def chat_unescaped(text):
+    """By one look ahead at a time."""
+    out, i = "", 0
+    while i < len(text):
+        if text[i] == "\\":
+            out, i = out + ("\\" if text[i + 1] == "e" else text[i + 1]), i + 2
+        else:
+            out, i = out + text[i], i + 1
+    return out
+
+
+@pytest.mark.parametrize("role", ["tool\\", "\\", "tool\\\\", "user \\e"])
+def test_roles_that_end_in_a_backslash(spark, role):
+    df = spark.createDataFrame([(1, 0, role, "ends \\"), (1, 1, "assistant", "\\ [/INST]</s>")], "conv_id bigint, turn bigint, role string, text string")
+    got = chat.digest(chat.format_chats(df)).first()
+    assert (got["n_turns"], got["round_trip"], got["loss_chars"]) == (2, True, 13)
+    assert got["turns_sha256"] == hashlib.sha256(f"{role}\nends \\\nassistant\n\\ [/INST]</s>\n".encode()).hexdigest()
 
 
 def test_chats_round_trip(spark):
     r = random.Random(8)
-    rows = [(c, t, r.choice(["user", "assistant", "system", "to<s>ol", None]), "".join(r.choices(CONTROL, k=r.randint(0, 8))) or None) for c in range(120) for t in range(r.randint(1, 5))]
+    rows = [(c, t, r.choice(["user", "assistant", "system", "to<s>ol", "tool\\", "\\", "\\e", "a\\\\", "x [INST] ", None]), "".join(r.choices(CONTROL, k=r.randint(0, 8))) or None) for c in range(120) for t in range(r.randint(1, 5))]
     rows += [(500, 0, "user", "x" * 100_000), (500, 1, "assistant", "y\\" * 5000), (None, 0, "user", "no id"), (501, 0, "assistant", None)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("formatted", F.lit("mine"))
     formatted = chat.format_chats(df)
@@ -174,6 +193,9 @@ def test_chats_round_trip(spark):
         assert said[conv]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest()
         needs = any(re.search(r"\\|</?s>|\[/?INST\]", a + " " + b) for _, a, b in turns)
         assert got[conv]["escaped"] == needs
+        for t, (_, role, text) in zip(got[conv]["turns"], turns, strict=True):
+            kept = got[conv]["formatted"][t["start"]:t["start"] + t["length"]]
+            assert chat_unescaped(kept) == text and not re.search(r"(?<!\\)(?:</?s>|\[/?INST\])", kept)
     assert chat.format_chats(df.limit(0)).count() == 0
 
 

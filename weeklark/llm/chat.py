@@ -6,16 +6,21 @@ A conversation is rendered as one text, one turn after the other:
 
 The control strings are ``<s>``, ``</s>``, ``[INST]`` and ``[/INST]``. The
 parser is deterministic: a control string counts unless a backslash stands
-right before it, and within a role or a text a backslash stands for the
-character after it. Rendering starts without escapes, reparses its own
-output and compares the turns it recovers with the source. Where they
-differ, or where a text holds a live control string, the conversation is
-rendered again with a backslash before every backslash and control string;
-the second reparse is compared as well and its verdict is returned.
+right before it; within a role or a text ``\e`` is a backslash, a backslash
+before a control string stands for nothing, and no other backslash is
+allowed. So no escaped role or text ends in a backslash, and one look back
+tells whether a control string counts. Rendering starts without escapes,
+reparses its own output and compares the turns it recovers with the source.
+Where they differ, conflicting content (backslashes and control strings) is
+escaped, and the result is reparsed and compared as well; other content is
+its own escape, so there is no third round. Were that result to differ, the
+job would fail.
 
 Edge cases: a null text or role is empty; a null conv_id is a conversation
 of its own; turns sort by turn, then role, then text, nulls first; repeated
-rows are repeated turns; an empty table gives no rows.
+rows are repeated turns; an empty table gives no rows; other columns,
+whatever their names, are left out. A conversation is one text and so one
+row, however long; each step over it is linear in its length.
 """
 
 from __future__ import annotations
@@ -28,15 +33,16 @@ from .common import let, running_sums
 OPEN, MIDDLE, CLOSE = "<s>", " [INST] ", " [/INST]</s>"
 #: As Java regular expressions.
 CONTROL = r"</?s>|\[/?INST\]"
-ESCAPED = rf"\\|{CONTROL}"
+#: What stands for a backslash, and what no escaped text holds.
+BACKSLASH, WRONG = r"\e", r"\\(?![e<\[])"
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?={ESCAPED})", r"\\")
+    return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit(BACKSLASH)), rf"(?={CONTROL})", r"\\")
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    return F.replace(F.regexp_replace(text, r"\\(?=[<\[])", ""), F.lit(BACKSLASH), F.lit("\\"))
 
 
 def render(turns: Column, escaped: Column) -> Column:
@@ -60,10 +66,10 @@ def parse(formatted: Column) -> Column:
         parts = F.split(piece, r"(?<!\\) \[INST\] ", -1)
         body = F.element_at(parts, 2)
         text = F.substring(body, F.lit(1), F.length(body) - len(CLOSE))
-        sound = (F.size(parts) == 2) & body.endswith(CLOSE) & ~text.rlike(rf"(?<!\\)(?:{CONTROL})")
+        sound = (F.size(parts) == 2) & body.endswith(CLOSE) & ~text.rlike(rf"(?<!\\)(?:{CONTROL})|{WRONG}")
         role = F.element_at(parts, 1)
         return F.when(
-            sound & ~role.rlike(rf"(?<!\\)(?:{CONTROL})"),
+            sound & ~role.rlike(rf"(?<!\\)(?:{CONTROL})|{WRONG}"),
             F.struct(
                 unescape(role).alias("role"), unescape(text).alias("text"),
                 (before + len(OPEN) + F.length(role) + len(MIDDLE)).cast("bigint").alias("start"),
@@ -88,7 +94,7 @@ def _same(turns: Column, parsed: Column) -> Column:
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, formatted, turns (parsed back), loss_spans, escaped, round_trip.
+    """One row per conversation: conv_id, formatted, turns (parsed back), loss_spans, escaped, round_trip (true, or the job fails).
 
     loss_spans are the code-point ranges of the assistant texts in
     ``formatted``, escapes included. All turns of a conversation meet in one
@@ -109,7 +115,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     )
     return read.select(
         "conv_id", "formatted", "turns", spans.alias("loss_spans"), "escaped",
-        F.coalesce(_same(F.col("source"), F.col("turns")), F.lit(False)).alias("round_trip"),
+        F.when(_same(F.col("source"), F.col("turns")), F.lit(True)).otherwise(
+            F.raise_error(F.concat(F.lit("not read back as written: conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))).alias("round_trip"),
     )
 
 

@@ -64,7 +64,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"),
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text")
-    return chat.digest(chat.format_chats(rows.unionByName(added)))
+    # On its own: a conversation of the table that is called -1 stays another one.
+    return chat.digest(chat.format_chats(rows).unionByName(chat.format_chats(added)))
 
 
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,10 +101,10 @@ def _shard_sql() -> str:
 # Two reparses and escapes collapse to a rule here: a conversation is escaped if any of its texts or roles holds a backslash or a control string.
 CHAT_SQL = rf"""
     WITH rows AS (
-        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-        UNION ALL SELECT -1, 0, 'user', '{PLANTED}' UNION ALL SELECT -1, 1, 'assistant', '{PLANTED}'),
+        SELECT conv_id, FALSE AS planted, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, TRUE, 0, 'user', '{PLANTED}' UNION ALL SELECT -1, TRUE, 1, 'assistant', '{PLANTED}'),
     marked AS (
-        SELECT *, bool_or(regexp_matches(role || ' ' || text, '\\|</?s>|\[/?INST\]')) OVER (PARTITION BY conv_id) AS escaped FROM rows),
+        SELECT *, bool_or(regexp_matches(role || ' ' || text, '\\|</?s>|\[/?INST\]')) OVER (PARTITION BY conv_id, planted) AS escaped FROM rows),
     sized AS (
         SELECT *, length(role) + length(text) + length('<s>') + length(' [INST] ') + length(' [/INST]</s>')
             + CASE WHEN escaped THEN len(regexp_extract_all(role, '\\|</?s>|\[/?INST\]')) + len(regexp_extract_all(text, '\\|</?s>|\[/?INST\]')) ELSE 0 END AS size
@@ -113,7 +114,7 @@ CHAT_SQL = rf"""
         CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
         sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
         CAST(sum(size) AS BIGINT) AS formatted_chars, TRUE AS round_trip
-    FROM sized GROUP BY conv_id
+    FROM sized GROUP BY conv_id, planted
 """
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
