@@ -1,6 +1,7 @@
 """Jaccard join, line dedup, decontamination against brute force and SQL, with the awkward rows of each."""
 
 import hashlib
+import pickle
 import random
 import re
 
@@ -173,7 +174,7 @@ def decon_by_hand(docs, items):
     for item, text in items:
         ws = split(text)
         for i in range(max(1, len(ws) - 12) if ws else 0):
-            windows.setdefault(tuple(ws[i:i + 13]), set()).add(str(item))
+            windows.setdefault(tuple(ws[i:i + 13]), set()).add("" if item is None else str(item))
     out = {}
     for doc, text in docs:
         ws, hit, found = split(text), set(), set()
@@ -186,10 +187,10 @@ def decon_by_hand(docs, items):
     return out
 
 
-@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 120])
+@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 2000, 120])
 def test_decontamination_matches_by_hand(spark, block):
     q = ITEM.split()
-    items = [(1, ITEM), (10, "short item"), (2, None), (3, "..."), (4, ITEM + " more"), (5, "ÜBER alles hinaus"), (6, "short item")]
+    items = [(1, ITEM), (10, "short item"), (2, None), (3, "..."), (4, ITEM + " more"), (5, "ÜBER alles hinaus"), (6, "short item"), (None, "short item"), (None, ITEM), (7, " ".join(f"z{i}" for i in range(90)))]
     docs = [
         (1, ITEM.upper()), (2, "filler " * 300 + " ".join(q[2:15])), (3, " ".join(q[:12])), (4, "a short, ITEM here"), (5, None), (6, ""), (7, "Über alles? hinaus"),
         (8, " ".join(q[:13]) + " " + " ".join(q[1:14])), (9, "short short item item short item"), (10, "w " * 20_000 + ITEM), (11, "über alles hinaus"), (12, "short item"),
@@ -199,6 +200,25 @@ def test_decontamination_matches_by_hand(spark, block):
     assert got == decon_by_hand(docs, items)
 
 
+def test_a_hash_is_verified(monkeypatch):
+    # All windows and words look alike: only their words tell them apart.
+    monkeypatch.setattr(decontam, "_hashed", lambda words, at, n: decontam.np.zeros(len(at), decontam.np.uint64))
+    monkeypatch.setattr(decontam, "_hashes", lambda words, at_hand: decontam.np.zeros(len(words), decontam.np.uint64))
+    found = decontam.NgramSet([("1", [b"a", b"b"]), ("2", [b"c", b"d"])], 2)
+    marks, items = found.hits([b"x", b"c", b"d", b"a"], decontam._Words())
+    assert marks.tolist() == [False, True, True, False] and items == {"2"}
+
+
+def test_blocks_are_bounded(spark):
+    r = random.Random(3)
+    items = spark.createDataFrame([(i, " ".join(f"rare{r.random()}" for _ in range(r.choice([5, 60, 900])))) for i in range(60)], "item_id bigint, text string")
+    blocks = list(decontam.blocks_of(items, block_bytes=20_000))
+    longest = 13 * (25 + decontam.PER_WORD)
+    assert len(blocks) > 10
+    for block in blocks:
+        assert len(pickle.dumps(decontam.NgramSet(block))) < 2 * 20_000 + longest + 4_000
+
+
 def test_decontamination_removes_documents_or_spans(spark):
     bench = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
     docs = spark.createDataFrame([(1, "Start, " + ITEM + "! End.", "x"), (2, "clean", "y"), (3, None, None)], "doc_id bigint, text string, items string")

@@ -2,18 +2,24 @@ r"""Benchmark decontamination by a broadcast set of normalised test n-grams.
 
 Words are runs of digits, letters a-z (A-Z lowered) and non-ASCII
 characters. The windows of an item are its 13-word runs, or all its words
-where it has fewer. A document's words are numbered by the benchmark's
-vocabulary; only runs of known words as long as a window are hashed, and a
-hash that is in the set is verified against the window's words. Every word
-inside an occurrence of a window is hit.
-
-The set is broadcast in blocks of items whose texts have at most
-``BLOCK_BYTES`` together; the size is summed first. A larger benchmark makes
-more blocks, and each block is one more pass within the same stage.
+where it has fewer. A document's words are hashed; only runs of words that
+the benchmark has, as long as a window, are looked up, and a hash that is in
+the set is verified against the window's words. Every word inside an
+occurrence of a window is hit.
+
+The set is a few arrays: the items' words as one run of bytes, where each
+starts, and per window a hash and a place. It is broadcast in blocks of at
+most ``BLOCK_BYTES`` of these arrays, held against while items stream in, so
+neither the driver nor a worker holds more; an item larger than a block is
+cut into parts that overlap by a window less a word. A larger benchmark
+makes more blocks: each is one more pass over the documents, written to the
+shared folder in between, and its broadcast is given up after it.
 
 Edge cases: null and empty texts, and items without words, hold no words
-and are never contaminated; repeated rows each get a result; an empty
-benchmark leaves all documents clean.
+and are never contaminated; items of null item_id are one item whose id is
+written as an empty string; very long texts are scanned whole; repeated rows
+each get a result, and repeated items are one; an empty benchmark leaves all
+documents clean, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,18 +27,22 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType
 
-from .common import kept_by, small_batches, unwrapped, with_fields, wrapped
+from .common import Scratch, kept_by, small_batches, unwrapped, with_fields, wrapped
 
 WIDTH = 13
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 128 << 20
+#: Bytes of the arrays for each word, besides its own: hash, place, and those of the window that starts there.
+PER_WORD = 32
+#: Hashes of words that a worker keeps at hand.
+AT_HAND = 300_000
 #: A document is contaminated from one hit word in so many.
 ONE_IN = 20
 
@@ -45,123 +55,161 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_TABLE).split() if text else []
 
 
-def _mixed(ids: np.ndarray) -> np.ndarray:
-    x = ids.astype(np.uint64) * _STEP
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+class _Words(dict):
+    """Hashes of words; emptied when it has grown large."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= AT_HAND:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+def _hashes(words: list[bytes], at_hand: _Words) -> np.ndarray:
+    return np.fromiter((at_hand[w] for w in words), np.uint64, len(words))
+
+
+def _hashed(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words that start at ``at``."""
+    total = np.zeros(len(at), np.uint64)
+    for j in range(n):
+        total = (total + words[at + j]) * _STEP
+        total ^= total >> np.uint64(29)
+    return total
 
 
 class NgramSet:
-    """Windows of a block of items: by length, sorted hashes and the words behind them."""
-
-    def __init__(self, items: list[tuple[str, str | None]], width: int = WIDTH):
-        self.vocabulary: dict[bytes, int] = {}
-        windows: dict[int, dict[bytes, list[str]]] = {}
-        for item, text in items:
-            words = words_of(text)
-            n = min(width, len(words))
-            for i in range(len(words) - n + 1 if n else 0):
-                for w in words[i:i + n]:
-                    self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-                owners = windows.setdefault(n, {}).setdefault(b" ".join(words[i:i + n]), [])
-                if item not in owners:
-                    owners.append(item)
-        self.windows = windows
-        self.hashes = {
-            n: np.unique([self._hashed(np.array([self.vocabulary[w] for w in key.split(b" ")]), np.zeros(1, np.int64), n)[0] for key in found])
-            for n, found in windows.items()
-        }
-
-    @staticmethod
-    def _hashed(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-        mixed = _mixed(ids)
-        total = np.zeros(len(at), np.uint64)
-        for j in range(n):
-            total = total * np.uint64(0x100000001B3) + mixed[at + j]
-        return total
-
-    def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+    """Windows of a block of items, as arrays: by length, sorted hashes and the places of the words behind them."""
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], width: int = WIDTH):
+        items = [(item, words) for item, words in items if words]
+        self.items = [item for item, _ in items]
+        sizes = np.array([len(words) for _, words in items], np.int64)
+        #: Place of each item's first word, and of each word's first byte in ``text``.
+        self.first = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+        self.text = b" ".join([b" ".join(words) for _, words in items])
+        lengths = np.fromiter((len(w) + 1 for _, words in items for w in words), np.int64, int(sizes.sum()))
+        self.starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths)))
+        at_hand = _Words()
+        hashes = np.concatenate([np.empty(0, np.uint64), *(_hashes(words, at_hand) for _, words in items)])
+        self.vocabulary = np.unique(hashes)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in np.unique(np.minimum(sizes, width)).tolist():
+            of = np.flatnonzero(np.minimum(sizes, width) == n)
+            counts = sizes[of] - n + 1
+            ends = np.cumsum(counts)
+            at = np.arange(ends[-1]) - np.repeat(ends - counts, counts) + np.repeat(self.first[of], counts)
+            keys = _hashed(hashes, at, n)
+            order = np.argsort(keys, kind="stable")
+            self.windows[n] = keys[order], at[order]
+
+    def hits(self, words: list[bytes], at_hand: _Words) -> tuple[np.ndarray, set[str]]:
         """Marks of the hit words, and the items whose windows occur."""
         marks, items = np.zeros(len(words), bool), set()
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        known = np.concatenate(([0], np.cumsum(ids > 0)))
-        for n, hashes in self.hashes.items():
-            if len(words) < n:
-                continue
-            at = np.flatnonzero(known[n:] - known[:-n] == n)
-            if not len(at):
+        if not len(self.vocabulary) or not words:
+            return marks, items
+        hashes = _hashes(words, at_hand)
+        place = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        known = np.concatenate(([0], np.cumsum(self.vocabulary[place] == hashes)))
+        for n, (keys, at) in self.windows.items():
+            here = np.flatnonzero(known[n:] - known[:-n] == n) if len(words) >= n else ()
+            if not len(here):
                 continue
-            hashed = self._hashed(ids, at, n)
-            place = np.minimum(np.searchsorted(hashes, hashed), len(hashes) - 1)
-            for i in at[hashes[place] == hashed].tolist():
-                owners = self.windows[n].get(b" ".join(words[i:i + n]))
-                if owners:
-                    marks[i:i + n] = True
-                    items.update(owners)
+            sought = _hashed(hashes, here, n)
+            low = np.searchsorted(keys, sought)
+            found = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == sought)
+            high = np.searchsorted(keys, sought[found], "right")
+            for i, lo, hi in zip(here[found].tolist(), low[found].tolist(), high.tolist(), strict=True):
+                run = b" ".join(words[i:i + n])
+                for p in at[lo:hi].tolist():
+                    if self.text[self.starts[p]:self.starts[p + n] - 1] == run:
+                        marks[i:i + n] = True
+                        items.add(self.items[int(np.searchsorted(self.first, p, "right")) - 1])
         return marks, items
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
-    """Items in blocks of bounded size; one block is on the driver at a time."""
-    rows = benchmark.select(F.col("item_id").cast("string"), "text")
-    size, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
-    per = max(1, n // max(1, -(-size // block_bytes)))
-    source = (tuple(r) for r in (rows.collect() if size <= block_bytes else rows.toLocalIterator()))
-    while block := list(islice(source, per)):
+def _parts(words: list[bytes], width: int, block_bytes: int) -> Iterator[list[bytes]]:
+    """An item's words, cut into parts that overlap by a window less a word where they would fill a block."""
+    at = 0
+    while True:
+        size, end = 0, at
+        while end < len(words) and (size < block_bytes or end - at < width):
+            size += len(words[end]) + PER_WORD
+            end += 1
+        yield words[at:end]
+        if end >= len(words):
+            return
+        at = end - width + 1
+
+
+def blocks_of(benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items and their words in blocks of bounded size; one block is on the driver at a time, as are the rows of one partition."""
+    block: list[tuple[str, list[bytes]]] = []
+    size = 0
+    for item, text in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").toLocalIterator():
+        for part in _parts(words_of(text), width, block_bytes):
+            if part:
+                block.append((item, part))
+                size += sum(map(len, part)) + PER_WORD * len(part)
+            if size >= block_bytes:
+                yield block
+                block, size = [], 0
+    if block:
         yield block
 
 
-def _scanner(shared, text_at: int, first: bool, names: list[str]):
+_ADDED = ("n_words", "n_hit", "hit_marks", "items")
+
+
+def _scanner(shared, text_at: int, own: int, first: bool, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_by("decontam")
+        at_hand = kept_by("decontam").setdefault("words", _Words())
         ngrams = shared.value
         for batch in batches:
-            total, marks, items = [], [], []
-            old_marks = [None] * batch.num_rows if first else batch.column(batch.num_columns - 2).to_pylist()
-            old_items = [None] * batch.num_rows if first else batch.column(batch.num_columns - 1).to_pylist()
+            total, hit, marks, items = [], [], [], []
+            old_marks = [None] * batch.num_rows if first else batch.column(own + 2).to_pylist()
+            old_items = [None] * batch.num_rows if first else batch.column(own + 3).to_pylist()
             for text, m0, i0 in zip(batch.column(text_at).to_pylist(), old_marks, old_items, strict=True):
                 words = words_of(text)
-                m, found = ngrams.hits(words)
+                m, found = ngrams.hits(words, at_hand)
                 if m0:
                     m |= np.unpackbits(np.frombuffer(m0, np.uint8), count=len(words)).astype(bool)
                 total.append(len(words))
-                marks.append(np.packbits(m).tobytes() if m.any() else None)
+                hit.append(int(m.sum()))
+                marks.append(np.packbits(m).tobytes() if hit[-1] else None)
                 items.append(sorted(found | set(i0 or ())))
-            kept = [batch.column(i) for i in range(batch.num_columns - (0 if first else 3))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(total, pa.int64()), pa.array(marks, pa.binary()), pa.array(items, pa.list_(pa.string()))], names)
+            added = [pa.array(total, pa.int64()), pa.array(hit, pa.int64()), pa.array(marks, pa.binary()), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(own)] + added, names)
 
     return run
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Add n_words, hit_marks (packed bits, null if none) and items to every row; no shuffle. Columns so named are replaced."""
+    """Add n_words, n_hit, hit_marks (packed bits, null if none) and items to every row; no shuffle. Columns so named are replaced."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    out = docs.drop("n_words", "hit_marks", "items")
+    out = docs.drop(*_ADDED)
     own = out.columns
-    schema = with_fields(out.schema, n_words=LongType(), hit_marks=BinaryType(), items=ArrayType(StringType()))
-    names, first = [*own, "n_words", "hit_marks", "items"], True
-    for block in blocks_of(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(NgramSet(block, width))
-        out = out.mapInArrow(_scanner(shared, own.index("text"), first, names), schema)
-        first = False
-    if first:
-        empty = spark.sparkContext.broadcast(NgramSet([], width))
-        out = out.mapInArrow(_scanner(empty, own.index("text"), True, names), schema)
+    schema = with_fields(out.schema, n_words=LongType(), n_hit=LongType(), hit_marks=BinaryType(), items=ArrayType(StringType()))
+    scratch = before = None
+    for n, block in enumerate(blocks_of(benchmark, width, block_bytes)):
+        if before is not None:
+            scratch = scratch or Scratch(spark, "decontam")
+            out = scratch.write(out, f"pass-{n}")
+            before.destroy()
+            if n > 1:
+                scratch.drop(f"pass-{n - 1}")
+        before = spark.sparkContext.broadcast(NgramSet(block, width))
+        out = out.mapInArrow(_scanner(before, own.index("text"), len(own), n == 0, [*own, *_ADDED]), schema)
+    if before is None:
+        before = spark.sparkContext.broadcast(NgramSet([], width))
+        out = out.mapInArrow(_scanner(before, own.index("text"), len(own), True, [*own, *_ADDED]), schema)
     return out
 
 
 def judged(scanned: DataFrame) -> DataFrame:
-    """Add n_hit and contaminated; drop the marks."""
-    bits = F.regexp_replace(F.hex("hit_marks"), "0", "")
-    per_digit = F.aggregate(
-        F.transform(F.filter(F.split(bits, ""), lambda d: d != ""), lambda d: F.length(F.replace(F.conv(d, 16, 2), F.lit("0"), F.lit("")))),
-        F.lit(0).cast("bigint"), lambda a, x: a + x,
-    )
-    n_hit = F.coalesce(per_digit, F.lit(0).cast("bigint"))
-    return scanned.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * ONE_IN >= F.col("n_words")))
+    """Add contaminated."""
+    return scanned.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * ONE_IN >= F.col("n_words")))
 
 
 def remove_spans(text: str | None, marks: bytes | None) -> str | None:

@@ -134,7 +134,7 @@ LINES_SQL = rf"""
 
 DECONTAMINATE_SQL = rf"""
     WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-    b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
     windows AS (
         SELECT item, n, array_to_string(w[i : i + n - 1], ' ') AS words
         FROM (SELECT item, w, least({decontam.WIDTH}, len(w)) AS n, unnest(range(1, len(w) - least({decontam.WIDTH}, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
