@@ -280,14 +280,71 @@ def test_packing_is_whole_gapless_and_tight(spark, sf_dir):
     assert packing.pack(both.limit(0), queries.tokenizer_path()).count() == 0
 
 
-def test_islands_beat_or_match_best_fit():
-    rng = np.random.default_rng(9)
-    lengths = np.sort(rng.integers(500, 1100, 400))
-    first = packing._fresh(lengths, 2048, 0.0, rng)
-    pool = packing.evolve(lengths, [], 2048, seed=1)
-    more = packing.evolve(lengths, pool, 2048, seed=2)
-    assert packing.score(lengths, more[0]) <= packing.score(lengths, pool[0]) <= packing.score(lengths, first)
-    for p in more:
-        assert (p >= 0).all() and np.bincount(p, weights=lengths).max() <= 2048
-    child = packing.cross(lengths, more[0], first, 2048, rng)
-    assert (child >= 0).all() and np.bincount(child, weights=lengths).max() <= 2048
+def test_ids_are_the_tokenizers(spark):
+    """Random texts of awkward characters, whole ones against the tokenizer's own ids of the whole."""
+    from tokenizers import Tokenizer
+
+    tokenizer, chunks = Tokenizer.from_file(queries.tokenizer_path()), packing.chunks_of(queries.tokenizer_path())
+    r = random.Random(10)
+    signs = list("aTtHhWJjKIiİıßSsÅåÉé.,'!-_<|>\"\\09 \n\t") + ["\u0308", "\u0301", "\u030a", "\u0331", "\u0338", "\u0345", "Σ", "ς", "ǅ", "Ω", "K", "ﬁ", "ẞ", "中", "한", "\u1100\u1161", "क्ष", "😀", "\u200d", "\xa0", "\u2028", "\x1c",
+             "\x85", "don't", "I'LL", "</s>", "<|endoftext|>", "the ", "Über "]
+    for _ in range(8000):
+        text = "".join(r.choices(signs, k=r.randint(1, 14)))
+        assert packing.encode(text, chunks) == np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes(), ascii(text)
+    assert packing.encode("T\u0308", chunks) == np.array([*tokenizer.encode("T\u0308", add_special_tokens=False).ids, 0], "<u4").tobytes()
+
+
+def triplets(k, seed):
+    """Lengths that fill k bins to the brim, by threes."""
+    r = random.Random(seed)
+    return [n for _ in range(k) for a, b in [(r.randint(500, 800), r.randint(500, 900))] for n in (a, b, 2048 - a - b)]
+
+
+def test_islands_beat_best_fit():
+    for seed in range(3):
+        lengths = np.sort(np.array(triplets(40, seed)))
+        first = packing._fresh(lengths, 2048, 0.0, np.random.default_rng(0))
+        pool, made = packing.evolve(lengths, [], 2048, seed=1, population=8, offspring=100)
+        more, again = packing.evolve(lengths, pool, 2048, seed=2, population=8, offspring=100)
+        assert packing.score(lengths, more[0]) <= packing.score(lengths, pool[0]) < packing.score(lengths, first) and made == again == 100
+        for p in more:
+            assert (p >= 0).all() and np.bincount(p, weights=lengths).max() <= 2048
+        child = packing.cross(lengths, more[0], first, 2048, np.random.default_rng(3))
+        assert (child >= 0).all() and np.bincount(child, weights=lengths).max() <= 2048
+    full = np.array([1024, 1024, 2000, 48])
+    assert packing.evolve(full, [], 2048, seed=1)[1] == 0 and packing.ideal(full, 2048) == (2, -2.0 * 2048**2)
+
+
+def test_packing_evolves_what_best_fit_leaves(spark):
+    lengths = triplets(40, 2)
+    first = packing._fresh(np.sort(np.array(lengths)), 2048, 0.0, np.random.default_rng(0))
+    docs = docs_of(spark, {i: "a " * (n - 1) for i, n in enumerate(lengths)})
+    got = packing.pack(docs, queries.tokenizer_path(), population=8, offspring=100).collect()
+    assert sorted(r["length"] for r in got) == sorted(lengths) and {r["generations"] for r in got} == {400}
+    assert len({r["sequence_id"] for r in got}) < first.max() + 1
+    one = packing.pack(docs, queries.tokenizer_path(), population=8, offspring=100, islands=1, epochs=1).collect()
+    assert {r["generations"] for r in one} == {100}
+
+
+def test_shards_share_their_worst_bins(spark):
+    r = random.Random(5)
+    lengths = [r.randint(20, 700) for _ in range(600)]
+    docs = docs_of(spark, {i: "a " * (n - 1) for i, n in enumerate(lengths)})
+    got = packing.pack(docs, queries.tokenizer_path(), shard_size=40).collect()
+    places = {}
+    for x in got:
+        places.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    for found in places.values():
+        at = 0
+        for offset, length in sorted(found):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert sorted(x["doc_id"] for x in got) == list(range(600))
+    assert len(places) <= math.ceil(sum(lengths) / 2048) + 3  # the bound itself allows for 15 shards of one short bin each
+
+
+def test_packing_keeps_large_ids_beside_null_ones(spark):
+    ids = [2**53 + 1, 2**62 + 3, None, -(2**61) - 1, None]
+    got = packing.pack(spark.createDataFrame([(i, "words of a text", "mine") for i in ids], "doc_id bigint, text string, offset string"), queries.tokenizer_path()).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(ids) and len({r["sequence_id"] for r in got}) == 1

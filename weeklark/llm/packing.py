@@ -3,20 +3,25 @@ r"""Best-fit packing by a grouping genetic algorithm on islands.
 A document's ids are those of a public tokenizer, then ``END_ID``. Longer
 documents than a sequence are cut into full pieces and a rest. Pieces are
 dealt to shards of about ``SHARD`` pieces by a stored random number; a shard
-is a packing problem of its own, and its last bin is the only one that the
-split can waste.
-
-For each shard some islands each evolve a population of packings. A packing
-says for every piece which bin holds it. Crossover injects whole well-filled
-bins of one parent into the other, takes the bins out that share a piece
-with them, and best-fits the displaced pieces, longest first. A packing is
-better with fewer bins, then with a larger sum of squared fills. After each
-epoch the best packings of an island migrate to the next one. A shard stops
-as soon as its bins reach the bound ceil(tokens / capacity).
-
-Edge cases: a null or empty text is one piece that holds END_ID alone;
-repeated rows are packed as pieces of their own; an empty table gives no
-rows.
+is a packing problem of its own. The worst filled bin of each shard is taken
+apart again, and the pieces of all of those are packed anew in the same way,
+until one shard is left; so the split wastes no more than one bin.
+
+For each shard some islands each evolve a population of packings: best fit
+by falling length, and weaker ones that best-fit a disturbed order. A
+packing says for every piece which bin holds it. Crossover injects whole
+well-filled bins of one parent into the other, takes the bins out that share
+a piece with them, and best-fits the displaced pieces, longest first. A
+packing is better with fewer bins, then with a larger sum of squared fills.
+After each epoch the best packings of an island migrate to the next one. An
+island stops early only if no better packing can exist: as few bins as the
+tokens need, all of them full but one.
+
+Edge cases: a null or empty text is one piece that holds END_ID alone; a
+null doc_id stays null, and ids are never turned into another type; repeated
+rows are packed as pieces of their own; a text of any length is encoded
+whole; an empty table gives no rows; other columns, whatever their names,
+are left out.
 """
 
 from __future__ import annotations
@@ -26,7 +31,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +53,8 @@ _SIGNS = b".,;:!?$%&#*()[]{}@~^_+-/\\\"`"
 
 #: Words of a-z and of the lower-case Latin letters with a composed mark.
 _LOWER = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: The first bytes of all characters from U+0300 on, where combining marks begin.
+_MARKS = re.compile(rb"[\xcc-\xff]")
 
 
 def _byte_signs() -> list[str]:
@@ -62,7 +68,7 @@ _BYTE_SIGNS = _byte_signs()
 
 
 class _Chunks(dict):
-    """Encoded ids, little-endian 32-bit, of white-space separated chunks in lower case: those of late, and the generation before."""
+    """Encoded ids, little-endian 32-bit, of white-space separated chunks: those of late, and the generation before."""
 
     def __init__(self, tokenizer):
         super().__init__()
@@ -116,7 +122,9 @@ def encode(text: str | None, chunks: _Chunks) -> bytes:
     """Ids of a whole text and END_ID, as bytes.
 
     The tokenizer drops white space and never merges across it, so a text's
-    ids are those of its chunks; ASCII letters are lowered by it anyway. A
+    ids are those of its chunks. It composes marks, then lowers letters:
+    chunks without marks are lowered at once, so that fewer differ; others
+    go to it as they are, since some letters compose in one case only. A
     text that holds the start of a special token's name is encoded whole.
     """
     if not text:
@@ -124,6 +132,8 @@ def encode(text: str | None, chunks: _Chunks) -> bytes:
     raw = text.encode()
     if b"<|" in raw:
         ids = np.array(chunks.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    elif _MARKS.search(raw):
+        ids = b"".join([chunks[c if _MARKS.search(c) else c.lower()] for c in raw.split()])
     else:
         ids = b"".join([chunks[c] for c in raw.lower().split()])
     return ids + b"\0\0\0\0"
@@ -224,99 +234,124 @@ def cross(lengths: np.ndarray, a: np.ndarray, b: np.ndarray, capacity: int, rng:
     return child
 
 
-def evolve(lengths: np.ndarray, found: list[np.ndarray], capacity: int, seed: int, population: int = POPULATION, offspring: int = OFFSPRING) -> list[np.ndarray]:
-    """One epoch of one island; the population, best first."""
+def ideal(lengths: np.ndarray, capacity: int) -> tuple[int, float]:
+    """The score of which there is no better: as few bins as the tokens need, all full but one."""
+    total = int(lengths.sum())
+    bins, rest = -(-total // capacity), total % capacity
+    return bins, -float((total // capacity) * capacity**2 + rest**2)
+
+
+def evolve(
+    lengths: np.ndarray, found: list[np.ndarray], capacity: int, seed: int, population: int = POPULATION, offspring: int = OFFSPRING,
+) -> tuple[list[np.ndarray], int]:
+    """One epoch of one island: the population, best first, and the crossovers made."""
     rng = np.random.default_rng(seed)
-    bound = -(-int(lengths.sum()) // capacity)
-    pool = found or [_fresh(lengths, capacity, 0.0, rng)]
-    ranked = sorted(((score(lengths, p), n, p) for n, p in enumerate(pool)), key=lambda x: x[:2])
-    while ranked[0][0][0] > bound and len(ranked) < population:
-        fresh = _fresh(lengths, capacity, 0.3, rng)
-        ranked.append((score(lengths, fresh), len(ranked), fresh))
-    ranked.sort(key=lambda x: x[:2])
-    for n in range(offspring):
-        if ranked[0][0][0] <= bound:
-            break
-        i, j = sorted(rng.choice(len(ranked), 2, replace=False).tolist())
+    best = ideal(lengths, capacity)
+    pool = found or [_fresh(lengths, capacity, 0.0, rng), *(_fresh(lengths, capacity, 0.3, rng) for _ in range(population - 1))]
+    ranked = sorted(((score(lengths, p), n, p) for n, p in enumerate(pool)), key=lambda x: x[:2])[:population]
+    made = 0
+    while made < offspring and ranked[0][0] > best and len(ranked) > 1:
+        i, j = rng.choice(len(ranked), 2, replace=False).tolist()
         child = cross(lengths, ranked[i][2], ranked[j][2], capacity, rng)
-        ranked.append((score(lengths, child), 1000 + n, child))
-        ranked = sorted(ranked, key=lambda x: x[:2])[:population]
-    return [p for _, _, p in ranked]
+        made += 1
+        scored = score(lengths, child)
+        if all(scored != other for other, _, _ in ranked):  # packings of one score are mostly the same one
+            ranked = sorted([*ranked, (scored, len(pool) + made, child)], key=lambda x: x[:2])[:population]
+    return [p for _, _, p in ranked], made
 
 
-_STATE = "shard bigint, island int, lengths binary, packings array<binary>"
+_STATE = "shard bigint, island int, lengths binary, packings array<binary>, generations bigint"
+_STATE_ARROW = pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("lengths", pa.binary()), ("packings", pa.list_(pa.binary())), ("generations", pa.int64())])
 
 
-def _epoch(capacity: int, islands: int, epoch: int):
+def _epoch(capacity: int, epoch: int, population: int, offspring: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 lengths = np.frombuffer(row["lengths"], "<i4")
                 found = [np.frombuffer(p, "<i4") for p in row["packings"]]
-                best = evolve(lengths, found, capacity, seed=row["shard"] * 1009 + row["island"] * 31 + epoch)
-                yield pa.RecordBatch.from_pylist(
-                    [{"shard": row["shard"], "island": row["island"], "lengths": row["lengths"], "packings": [p.astype("<i4").tobytes() for p in best]}],
-                    pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("lengths", pa.binary()), ("packings", pa.list_(pa.binary()))]),
-                )
+                best, made = evolve(lengths, found, capacity, row["shard"] * 1009 + row["island"] * 31 + epoch, population, offspring)
+                row |= {"packings": [p.astype("<i4").tobytes() for p in best], "generations": row["generations"] + made}
+                yield pa.RecordBatch.from_pylist([row], _STATE_ARROW)
 
     return run
 
 
-def _order(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows.sort_values(["length", "doc_id", "piece", "deal", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
+def _problem(rows: pa.Table) -> pa.Table:
+    lengths = np.sort(rows.column("length").to_numpy()).astype("<i4").tobytes()
+    return pa.table({"shard": pa.array([rows.column("shard")[0].as_py()], pa.int64()), "lengths": pa.array([lengths], pa.binary())})
 
 
-def pack(
-    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, shard_size: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS,
-) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Needs doc_id and text."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "packing")
-    pair = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    pieces = scratch.write(pair.mapInArrow(_tokenized(tokenizer_path, capacity), _PIECES), "pieces")
-    shards = max(1, -(-pieces.filter(F.col("length") < capacity).count() // shard_size))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "deal"), F.lit(shards)).cast("bigint"))
-    full = dealt.filter(F.col("length") == capacity).select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        # Its own sequence: negative numbers from the row's place in the table.
-        (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"),
-    )
-    open_ = dealt.filter(F.col("length") < capacity)
+_PLACED = f"{_PIECES}, sequence_id bigint, offset bigint, generations bigint, loose boolean"
+_OWN = [c.split()[0] for c in _PIECES.split(", ")]
+
+
+def _place(level: int):
+    """Rows of a shard and its islands' packings: each row's place in the best packing; loose are those of the worst filled bin."""
+    def run(rows: pa.Table, won: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "deal", "start", "ids_crc32")])
+        lengths = rows.column("length").to_numpy()
+        packings = [np.frombuffer(p, "<i4") for p in won.column("packings")[0].as_py()]
+        bins = min(packings, key=lambda p: (score(lengths, p), p.tobytes()))
+        by_bin = np.argsort(bins, kind="stable")
+        ends = np.cumsum(lengths[by_bin])
+        starts = ends - lengths[by_bin]
+        first = np.flatnonzero(np.diff(bins[by_bin], prepend=-1))
+        offset = np.empty(len(bins), np.int64)
+        offset[by_bin] = starts - np.repeat(starts[first], np.diff(np.append(first, len(bins))))
+        fills = np.bincount(bins, weights=lengths)
+        worst = int(np.where(fills > 0, fills, np.inf).argmin())
+        added = {
+            "sequence_id": (level << 56) + (rows.column("shard").to_numpy() << 24) + bins, "offset": offset,
+            "generations": np.full(len(bins), won.column("generations")[0].as_py()), "loose": bins == worst,
+        }
+        return pa.table({**{c: rows.column(c) for c in _OWN}, **{c: pa.array(v) for c, v in added.items()}})
+
+    return run
 
-    def problem(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "lengths": [np.sort(rows["length"].to_numpy()).astype("<i4").tobytes()]})
 
-    problems = open_.select("shard", "length").groupBy("shard").applyInPandas(problem, "shard bigint, lengths binary")
-    state = problems.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths", F.array().cast("array<binary>").alias("packings"))
+def _packed(dealt: DataFrame, level: int, capacity: int, islands: int, epochs: int, population: int, offspring: int) -> DataFrame:
+    """Pieces and their shard, each shard packed by its islands."""
+    problems = dealt.select("shard", "length").groupBy("shard").applyInArrow(_problem, "shard bigint, lengths binary")
+    state = problems.select(
+        "shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths", F.array().cast("array<binary>").alias("packings"),
+        F.lit(0).cast("bigint").alias("generations"))
     for epoch in range(epochs):
-        evolved = state.repartition(F.col("shard"), F.col("island")).mapInArrow(_epoch(capacity, islands, epoch), _STATE)
+        evolved = state.repartition(F.col("shard"), F.col("island")).mapInArrow(_epoch(capacity, epoch, population, offspring), _STATE)
         if epoch < epochs - 1:
             # An island goes on with its own packings and the best one of the island before it.
-            ring = evolved.groupBy("shard").agg(F.first("lengths").alias("lengths"), F.array_sort(F.collect_list(F.struct("island", "packings"))).alias("all"))
-            state = ring.select(
-                "shard", "lengths", "all", F.posexplode("all").alias("at", "own")
-            ).select(
+            ring = evolved.groupBy("shard").agg(F.first("lengths").alias("lengths"), F.array_sort(F.collect_list(F.struct("island", "packings", "generations"))).alias("all"))
+            state = ring.select("shard", "lengths", "all", F.posexplode("all").alias("at", "own")).select(
                 "shard", F.col("own.island").alias("island"), "lengths",
                 F.concat(F.col("own.packings"), F.slice(F.element_at("all", F.pmod(F.col("at") - 1, F.size("all")).cast("int") + 1)["packings"], 1, 1)).alias("packings"),
+                F.col("own.generations").alias("generations"),
             )
         else:
             state = evolved
+    winners = state.groupBy("shard").agg(F.flatten(F.collect_list("packings")).alias("packings"), F.sum("generations").alias("generations"))
+    return dealt.groupBy("shard").cogroup(winners.groupBy("shard")).applyInArrow(_place(level), _PLACED)
 
-    winners = state.groupBy("shard").agg(F.first("lengths").alias("lengths"), F.flatten(F.collect_list("packings")).alias("packings"))
 
-    def placed(rows: pd.DataFrame, won: pd.DataFrame) -> pd.DataFrame:
-        rows = _order(rows)
-        lengths = rows["length"].to_numpy()
-        bins = min((np.frombuffer(p, "<i4") for p in won["packings"].iloc[0]), key=lambda p: (score(lengths, p), p.tobytes()))
-        by_bin = np.argsort(bins, kind="stable")
-        ends = np.cumsum(lengths[by_bin])
-        starts = ends - lengths[by_bin]
-        first = np.flatnonzero(np.diff(bins[by_bin], prepend=-1))
-        offset = np.empty(len(rows), np.int64)
-        offset[by_bin] = starts - np.repeat(starts[first], np.diff(np.append(first, len(rows))))
-        rows["sequence_id"] = (rows["shard"].to_numpy() << 24) + bins
-        rows["offset"] = offset
-        return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
-
-    out = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-    return open_.groupBy("shard").cogroup(winners.groupBy("shard")).applyInPandas(placed, out).unionByName(full)
+def pack(
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, shard_size: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS,
+    population: int = POPULATION, offspring: int = OFFSPRING,
+) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; generations are the crossovers of its shard. Needs doc_id and text."""
+    scratch = Scratch(docs.sparkSession, "packing")
+    pair = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    pieces = scratch.write(pair.mapInArrow(_tokenized(tokenizer_path, capacity), _PIECES), "pieces")
+    out = pieces.filter(F.col("length") == capacity).select(
+        "doc_id", "piece", "start", "length", "ids_crc32",
+        # Its own sequence: negative numbers from the row's place in the table.
+        (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), F.lit(0).cast("bigint").alias("generations"),
+    )
+    left, level = pieces.filter(F.col("length") < capacity), 0
+    while True:
+        shards = max(1, -(-left.count() // shard_size))
+        dealt = left.select(*_OWN, F.pmod(F.xxhash64("doc_id", "piece", "deal", F.lit(level)), F.lit(shards)).cast("bigint").alias("shard"))
+        placed = _packed(dealt, level, capacity, islands, epochs, population, offspring)
+        if shards == 1:
+            return out.unionByName(placed.select(*out.columns))
+        placed = scratch.write(placed, f"level-{level}")
+        out = out.unionByName(placed.filter(~F.col("loose")).select(*out.columns))
+        left, level = placed.filter("loose"), level + 1
