@@ -37,7 +37,7 @@ QUERIES = {
     "supplier_tournament": tournament(supplier_weeks),
     "part_tournament": tournament(part_weeks),
     "supplier_final_forecast": lambda spark: best_fit_pipeline(named(supplier_weeks(spark, SF)), *NAMES)[2],
-    "part_routed_fold_details": lambda spark: generate_fold_details(part_weeks_grouped(spark, SF), group_col="p_brand", min_train_weeks=250, fitted=False),
+    "part_routed_fold_details": lambda spark: generate_fold_details(part_weeks_grouped(spark, SF), group_col="p_brand", min_train_weeks=250),
     "part_activity_classes_diagnostics": part_checks,
     "event_diagnostics": lambda spark: get_diagnostics(event_days(spark, SF)),
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weeklark.functions import fitted, models
 from weeklark.functions.registry import FITTED, TOURNAMENT
+from weeklark.operators import gbt
 from weeklark.operators.classify import category_column, classify_demand
 from weeklark.operators.forecast import FORECASTS, with_forecasts
 from weeklark.operators.series import densify_weekly, series_table
@@ -182,3 +183,135 @@ def test_fitted_models_follow_a_clear_season():
     for f in (fitted.holt_winters, fitted.damped_trend_seasonal, fitted.theta, fitted.stl_ses):
         assert np.abs(f(y, dates, horizon=52) - truth).mean() < 6
     assert (fitted.theta(y[:60], dates[:60], horizon=3) == y[:60].mean()).all()
+
+
+def _plain_smooth(y, season, a, b, g, phi):
+    level = sum(y[:season]) / season
+    trend = (sum(y[season:2 * season]) / season - level) / season
+    seasonal = [v - level for v in y[:season]]
+    error = 0.0
+    for t, v in enumerate(y):
+        s = seasonal[t % season]
+        ahead = level + phi * trend
+        error += (v - ahead - s) ** 2
+        new = a * (v - s) + (1 - a) * ahead
+        trend = b * (new - level) + (1 - b) * phi * trend
+        seasonal[t % season] = g * (v - new) + (1 - g) * s
+        level = new
+    return error, level, trend, seasonal
+
+
+def _plain_holt_winters(y, horizon, season, damped):
+    """One parameter set at a time, one week at a time."""
+    grid = [(a, b, g, p) for a in fitted.GRID for b in (0.01, 0.1, 0.3) for g in (0.05, 0.2, 0.5) for p in ((0.85, 0.95) if damped else (1.0,))]
+    best = min(grid, key=lambda q: _plain_smooth(y, season, *q)[0])
+    for width in (0.5, 0.25):
+        near = [best]
+        for i in range(4 if damped else 3):
+            for way in (1 - width, 1 + width):
+                near.append(tuple(min(x * way, 0.98 if j == 3 else 0.99) if j == i else x for j, x in enumerate(best)))
+        best = min(near, key=lambda q: _plain_smooth(y, season, *q)[0])
+    _, level, trend, seasonal = _plain_smooth(y, season, *best)
+    return [max(level + sum(best[3] ** k for k in range(0 if not damped else 1, h if not damped else h + 1)) * trend + seasonal[(len(y) + h - 1) % season], 0.0) for h in range(1, horizon + 1)]
+
+
+def _plain_theta(y, horizon, season):
+    n = len(y)
+    slope, start = np.polyfit(range(n), y, 1)
+    effect = [np.mean([y[t] - start - slope * t for t in range(p, n, season)]) for p in range(season)]
+    mean = sum(effect) / season
+    flat = [y[t] - (effect[t % season] - mean) for t in range(n)]
+    slope = np.polyfit(range(n), flat, 1)[0]
+    tried = []
+    for alpha in np.linspace(0.05, 0.95, 19):
+        level, error = flat[0], 0.0
+        for v in flat[1:]:
+            error += (v - level) ** 2
+            level += alpha * (v - level)
+        tried.append((error, alpha, level))
+    _, alpha, level = min(tried)
+    return [max(level + slope / 2 * (h - 1 + (1 - (1 - alpha) ** n) / alpha) + effect[(n + h - 1) % season] - mean, 0.0) for h in range(1, horizon + 1)]
+
+
+def _plain_loess(y, span, weights):
+    n, out = len(y), []
+    for i in range(n):
+        q = min(span, n)
+        lo = min(max(i - q // 2, 0), n - q)
+        far = max(max(abs(j - i) for j in range(lo, lo + q)), 1.0)
+        w = [(1 - min(abs(j - i) / far, 1) ** 3) ** 3 * weights[j] + 1e-12 for j in range(lo, lo + q)]
+        mx = sum(a * j for a, j in zip(w, range(lo, lo + q))) / sum(w)
+        my = sum(a * y[j] for a, j in zip(w, range(lo, lo + q))) / sum(w)
+        var = sum(a * (j - mx) ** 2 for a, j in zip(w, range(lo, lo + q)))
+        slope = sum(a * (j - mx) * (y[j] - my) for a, j in zip(w, range(lo, lo + q))) / var if var > 1e-9 else 0.0
+        out.append(my + slope * (i - mx))
+    return out
+
+
+def _plain_stl(y, season):
+    n = len(y)
+    trend, weights, seasonal = [0.0] * n, [1.0] * n, [0.0] * n
+    for _ in range(2):
+        for _ in range(2):
+            for p in range(season):
+                for t, v in zip(range(p, n, season), _plain_loess([y[t] - trend[t] for t in range(p, n, season)], 7, weights[p::season])):
+                    seasonal[t] = v
+            wide = seasonal[season - season // 2:season] + seasonal + seasonal[n - season:n - season + season - 1 - season // 2]
+            seasonal = [seasonal[t] - sum(wide[t:t + season]) / season for t in range(n)]
+            trend = _plain_loess([a - b for a, b in zip(y, seasonal)], int(1.5 * season) | 1, weights)
+        rest = [abs(a - b - c) for a, b, c in zip(y, trend, seasonal)]
+        h = 6 * float(np.median(rest))
+        weights = [(1 - min(r / h, 1) ** 2) ** 2 if h else 1.0 for r in rest]
+    return seasonal
+
+
+def test_fitted_batches_match_plain_loops():
+    """Series of several lengths, some too short or constant, in one batch."""
+    r = np.random.default_rng(3)
+    season, horizon = 12, 15
+    ys = [np.maximum(r.normal(20 + 6 * np.sin(2 * np.pi * np.arange(n) / season) + 0.05 * np.arange(n), 3), 0) for n in (24, 31, 60, 61, 85)]
+    ys += [np.where(r.random(50) < 0.7, 0.0, ys[2][:50]), np.full(40, 7.0), np.arange(5.0), np.zeros(0)]
+    dates = [[dt.date(2021, 1, 3) + dt.timedelta(weeks=i) for i in range(len(y))] for y in ys]
+    plain = {
+        "holt_winters": lambda y: _plain_holt_winters(y, horizon, season, False), "damped_trend_seasonal": lambda y: _plain_holt_winters(y, horizon, season, True),
+        "theta": lambda y: _plain_theta(y, horizon, season),
+    }
+    for name, f in plain.items():
+        got = getattr(fitted, f"{name}_batch")(ys, dates, horizon=horizon, season=season)
+        assert got.shape == (len(ys), horizon)
+        for y, row in zip(ys[:6], got):
+            np.testing.assert_allclose(row, f(y.tolist()), rtol=1e-7, atol=1e-7)
+        assert (got[6] == 7).all() and (got[7] == 2).all() and np.isnan(got[8]).all()
+    for y in ys[:6]:
+        np.testing.assert_allclose(fitted.stl_seasonal(y, season), _plain_stl(y.tolist(), season), rtol=1e-6, atol=1e-6)
+    got = fitted.stl_ses_batch(ys, dates, horizon=horizon, season=season)
+    for y, days, row in zip(ys[:6], dates, got):
+        seasonal = _plain_stl(y.tolist(), season)
+        level = y[0] - seasonal[0]
+        for v, s in zip(y[1:], seasonal[1:]):
+            level = 0.2 * (v - s) + 0.8 * level
+        cycle = {d.isocalendar()[1]: s for d, s in list(zip(days, seasonal))[-season:]}
+        want = [max(level + cycle.get((days[-1] + dt.timedelta(weeks=k)).isocalendar()[1], 0.0), 0.0) for k in range(1, horizon + 1)]
+        np.testing.assert_allclose(row, want, rtol=1e-6, atol=1e-6)
+
+
+def test_trees_match_a_plain_walk():
+    """Recursive forecasts of a small ensemble, one series and one step at a time."""
+    text = ("GBTRegressionModel\n  Tree 0 (weight 1.0):\n    If (feature 0 <= 2.5)\n     If (feature 8 <= 20.0)\n      Predict: 1.5\n     Else (feature 8 > 20.0)\n      Predict: 4.0\n"
+            "    Else (feature 0 > 2.5)\n     Predict: 3.0\n  Tree 1 (weight 0.5):\n    If (feature 5 <= 2.0)\n     Predict: -1.0\n    Else (feature 5 > 2.0)\n     Predict: 2.0\n")
+    trees = gbt.parse_trees(text)
+
+    def value(x):
+        return (3.0 if x[0] > 2.5 else 1.5 if x[8] <= 20 else 4.0) + 0.5 * (-1.0 if x[5] <= 2 else 2.0)
+
+    r = np.random.default_rng(5)
+    histories = [r.integers(0, 6, n).astype(float) for n in (60, 104, 3)] + [np.zeros(70)]
+    weeks = np.array([[(k + j) % 52 + 1 for j in range(30)] for k in range(4)])
+    got = gbt.predict_batch(trees, histories, weeks, np.ones((4, 30)))
+    for y, w, row in zip(histories, weeks, got):
+        run = y.tolist()
+        for step in range(30):
+            x = [0.0] * 14
+            x[0], x[5], x[8] = run[-1], sum(run[-4:]) / min(len(run), 4), w[step]
+            run.append(max(value(x), 0.0))
+        np.testing.assert_allclose(row, run[len(y):])

@@ -33,6 +33,6 @@ def test_matches_sql(spark, con, sf_dir, name):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"pipeline_parts"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_other_queries_run(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0

@@ -1,6 +1,11 @@
 import datetime as dt
 import inspect
 import math
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -46,7 +51,7 @@ def test_104_weeks_always_fall_back(weekly):
     assert {r["mase"] for r in ev.collect()} == {math.inf}
     best = select_best_fit(ev, "item_id").collect()
     assert [(r["best_model"], r["selection_method"]) for r in best] == [("seasonal_naive", "fallback")]
-    assert folds.count() == 10 * 52
+    assert folds.count() == len(registry.TOURNAMENT) * 52
 
 
 def test_pipeline_shapes(weekly):
@@ -57,7 +62,7 @@ def test_pipeline_shapes(weekly):
     assert {r["item_id"] for r in best.collect()} == {"a", "b"}
     out = forecast.collect()
     assert len(out) == 20 and {r["step"] for r in out} == set(range(1, 11))
-    assert ev.count() == 20 and folds.count() == 20 * 52
+    assert ev.count() == 26 and folds.count() == 26 * 52
     won = {r["item_id"]: r["best_model"] for r in best.collect()}
     assert all(r["model"] == won[r["item_id"]] for r in out)
     summary = summarize_results(best, ev, "item_id").collect()
@@ -80,7 +85,7 @@ def test_fitted_tier_and_user_models(weekly):
         raise ValueError
 
     try:
-        ev = {r["model"]: r for r in evaluate_benchmarks(df, *NAMES, tier="fitted")[0].collect()}
+        ev = {r["model"]: r for r in evaluate_benchmarks(df, *NAMES)[0].collect()}
     finally:
         registry.unregister_model("last_value")
         registry.unregister_model("broken")
@@ -204,3 +209,41 @@ def test_gbt_query_fits_all_trees_of_the_operator(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(gbt, "train", train)
     queries.gbt_forecast(spark, sf_dir)
     assert asked == [200]
+
+
+@pytest.mark.parametrize("gap", [1, 7, 10])
+def test_python_models_get_the_dates_of_the_series(spark, gap):
+    """Daily, weekly and gappy rows: the dates are those of the training rows."""
+    start = dt.date(2020, 1, 5)
+    days = [start + dt.timedelta(days=gap * i + (i // 20) * 14) for i in range(150)]
+    df = spark.createDataFrame([("a", d, float(i)) for i, d in enumerate(days)], "item_id string, date date, demand double")
+
+    @registry.register_model("days_back")
+    def days_back(history, dates, horizon=52, **_):
+        return np.full(horizon, float((dates[-1] - dates[0]) / np.timedelta64(1, "D")) + history[-1] / 1000 + len(dates) / 1e6)
+
+    try:
+        folds = evaluate_benchmarks(df, *NAMES, eval_window=20, min_train_weeks=30, names=["days_back"])[1]
+        assert {r["forecast"] for r in folds.collect()} == {(days[129] - days[0]).days + 0.129 + 130 / 1e6}
+    finally:
+        registry.unregister_model("days_back")
+
+
+def test_python_models_run_from_another_folder_without_the_subpackage(tmp_path):
+    """A copy without the training-data folders, not on PYTHONPATH, used from elsewhere."""
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "weeklark", tmp_path / "lib" / "weeklark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    script = tmp_path / "run.py"
+    script.write_text(
+        "import sys, datetime as dt\n"
+        f"sys.path.insert(0, {str(tmp_path / 'lib')!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "from weeklark.operators.evaluate import evaluate_benchmarks\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "rows = [('a', dt.date(2020, 1, 5) + dt.timedelta(weeks=i), float(i % 7)) for i in range(160)]\n"
+        "df = spark.createDataFrame(rows, 'item_id string, date date, demand double')\n"
+        "print('models', evaluate_benchmarks(df, 'date', 'item_id', 'demand', names=['theta'])[0].count())\n")
+    (tmp_path / "elsewhere").mkdir()
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, str(script)], cwd=tmp_path / "elsewhere", env=env, capture_output=True, text=True, timeout=300, check=False)
+    assert "models 1" in out.stdout, out.stderr[-2000:]

@@ -12,11 +12,12 @@ from . import models
 
 @dataclass(frozen=True)
 class Model:
-    """``native`` builds a Column from a horizon; ``python`` is f(history, dates, horizon=52, **kw) -> values."""
+    """``native`` builds a Column from a horizon; ``python`` is f(history, dates, horizon=52, **kw) -> values; ``batch`` the same over lists, a row each."""
 
     name: str
     native: Callable[[int], Column] | None = None
     python: Callable | None = None
+    batch: Callable | None = None
 
 
 #: The tournament's models in order.
@@ -24,7 +25,7 @@ TOURNAMENT = (
     "seasonal_naive", "weekly_hist_avg", "global_avg", "tsb", "temp_agg_ses", "weighted_seasonal_avg", "seasonal_median",
     "seasonal_naive_blend", "holt_winters", "theta", "imapa", "damped_trend_seasonal", "linear_trend_seasonal",
 )
-#: Fitted by an optimiser; they take part only where asked for.
+#: Fitted in Python; they take part unless the tier is native.
 FITTED = ("holt_winters", "theta", "damped_trend_seasonal")
 
 # The models of each demand class, and the class limits.
@@ -79,9 +80,11 @@ def order_of(name: str) -> int:
     return list(_registry).index(name)
 
 
-def tournament_names(tier: str = "native") -> list[str]:
-    """tier: native (expressions only) or fitted (with the optimiser-fitted models); user models always take part."""
-    own = [n for n in TOURNAMENT if tier == "fitted" or n not in FITTED]
+def tournament_names(tier: str = "full") -> list[str]:
+    """tier: full (all thirteen models) or native (the ten that are expressions); user models always take part."""
+    if tier not in ("full", "native"):
+        raise ValueError("tier must be full or native")
+    own = [n for n in TOURNAMENT if tier == "full" or n not in FITTED]
     user = [n for n in _registry if n not in TOURNAMENT and n not in ("sba", "stl_ses")]
     return known(own) + user
 
@@ -97,10 +100,10 @@ def _register_all() -> None:
 
     for name in (*TOURNAMENT, "sba"):
         if name in FITTED:
-            _add(Model(name, python=getattr(fitted, name)))
+            _add(Model(name, python=getattr(fitted, name), batch=getattr(fitted, f"{name}_batch")))
         else:
             _add(Model(name, native=getattr(models, name)))
-    _add(Model("stl_ses", python=fitted.stl_ses))
+    _add(Model("stl_ses", python=fitted.stl_ses, batch=fitted.stl_ses_batch))
 
 
 _register_all()

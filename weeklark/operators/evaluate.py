@@ -17,7 +17,7 @@ from .series import series_table
 TIE_DECIMALS = 10
 
 
-def backtest(df: DataFrame, eval_window: int = 52, min_train_weeks: int = 52, names: Sequence[str] | None = None, tier: str = "native") -> DataFrame:
+def backtest(df: DataFrame, eval_window: int = 52, min_train_weeks: int = 52, names: Sequence[str] | None = None, tier: str = "full") -> DataFrame:
     """The series table with forecasts of the holdout. Needs internal names."""
     series = series_table(df, eval_window, eval_window + min_train_weeks)
     return with_forecasts(series, list(names) if names is not None else tournament_names(tier), eval_window)
@@ -46,7 +46,7 @@ def fold_frame(tested: DataFrame, id_col: str, extra: Sequence[Column] = ()) ->
 
 def evaluate_benchmarks(
     df: DataFrame, date_col: str, id_col: str, value_col: str, eval_window: int = 52, min_train_weeks: int = 52, n_workers: int | None = None,
-    tier: str = "native", names: Sequence[str] | None = None,
+    tier: str = "full", names: Sequence[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(eval_df, fold_details_df). n_workers is accepted and not used: the cluster decides."""
     tested = backtest(normalise(df, date_col, id_col, value_col), eval_window, min_train_weeks, names, tier)
@@ -54,7 +54,7 @@ def evaluate_benchmarks(
 
 
 def _order_column(model: Column) -> Column:
-    names = known(TOURNAMENT) + [n for n in tournament_names("fitted") if n not in TOURNAMENT]
+    names = known(TOURNAMENT) + [n for n in tournament_names("full") if n not in TOURNAMENT]
     out = F.lit(len(names) + 1)
     for name in reversed(names):
         out = F.when(model == name, F.lit(order_of(name))).otherwise(out)

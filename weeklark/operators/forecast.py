@@ -1,18 +1,19 @@
-"""Run models over the series table: native ones as expressions, Python ones in Arrow batches."""
+"""Run models over the series table: native ones as expressions, Python ones in Arrow batches that carry the rest of the row along."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions import models as models_
 from ..functions.columns import nan, settled
 from ..functions.registry import Model, model, order_of
-from ..schema import ID
+from ..schema import ID, ensure_importable
 
 FORECASTS = "__forecasts"
 _ONE = "struct<model:string,model_ord:int,f:array<double>>"
@@ -22,27 +23,40 @@ def _struct(m: Model, horizon: int) -> Column:
     return F.struct(F.lit(m.name).alias("model"), F.lit(order_of(m.name)).alias("model_ord"), m.native(horizon).alias("f"))
 
 
-def _python(models: Sequence[Model], horizon: int, wanted: str | None, names: Sequence[str]):
-    orders = {m.name: order_of(m.name) for m in models}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            chosen = rows[wanted] if wanted else [None] * len(rows)
-            for y, dates, which in zip(rows["y"], rows["dates"], chosen, strict=True):
-                found = []
-                for m in models:
-                    if wanted and m.name not in (which if isinstance(which, (list, np.ndarray)) else [which]):
-                        continue
-                    try:
-                        f = np.asarray(m.python(np.asarray(y, float), np.asarray(dates), horizon=horizon), float)
-                        if f.shape != (horizon,):
-                            raise ValueError("a model returns one value per step")
-                    except Exception:  # noqa: BLE001 - a model that fails is out of the contest
-                        f = np.full(horizon, np.nan)
-                    found.append({"model": m.name, "model_ord": orders[m.name], "f": f.tolist()})
-                out.append(found)
-            yield rows[list(names)].assign(__more=out)
+_FOUND = ArrayType(StructType([StructField("model", StringType()), StructField("model_ord", IntegerType()), StructField("f", ArrayType(DoubleType()))]))
+_FOUND_ARROW = pa.list_(pa.struct([("model", pa.string()), ("model_ord", pa.int32()), ("f", pa.list_(pa.float64()))]))
+
+
+def _values(m: Model, ys: list[np.ndarray], dates: list[np.ndarray], horizon: int) -> np.ndarray:
+    """A row of forecasts for each series; a model that fails for a series is out of the contest there."""
+    if m.batch:
+        return np.asarray(m.batch(ys, dates, horizon=horizon), float)
+    out = np.full((len(ys), horizon), np.nan)
+    for row, y, when in zip(out, ys, dates, strict=True):
+        try:
+            f = np.asarray(m.python(y, when, horizon=horizon), float)
+            if f.shape != (horizon,):
+                raise ValueError("a model returns one value per step")
+            row[:] = f
+        except Exception:  # noqa: BLE001 - NaN, as the contract says
+            pass
+    return out
+
+
+def _python(models: Sequence[Model], orders: dict[str, int], horizon: int):
+    """Rows (row, y, dates, wanted) to (row, found); a null ``wanted`` asks for all models."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ys = [np.array(y, float) for y in batch.column(1).to_pylist()]
+            dates = [np.array(d, "datetime64[ns]") for d in batch.column(2).to_pylist()]
+            asked = [None if w is None else set(w) for w in batch.column(3).to_pylist()]
+            found: list[list[dict]] = [[] for _ in ys]
+            for m in models:
+                at = [i for i, w in enumerate(asked) if w is None or m.name in w]
+                if at:
+                    for i, f in zip(at, _values(m, [ys[i] for i in at], [dates[i] for i in at], horizon), strict=True):
+                        found[i].append({"model": m.name, "model_ord": orders[m.name], "f": f})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _FOUND_ARROW)], ["__row", "__more"])
 
     return run
 
@@ -52,7 +66,8 @@ def with_forecasts(series: DataFrame, names: Sequence[str], horizon: int, wanted
 
     With ``wanted``, a column that holds a model's name or an array of
     names, only those are computed for a row: a branch that is not taken is
-    not evaluated, and Python models look at it before they run.
+    not evaluated, and Python models look at it before they run. They get
+    the dates of the training rows as they are in the series.
     """
     models = [model(n) for n in names]
     native, python = [m for m in models if m.native], [m for m in models if m.python]
@@ -67,19 +82,15 @@ def with_forecasts(series: DataFrame, names: Sequence[str], horizon: int, wanted
     found = F.array(*own) if own else F.array().cast(f"array<{_ONE}>")
     out = series.withColumn(FORECASTS, F.filter(found, lambda x: x.isNotNull()) if wanted else found).select(*columns, FORECASTS)
     if python:
-        keep = [f.name for f in out.schema.fields]
-        dates = F.transform(F.sequence(F.lit(0), F.greatest(F.col("m") - 1, F.lit(0))), lambda i: F.date_sub(F.col("last"), (F.col("m") - 1 - i) * 7))
-        fed = out.withColumn("dates", F.col("train_dates") if "train_dates" in keep else dates)
-        # Only what the models read crosses to Python; the rest of the row is joined by position within it.
-        slim = fed.select(ID, "y", "dates", *([wanted] if wanted else []))
-        kind = slim.schema[ID].dataType.simpleString()
-        more = slim.mapInPandas(_python(python, horizon, wanted, [ID]), f"`{ID}` {kind}, `__more` array<{_ONE}>")
-        # pandas hands NaN over as null.
-        whole = F.transform("__more", lambda x: x.withField("f", F.transform(x["f"], lambda v: F.coalesce(v, nan()))))
-        out = out.join(more, ID).withColumn(FORECASTS, F.array_sort(F.concat(F.col(FORECASTS), whole), _by_order)).select(*keep)
-    else:
-        out = out.withColumn(FORECASTS, F.array_sort(FORECASTS, _by_order))
-    return out
+        ensure_importable()
+        keep = out.columns
+        asked = F.lit(None).cast("array<string>") if not wanted else F.col(wanted) if series.schema[wanted].dataType.typeName() == "array" else F.array(wanted)
+        fed = out.select(F.struct(*keep).alias("__row"), "y", "train_dates", asked.alias("__asked"))
+        schema = StructType([fed.schema["__row"], StructField("__more", _FOUND)])
+        carried = fed.mapInArrow(_python(python, {m.name: order_of(m.name) for m in python}, horizon), schema)
+        both = F.array_sort(F.concat(F.col(f"__row.{FORECASTS}"), F.col("__more")), _by_order)
+        return carried.select(*[both.alias(c) if c == FORECASTS else F.col(f"__row.`{c}`").alias(c) for c in keep])
+    return out.withColumn(FORECASTS, F.array_sort(FORECASTS, _by_order))
 
 
 def _by_order(a: Column, b: Column) -> Column:

@@ -13,12 +13,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.calendar import horizon_dates, iso_week
-from ..schema import DATE, ID, Y
+from ..schema import DATE, ID, Y, ensure_importable
 from .series import indexed
 
 # The features in order, lags and rolling widths.
@@ -178,23 +179,29 @@ def predict_batch(trees: Trees, histories: list[np.ndarray], weeks: np.ndarray,
     return out
 
 
-def with_forecast(series: DataFrame, trees: Trees | None, horizon: int, column: str, name: str) -> DataFrame:
-    """Add one model's forecasts to the series table; NaN without a model."""
+def with_forecast(series: DataFrame, trees: Trees | None, horizon: int, column: str, name: str, wanted: Column) -> DataFrame:
+    """Add one model's forecasts to the rows of the series table where ``wanted`` holds, an empty array to others; NaN without a model."""
     one = "struct<model:string,model_ord:int,f:array<double>>"
+    none = F.array().cast(f"array<{one}>")
+    of = lambda f: F.array(F.struct(F.lit(name).alias("model"), F.lit(0).alias("model_ord"), f.alias("f"))).cast(f"array<{one}>")
     if trees is None:
-        f = F.array_repeat(F.lit(float("nan")), horizon)
-        return series.withColumn(column, F.array(F.struct(F.lit(name).alias("model"), F.lit(0).alias("model_ord"), f.alias("f"))).cast(f"array<{one}>"))
+        return series.withColumn(column, F.when(wanted, of(F.array_repeat(F.lit(float("nan")), horizon))).otherwise(none))
+    ensure_importable()
     shared = series.sparkSession.sparkContext.broadcast(trees)  # size: trees x nodes, parameters
     dates = horizon_dates(F.col("last"), horizon)
-    fed = series.select(ID, "y", F.transform(dates, iso_week).alias("w"), F.transform(dates, F.month).alias("mo"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if len(rows):
-                f = predict_batch(shared.value, [np.asarray(y, float) for y in rows["y"]], np.array(rows["w"].tolist()), np.array(rows["mo"].tolist()))
-                yield pd.DataFrame({ID: rows[ID], "__f": list(f)})
-
-    kind = series.schema[ID].dataType.simpleString()
-    found = fed.mapInPandas(run, f"`{ID}` {kind}, `__f` array<double>")
-    value = F.array(F.struct(F.lit(name).alias("model"), F.lit(0).alias("model_ord"), F.col("__f").alias("f"))).cast(f"array<{one}>")
-    return series.join(found, ID).withColumn(column, value).drop("__f")
+    columns = [c for c in series.columns if c != column]
+    fed = series.select(F.struct(*columns).alias("__row"), "y", F.transform(dates, iso_week).alias("w"), F.transform(dates, F.month).alias("mo"), F.coalesce(wanted, F.lit(False)).alias("wanted"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = batch.filter(batch.column(4))
+            at = np.flatnonzero(batch.column(4).to_numpy(zero_copy_only=False))
+            found: list = [None] * batch.num_rows
+            if len(at):
+                ys, weeks, months = (chosen.column(i).to_pylist() for i in (1, 2, 3))
+                for i, f in zip(at.tolist(), predict_batch(shared.value, [np.array(y, float) for y in ys], np.array(weeks), np.array(months)), strict=True):
+                    found[i] = f
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["__row", "__f"])
+
+    carried = fed.mapInArrow(run, StructType([fed.schema["__row"], StructField("__f", ArrayType(DoubleType()))]))
+    return carried.select(*[F.col(f"__row.`{c}`").alias(c) for c in columns], F.when(F.col("__f").isNotNull(), of(F.col("__f"))).otherwise(none).alias(column))

@@ -57,8 +57,8 @@ def indexed(df: DataFrame) -> DataFrame:
 def series_table(df: DataFrame, holdout: int = 0, min_rows: int = 0, decay: float = DECAY) -> DataFrame:
     """One row per series of at least ``min_rows`` rows. Rows of a null date go; equal dates sort by demand.
 
-    Columns: id, n, m (training rows), y (training demand), weeks, last
-    (last training date), test, test_dates, and by ISO week 1..53 (null for
+    Columns: id, n, m (training rows), y (training demand), train_dates,
+    weeks, last (last training date), test, test_dates, and by ISO week 1..53 (null for
     unseen weeks) the mean, median and weighted mean of the training part;
     gmean, gmedian, overall (mean of week means).
     """
@@ -93,7 +93,7 @@ def series_table(df: DataFrame, holdout: int = 0, min_rows: int = 0, decay: floa
     field = lambda xs, f: F.transform(xs, lambda r: r[f])
     seen = F.filter("by_no", lambda p: p.isNotNull())
     arrays = settled(profiled.select(
-        ID, "n", "m", field("train", "y").alias("y"), field("train", "w").alias("weeks"), F.get("head", F.col("m") - 1)["d"].alias("last"),
+        ID, "n", "m", field("train", "y").alias("y"), field("head", "d").alias("train_dates"), field("train", "w").alias("weeks"), F.get("head", F.col("m") - 1)["d"].alias("last"),
         field("tail", "y").alias("test"), field("tail", "d").alias("test_dates"),
         field("by_no", "mean").alias("week_mean"), field("by_no", "median").alias("week_median"), field("by_no", "weighted").alias("week_weighted"),
         let(seen, lambda ps: F.aggregate(ps, F.lit(0.0), lambda a, p: a + p["mean"]) / F.nullif(F.size(ps), F.lit(0))).alias("overall"),

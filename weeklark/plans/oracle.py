@@ -1,36 +1,39 @@
-"""DuckDB SQL of the registered queries: closed forms where the library folds, joins where it has arrays."""
+"""DuckDB SQL of the registered queries: closed forms where the library folds, joins where it has arrays.
+
+What several parts read is materialised, so that no version of the database computes it once for each of them.
+"""
 
 from __future__ import annotations
 
-from ..functions.registry import FITTED, ROUTES, TOURNAMENT
-from .queries import NATIVE, SHORT_TRAIN
+from ..functions.registry import FITTED, ROUTES, STATISTICAL, TOURNAMENT
+from .queries import LONGER_THAN_ALL, NATIVE, SHORT_TRAIN
 
 ORDER = {name: i for i, name in enumerate(TOURNAMENT)}
 
 
 def weeks(key: str, name: str = "w") -> str:
     return f"""
-    raw_{name} AS (SELECT {key} AS id, CAST(CAST(date_trunc('week', l_shipdate) AS DATE) + 6 AS DATE) AS date, CAST(sum(l_quantity) AS DOUBLE) AS q FROM lineitem GROUP BY 1, 2),
+    raw_{name} AS MATERIALIZED (SELECT {key} AS id, CAST(CAST(date_trunc('week', l_shipdate) AS DATE) + 6 AS DATE) AS date, CAST(sum(l_quantity) AS DOUBLE) AS q FROM lineitem GROUP BY 1, 2),
     grid_{name} AS (
         SELECT id, CAST(unnest(generate_series(lo, hi, INTERVAL 7 DAY)) AS DATE) AS date
         FROM (SELECT id, min(date) AS lo FROM raw_{name} GROUP BY id), (SELECT max(date) AS hi FROM raw_{name})),
-    {name} AS (SELECT g.id, g.date, coalesce(r.q, 0.0) AS y FROM grid_{name} g LEFT JOIN raw_{name} r ON g.id = r.id AND g.date = r.date)"""
+    {name} AS MATERIALIZED (SELECT g.id, g.date, coalesce(r.q, 0.0) AS y FROM grid_{name} g LEFT JOIN raw_{name} r ON g.id = r.id AND g.date = r.date)"""
 
 
 def series(holdout: int = 52, least: int = 0) -> str:
     """From w(id, date, y): s (indexed), t (training), a (test), g, p, x."""
     return f"""
     s0 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY id) AS n, week(date) AS wk, year(date) AS yr FROM w),
-    s AS (SELECT * FROM s0 WHERE n >= {least}),
-    t AS (SELECT *, n - {holdout} AS m FROM s WHERE i < n - {holdout}),
-    a AS (SELECT *, i - (n - {holdout}) + 1 AS st FROM s WHERE i >= n - {holdout}),
-    g AS (SELECT id, avg(y) AS gm, median(y) AS gmed, max(date) AS last, count(*) AS m FROM t GROUP BY id),
-    x AS (SELECT *, week(fdate) AS fw FROM (
+    s AS MATERIALIZED (SELECT * FROM s0 WHERE n >= {least}),
+    t AS MATERIALIZED (SELECT *, n - {holdout} AS m FROM s WHERE i < n - {holdout}),
+    a AS MATERIALIZED (SELECT *, i - (n - {holdout}) + 1 AS st FROM s WHERE i >= n - {holdout}),
+    g AS MATERIALIZED (SELECT id, avg(y) AS gm, median(y) AS gmed, max(date) AS last, count(*) AS m FROM t GROUP BY id),
+    x AS MATERIALIZED (SELECT *, week(fdate) AS fw FROM (
         SELECT id, st, CAST(last + 7 + CAST((7 - isodow(last + 7)) % 7 AS INTEGER) + CAST(7 * (st - 1) AS INTEGER) AS DATE) AS fdate FROM g, range(1, 53) r(st))),
     ranked AS (SELECT *, dense_rank() OVER (PARTITION BY id ORDER BY yr) AS yrank FROM t),
-    p AS (SELECT id, wk, avg(y) AS mean, median(y) AS med, sum(y * pow(0.8, -yrank)) / sum(pow(0.8, -yrank)) AS wm FROM ranked GROUP BY id, wk),
-    ov AS (SELECT id, avg(mean) AS ov FROM p GROUP BY id),
-    px AS (
+    p AS MATERIALIZED (SELECT id, wk, avg(y) AS mean, median(y) AS med, sum(y * pow(0.8, -yrank)) / sum(pow(0.8, -yrank)) AS wm FROM ranked GROUP BY id, wk),
+    ov AS MATERIALIZED (SELECT id, avg(mean) AS ov FROM p GROUP BY id),
+    px AS MATERIALIZED (
         SELECT x.id, st, fdate, fw, gm, gmed, m, mean, med, wm, CASE WHEN ov > 0 THEN coalesce(mean / ov, 1.0) ELSE 1.0 END AS idx
         FROM x JOIN g ON g.id = x.id JOIN ov ON ov.id = x.id LEFT JOIN p ON p.id = x.id AND p.wk = x.fw)"""
 
@@ -77,14 +80,14 @@ MODELS = {
 
 
 def _all(names) -> str:
-    return "f AS (" + " UNION ALL ".join(f"SELECT id, '{n}' AS model, {ORDER.get(n, 99)} AS ord, st, f FROM ({MODELS[n]})" for n in names) + ")"
+    return "f AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT id, '{n}' AS model, {ORDER.get(n, 99)} AS ord, st, f FROM ({MODELS[n]})" for n in names) + ")"
 
 
 SUPPLIERS, PARTS = weeks("l_suppkey"), weeks("l_partkey")
 
 EVAL = """
     naive AS (SELECT id, avg(abs(y - y52)) AS nv FROM (SELECT id, y, lag(y, 52) OVER (PARTITION BY id ORDER BY i) AS y52 FROM t) WHERE y52 IS NOT NULL GROUP BY id),
-    e AS (
+    e AS MATERIALIZED (
         SELECT a.id, model, any_value(ord) AS ord, sum(abs(y - f.f)) / nullif(sum(abs(y)), 0) AS wape, avg(abs(y - f.f)) / nullif(any_value(nv), 0) AS mase,
             sum(y) AS total_actual, sum(f.f) AS total_forecast
         FROM a JOIN f ON f.id = a.id AND f.st = a.st LEFT JOIN naive ON naive.id = a.id GROUP BY a.id, model)"""
@@ -97,12 +100,12 @@ BEST = """
     ranked_best AS (
         SELECT *, row_number() OVER (PARTITION BY id ORDER BY score, p1, ord) AS rn, count(*) FILTER (score = best) OVER (PARTITION BY id) AS ties
         FROM (SELECT *, min(score) OVER (PARTITION BY id) AS best FROM sc)),
-    best AS (SELECT *, CASE WHEN ties > 1 THEN 'tiebreak' ELSE 'tournament' END AS method FROM ranked_best WHERE rn = 1)"""
+    best AS MATERIALIZED (SELECT *, CASE WHEN ties > 1 THEN 'tiebreak' ELSE 'tournament' END AS method FROM ranked_best WHERE rn = 1)"""
 
 EVALUATED = f"WITH {SUPPLIERS}, {series(52, 104)}, {_all(NATIVE)}, {EVAL}"
 
 CLASSES = """
-    cls AS (
+    cls AS MATERIALIZED (
         SELECT id, adi, cv2, CASE WHEN k = 0 THEN 'lumpy' WHEN adi <= 1.32 THEN CASE WHEN coalesce(cv2, 0) > 0.49 THEN 'erratic' ELSE 'smooth' END
             ELSE CASE WHEN coalesce(cv2, 0) > 0.49 THEN 'lumpy' ELSE 'intermittent' END END AS category
         FROM (
@@ -116,14 +119,14 @@ _ROUTED_NAMES = sorted({m for names in ROUTES.values() for m in names if m not i
 
 ACTIVITY = """
     mx AS (SELECT max(date) AS mx FROM w),
-    act AS (
+    act AS MATERIALIZED (
         SELECT id, sum(CASE WHEN date > mx - 182 THEN y ELSE 0 END) AS recent_sum, max(date) FILTER (y > 0) AS last_nonzero_date, count(*) AS total_history_weeks,
             sum(y) AS lifetime_total_qty, any_value(mx) AS mx FROM w, mx GROUP BY id)"""
 
 DAYS = "SELECT user_id AS item, CAST(ts AS DATE) AS d, round(sum(value), 6) AS q FROM events GROUP BY 1, 2"
 
 SHORT = f"""
-    pw AS (SELECT w.*, p_brand, p_type FROM w JOIN part ON p_partkey = id),
+    pw AS MATERIALIZED (SELECT w.*, p_brand, p_type FROM w JOIN part ON p_partkey = id),
     short AS (SELECT id FROM pw GROUP BY id HAVING count(*) < {SHORT_TRAIN + 52})"""
 
 SHARES = f"""
@@ -133,7 +136,7 @@ SHARES = f"""
     rec AS (
         SELECT r.grp, r.id, sum(CASE WHEN r.date <= last_train AND r.date >= last_train - 182 THEN y ELSE 0 END) AS recent
         FROM rows_ r JOIN cal USING (grp) WHERE r.id IN (SELECT id FROM short) GROUP BY r.grp, r.id),
-    shares AS (
+    shares AS MATERIALIZED (
         SELECT rec.grp, id, recent, CASE WHEN recent > 0 THEN recent / sm * CASE WHEN zeros > 0 THEN 0.9 ELSE 1.0 END
             WHEN recent = 0 THEN CASE WHEN sm > 0 THEN 0.1 ELSE 1.0 END / zeros ELSE 1.0 / alls END AS share
         FROM rec JOIN (SELECT grp, sum(CASE WHEN recent > 0 THEN recent ELSE 0 END) AS sm, count(*) FILTER (recent = 0) AS zeros, count(*) AS alls FROM rec GROUP BY grp) q ON q.grp = rec.grp)"""
@@ -181,7 +184,7 @@ ORACLE_SQL: dict[str, str] = {
         JOIN f ON f.id = a.id AND f.st = a.st AND f.model = routes.model""",
     "aggregate_series": f"WITH {PARTS}, {SHORT} SELECT p_brand, date, sum(y) AS demand FROM pw GROUP BY 1, 2",
     "item_shares": f"WITH {PARTS}, {SHORT}, rows_ AS (SELECT p_type AS grp, id, date, y FROM pw), {SHARES} SELECT grp AS p_type, id AS item_id, recent, round(share, 6) AS share FROM shares",
-    "aggregate_fallback": f"""WITH {weeks("l_partkey", "parts")}, pw AS (SELECT parts.*, p_brand, p_type FROM parts JOIN part ON p_partkey = id),
+    "aggregate_fallback": f"""WITH {weeks("l_partkey", "parts")}, pw AS MATERIALIZED (SELECT parts.*, p_brand, p_type FROM parts JOIN part ON p_partkey = id),
         short AS (SELECT id FROM pw GROUP BY id HAVING count(*) < {SHORT_TRAIN + 52}),
         rows_ AS (SELECT p_brand AS grp, id, date, y FROM pw), {SHARES},
         w AS (SELECT p_brand AS id, date, sum(y) AS y FROM pw GROUP BY 1, 2), {series(52, SHORT_TRAIN + 52)}, {CLASSES}, {_all(_ROUTED_NAMES)},
@@ -207,13 +210,23 @@ _FINAL = f"""{EVALUATED}, {BEST}"""
 
 
 def _final_sql() -> str:
-    """Winners over the holdout, then their models over whole histories."""
-    return f"""WITH won AS (SELECT id, model FROM ({_FINAL} SELECT id, model FROM best)), {SUPPLIERS}, {series(0)}, {_all(NATIVE)}
-        SELECT x.id AS item_id, won.model, x.fdate AS date, round(f.f, 4) AS forecast, CAST(x.st AS INTEGER) AS step
-        FROM won JOIN x ON x.id = won.id JOIN f ON f.id = x.id AND f.st = x.st AND f.model = won.model"""
+    """Winners over the holdout, then of each model only the series that it won, over whole histories."""
+    models = " UNION ALL ".join(f"SELECT q.id, '{n}' AS model, st, f FROM ({MODELS[n]}) q JOIN won ON won.id = q.id AND won.model = '{n}'" for n in NATIVE)
+    return f"""WITH won AS MATERIALIZED (SELECT id, model FROM ({_FINAL} SELECT id, model FROM best)), {SUPPLIERS}, {series(0)}, f AS MATERIALIZED ({models})
+        SELECT x.id AS item_id, f.model, x.fdate AS date, round(f.f, 4) AS forecast, CAST(x.st AS INTEGER) AS step FROM x JOIN f ON f.id = x.id AND f.st = x.st"""
 
 
 ORACLE_SQL["final_forecast"] = _final_sql()
+ORACLE_SQL["fold_wapes"] = f"""{EVALUATED} SELECT id AS item_id, model, CASE WHEN wape IS NULL THEN 'inf' ELSE printf('%.4f', wape) END AS fold_wapes FROM e"""
+ORACLE_SQL["pipeline_parts"] = f"""WITH {weeks("l_partkey", "all_w")}, {ACTIVITY.replace("FROM w", "FROM all_w")},
+    w AS MATERIALIZED (SELECT q.* FROM all_w q JOIN act ON act.id = q.id WHERE recent_sum > 0), {series(52, 104)}, {_all(NATIVE)}, {EVAL}, {BEST}
+    SELECT id AS item_id, model AS best_model, method AS selection_method FROM best
+    UNION ALL SELECT DISTINCT id, 'seasonal_naive', 'fallback' FROM e WHERE id NOT IN (SELECT id FROM best)"""
+_STATISTICAL_ROWS = ", ".join(f"('{c}', '{m}')" for c, names in STATISTICAL.items() for m in names)
+ORACLE_SQL["route_models_statistical"] = ORACLE_SQL["route_models"].replace(_ROUTE_ROWS, _STATISTICAL_ROWS)
+ORACLE_SQL["item_shares_signed"] = ORACLE_SQL["item_shares"].replace("id, date, y FROM pw", "id, date, y - 1.0 AS y FROM pw")
+ORACLE_SQL["aggregate_too_short"] = ORACLE_SQL["global_avg_fallback"].replace(f"< {SHORT_TRAIN + 52}", f"< {LONGER_THAN_ALL + 52}").replace(
+    "round(f, 4) AS forecast", "round(f, 4) AS forecast, 'global_avg_fallback' AS method")
 
 _FEATURES = """
     fx AS (

@@ -14,7 +14,7 @@ from ..operators.series import series_table
 from ..schema import ID, normalise
 
 
-def forecast_winners(df: DataFrame, best_fit_df: DataFrame, date_col: str, id_col: str, value_col: str, horizon: int = 52, tier: str = "native") -> DataFrame:
+def forecast_winners(df: DataFrame, best_fit_df: DataFrame, date_col: str, id_col: str, value_col: str, horizon: int = 52, tier: str = "full") -> DataFrame:
     """(id, model, date, forecast, step) of every series with a winner, over its whole history; no other model is computed."""
     series = series_table(normalise(df, date_col, id_col, value_col))
     won = series.join(best_fit_df.select(F.col(id_col).alias(ID), F.col("best_model").alias("__best")), ID)
@@ -27,12 +27,12 @@ def forecast_winners(df: DataFrame, best_fit_df: DataFrame, date_col: str, id_co
 def best_fit_pipeline(
     df: DataFrame, date_col: str, id_col: str, value_col: str, horizon: int = 52, eval_window: int = 52, inactive_weeks: int = 26,
     primary_metric: str = "wape", secondary_metric: str = "mase", primary_weight: float = 0.7, secondary_weight: float = 0.3,
-    n_workers: int | None = None, tier: str = "native",
+    n_workers: int | None = None, tier: str = "full",
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """(eval_df, best_fit_df, forecast_df, inactive_df, fold_details_df), all lazy and fully typed, also when empty.
 
-    n_workers is accepted and not used. tier="fitted" lets the fitted models
-    take part. Cache eval_df where several of the five are read.
+    n_workers is accepted and not used. tier="native" leaves out the three
+    models that are fitted in Python. Cache eval_df where several of the five are read.
     """
     active, inactive = flag_inactive_items(df, date_col, id_col, value_col, inactive_weeks)
     eval_df, folds = evaluate_benchmarks(active, date_col, id_col, value_col, eval_window, tier=tier)

@@ -25,6 +25,8 @@ from .routed import generate_fold_details
 HOLDOUT = 52
 #: Rows below which a part is short in the fallback queries.
 SHORT_TRAIN = 250
+#: More training rows than any group of the test tables has.
+LONGER_THAN_ALL = 400
 NATIVE = tuple(m for m in TOURNAMENT if m not in FITTED)
 
 _COLUMNS = ("date", "item_id", "demand")
@@ -94,8 +96,9 @@ def horizon_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select("item_id", (F.col("at") + 1).alias("step"), "date", iso_week(F.col("date")).alias("iso_week"))
 
 
-def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return evaluate_benchmarks(named(supplier_weeks(spark, sf_dir)), *_COLUMNS)
+def _evaluated(spark: SparkSession, sf_dir: str, tier: str = "native") -> tuple[DataFrame, DataFrame]:
+    """By default of the ten models that SQL can express; ``*_full`` queries run all thirteen."""
+    return evaluate_benchmarks(named(supplier_weeks(spark, sf_dir)), *_COLUMNS, tier=tier)
 
 
 def wape_mase(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +111,10 @@ def tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("item_id", "best_model", _r("composite_score", 6), _r("wape", 6), _r("mase", 6), "selection_method")
 
 
+def fold_wapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir)[0].select("item_id", "model", "fold_wapes")
+
+
 def summary_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _evaluated(spark, sf_dir)[0]
     s = summarize_results(select_best_fit(e, "item_id"), e, "item_id")
@@ -118,23 +125,50 @@ def fold_details_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evaluated(spark, sf_dir)[1].select("item_id", "model", "fold", "date", "actual", _r("forecast"))
 
 
-def final_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _final(spark: SparkSession, sf_dir: str, tier: str) -> DataFrame:
     df = named(supplier_weeks(spark, sf_dir))
-    best = select_best_fit(evaluate_benchmarks(df, *_COLUMNS)[0], "item_id")
-    return forecast_winners(df, best, *_COLUMNS).select("item_id", "model", "date", _r("forecast"), "step")
+    best = select_best_fit(evaluate_benchmarks(df, *_COLUMNS, tier=tier)[0], "item_id")
+    return forecast_winners(df, best, *_COLUMNS, tier=tier).select("item_id", "model", "date", _r("forecast"), "step")
+
+
+def final_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _final(spark, sf_dir, "native")
+
+
+def final_forecast_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _final(spark, sf_dir, "full")
 
 
 def pipeline_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline over parts, inactive ones filtered: the winners."""
+    best = best_fit_pipeline(named(part_weeks(spark, sf_dir)), *_COLUMNS, tier="native")[1]
+    return best.select("item_id", "best_model", "selection_method")
+
+
+def pipeline_parts_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = best_fit_pipeline(named(part_weeks(spark, sf_dir)), *_COLUMNS)[1]
     return best.select("item_id", "best_model", "selection_method")
 
 
-def fold_details_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = generate_fold_details(named(supplier_weeks(spark, sf_dir)), fitted=False)
+def _routed(spark: SparkSession, sf_dir: str, fitted: bool) -> DataFrame:
+    d = generate_fold_details(named(supplier_weeks(spark, sf_dir)), fitted=fitted)
     return d.select("item_id", "model", "category", "date", "actual", _r("forecast"), "method")
 
 
+def fold_details_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without Holt-Winters, which SQL can't express."""
+    return _routed(spark, sf_dir, fitted=False)
+
+
+def fold_details_routed_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _routed(spark, sf_dir, fitted=True)
+
+
+def routed_models_statistical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classified = classify_demand(part_weeks(spark, sf_dir), HOLDOUT)
+    return route_models(classified, "statistical").select(F.col(ID).alias("item_id"), "category", "model")
+
+
 def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_weeks_grouped(spark, sf_dir)
 
@@ -144,6 +178,16 @@ def aggregate_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter(F.col("method") == "aggregate_fallback").select("item_id", "model", "category", "date", "actual", _r("forecast"))
 
 
+def aggregate_fallback_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate_fold_details(_short(spark, sf_dir), group_col=["p_brand", "p_type"], min_train_weeks=SHORT_TRAIN)
+
+
+def aggregate_too_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups that have too little history themselves: their items get flat means."""
+    d = generate_fold_details(_short(spark, sf_dir), group_col="p_brand", min_train_weeks=LONGER_THAN_ALL, fitted=False)
+    return d.select("item_id", "model", "category", "date", "actual", _r("forecast"), "method")
+
+
 def global_avg_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = generate_fold_details(_short(spark, sf_dir), min_train_weeks=SHORT_TRAIN, fitted=False)
     return d.filter(F.col("method") == "global_avg_fallback").select("item_id", "model", "category", "date", "actual", _r("forecast"))
@@ -161,6 +205,14 @@ def shares_of_short_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.select(F.col(GRP).alias("p_type"), F.col(ID).alias("item_id"), "recent", _r("share", 6))
 
 
+def shares_of_returned_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Demand less one a week: many items have negative sums, which take equal shares."""
+    rows = normalise(_short(spark, sf_dir).withColumn("demand", F.col("demand") - 1.0), *_COLUMNS, F.col("p_type"))
+    counts = rows.groupBy(ID).agg(F.count(DATE).alias("k")).filter(F.col("k") < SHORT_TRAIN + HOLDOUT)
+    shares = item_shares(rows.join(counts.select(ID), ID, "left_semi"), group_calendar(aggregate_series(rows), HOLDOUT))
+    return shares.select(F.col(GRP).alias("p_type"), F.col(ID).alias("item_id"), "recent", _r("share", 6))
+
+
 def composite_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _short(spark, sf_dir).withColumn("grp", group_key(["p_brand", "p_type"]))
     return df.groupBy("grp").agg(F.countDistinct("item_id").alias("items"), F.sum("demand").alias("demand"))
@@ -179,8 +231,8 @@ def statistical_fold_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate_fold_details(named(supplier_weeks(spark, sf_dir)), kind="statistical")
 
 
-def fitted_tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select_best_fit(evaluate_benchmarks(named(supplier_weeks(spark, sf_dir)), *_COLUMNS, tier="fitted")[0], "item_id")
+def tournament_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select_best_fit(_evaluated(spark, sf_dir, "full")[0], "item_id")
 
 
 def adhoc_mae_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,11 +264,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: _model_query(name) for name in NATIVE}, "sba": _model_query("sba"),
     "tsb_parts": _model_query("tsb", part_weeks), "sba_parts": _model_query("sba", part_weeks),
     "seasonal_index_profile": seasonal_index_profile, "horizon_calendar": horizon_calendar, "wape_mase": wape_mase, "tournament": tournament,
-    "summary_by_model": summary_by_model, "fold_details_pipeline": fold_details_pipeline, "final_forecast": final_forecast,
-    "pipeline_parts": pipeline_parts, "fold_details_routed": fold_details_routed, "aggregate_fallback": aggregate_fallback,
+    "summary_by_model": summary_by_model, "fold_wapes": fold_wapes,
+    "fold_details_pipeline": fold_details_pipeline, "final_forecast": final_forecast, "final_forecast_full": final_forecast_full,
+    "pipeline_parts": pipeline_parts, "pipeline_parts_full": pipeline_parts_full, "fold_details_routed": fold_details_routed,
+    "fold_details_routed_full": fold_details_routed_full, "route_models_statistical": routed_models_statistical, "aggregate_fallback": aggregate_fallback,
+    "aggregate_fallback_full": aggregate_fallback_full, "aggregate_too_short": aggregate_too_short, "item_shares_signed": shares_of_returned_items,
     "global_avg_fallback": global_avg_fallback, "aggregate_series": brand_series, "item_shares": shares_of_short_items,
     "composite_group_key": composite_group, "gbt_features": gbt_features, "gbt_forecast": gbt_forecast,
     **{name: _model_query(name) for name in (*FITTED, "stl_ses")},
-    "statistical_fold_details": statistical_fold_details, "fitted_tournament": fitted_tournament,
+    "statistical_fold_details": statistical_fold_details, "tournament_full": tournament_full,
     "adhoc_mae_topk": adhoc_mae_topk, "adhoc_rmse": adhoc_rmse, "adhoc_bias": adhoc_bias, "model_counts": model_counts,
 }

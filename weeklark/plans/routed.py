@@ -25,9 +25,7 @@ def _routed(series: DataFrame, routed: Column, eval_window: int, kind: str, fitt
     """Add the class and, where ``routed`` holds, the forecasts of its models; other rows get an empty array."""
     series = settled(series.withColumn("category", F.when(routed, category_column(F.col("y"))).otherwise("insufficient_history")))
     if kind == "gbt":
-        found = gbt.with_forecast(series.filter(F.col("category") != "insufficient_history"), trained, eval_window, FORECASTS, GBT)
-        none = F.array().cast(f"array<{_ONE}>")
-        return found.unionByName(series.filter(F.col("category") == "insufficient_history").withColumn(FORECASTS, none))
+        return gbt.with_forecast(series, trained, eval_window, FORECASTS, GBT, F.col("category") != "insufficient_history")
     names: dict[str, list[str]] = {c: [m for m in get_models_for_category(c, kind) if fitted or m not in FITTED] for c in CATEGORIES}
     wanted = F.array().cast("array<string>")
     for category, own in names.items():
@@ -74,23 +72,26 @@ def generate_fold_details(
 
     flat_name = GBT_FLAT if kind == "gbt" else "global_avg"
     flat = _one(flat_name, flat_forecast(eval_window))
-    tested = series_table(plain, eval_window, eval_window)
-    if not grouped:  # both kinds of series in one pass
-        both = _routed(tested, long_enough, eval_window, kind, fitted, trained)
-        both = both.withColumn(FORECASTS, F.when(long_enough, F.col(FORECASTS)).otherwise(flat))
+    # Every series in one pass, whatever becomes of it.
+    tested = _routed(series_table(plain, eval_window, eval_window), long_enough, eval_window, kind, fitted, trained)
+    if not grouped:
+        both = tested.withColumn(FORECASTS, F.when(long_enough, F.col(FORECASTS)).otherwise(flat))
         return _folds(both, id_col, F.when(long_enough, "direct").otherwise("global_avg_fallback"))
 
-    direct = _folds(_routed(tested.filter(long_enough), F.lit(True), eval_window, kind, fitted, trained), id_col, F.lit("direct"))
     sums = aggregate_series(rows)
     calendar = group_calendar(sums, eval_window)
     short_ids = rows.groupBy(ID).agg(F.count(F.lit(1)).alias("n")).filter(~long_enough).select(ID)
-    shares = item_shares(rows.join(short_ids, ID, "left_semi"), calendar, new_item_share).join(calendar.select(GRP, "n_dates"), GRP)
-    short = tested.filter(~long_enough).withColumn("category", F.lit("insufficient_history"))
-    poor = short.withColumn(FORECASTS, flat).join(shares.filter(F.col("n_dates") < least).select(ID), ID)
+    shares = item_shares(rows.join(short_ids, ID, "left_semi"), calendar, new_item_share)
     by_group = _routed(series_table(sums, eval_window, least), F.lit(True), eval_window, kind, fitted, trained).select(
         F.col(ID).alias(GRP), F.col("category").alias("__category"), F.col(FORECASTS).alias("__of_group"))
-    rich = shares.filter(F.col("n_dates") >= least).join(by_group, GRP).join(short.drop("category"), ID)
+    # A group too short for models of its own has no row in by_group; a series of a null group has no share.
+    lent = shares.join(by_group, GRP, "left").select(ID, "share", "__category", "__of_group")
+    both = tested.join(lent, ID, "left").filter(long_enough | F.col("share").isNotNull())
     dealt = F.transform("__of_group", lambda x: F.struct(
         x["model"].alias("model"), x["model_ord"].alias("model_ord"), F.transform(x["f"], lambda v: F.greatest(v * F.col("share"), F.lit(0.0))).alias("f")))
-    lent = rich.withColumn(FORECASTS, dealt).withColumn("category", F.col("__category"))
-    return direct.unionByName(_folds(lent, id_col, F.lit("aggregate_fallback"))).unionByName(_folds(poor, id_col, F.lit("global_avg_fallback")))
+    rich = F.col("__of_group").isNotNull()
+    chosen = both.withColumns({
+        FORECASTS: F.when(long_enough, F.col(FORECASTS)).when(rich, dealt).otherwise(flat),
+        "category": F.when(~long_enough & rich, F.col("__category")).otherwise(F.col("category")),
+    })
+    return _folds(chosen, id_col, F.when(long_enough, "direct").when(rich, "aggregate_fallback").otherwise("global_avg_fallback"))

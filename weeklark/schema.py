@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Sequence
+from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +19,16 @@ CATEGORIES = ("smooth", "erratic", "intermittent", "lumpy")
 GROUP_SEPARATOR = "||"
 
 
+REPO = str(Path(__file__).resolve().parents[1])
+
+
+def ensure_importable() -> None:
+    """Pickle this package by value where the Python workers could not import it by name."""
+    on_path = REPO in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if not on_path and os.getcwd() != REPO:
+        cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+
+
 def group_key(columns: Sequence[str]) -> Column:
     """Composite key of several columns; a null reads as the text None."""
     return F.concat_ws(GROUP_SEPARATOR, *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns])
