@@ -68,7 +68,7 @@ def by_brute_force(rows):
     return {d: (len(sets[d]), find(d)) for d in docs}
 
 
-@pytest.mark.parametrize("settings", [{}, {"HOT": 2, "CELL": 4, "DEAL": 5, "LEADERS": 1, "BLOCK": 3}, {"HOT": 1, "LEADERS": 0}])
+@pytest.mark.parametrize("settings", [{}, {"HOT": 2, "CELL": 4, "DEAL": 5, "LEADERS": 1, "BLOCK": 3}, {"HOT": 1, "LEADERS": 0}, {"HOT": 2, "GATHER": 40, "DEAL": 3}])
 def test_jaccard_matches_brute_force(spark, monkeypatch, settings):
     for name, value in settings.items():
         monkeypatch.setattr(jaccard, name, value)
@@ -94,6 +94,27 @@ def test_jaccard_pairs_do_not_depend_on_the_block(block):
     assert found(block) == found(100) and found(100)
 
 
+def test_long_runs_are_let_go_and_counted_alike():
+    """Any size of what is held gives the same pairs and the same counts of frequent tokens."""
+    r = random.Random(6)
+    rows = sorted({(r.randint(0, 6), r.randint(0, 14), 0, r.randint(0, 1), r.randint(0, 60)) for _ in range(900)}, key=lambda x: (x[0], x[1], -x[3]))
+    rows = [(token, cell, cell // 4, info, cell * 100 + rep) for token, cell, _, info, rep in rows]
+    rows += [(7, 1, 0, 1, 100 + i) for i in range(40)] + [(8, c, 9, 1, c) for c in range(50)] + [(9, c, c, 0, c) for c in range(50)] + [(10, c, c, 1, c) for c in range(30)]
+    rows += [(11 + t, c, c // 2, 1, c * 100 + i) for t in range(4) for c in range(5 + t) for i in range(9)]
+
+    def found(gather, size):
+        batches = [jaccard._rows([list(c) for c in zip(*rows[i:i + size])], (jaccard.pa.int64(),) * 5, ["token", "cell", "grp", "info", "rep"]) for i in range(0, len(rows), size)]
+        out = {}
+        for batch in jaccard._common_tokens(12, gather)(iter(batches)):
+            for ca, cb, n in zip(*(c.to_pylist() for c in batch.columns)):
+                out[ca, cb] = out.get((ca, cb), 0) + n
+        return out
+
+    whole = found(10**6, len(rows))
+    assert any(b is None for _, b in whole) and any(b is not None for _, b in whole)
+    assert all(found(gather, size) == whole for gather, size in [(10, 7), (30, 100), (5, 1), (200, 33)])
+
+
 def test_jaccard_repeated_null_and_empty(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")]
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(frame(spark, rows)).collect())

@@ -38,6 +38,10 @@ sets' Jaccard similarity is at least ``NUM / DEN``. The result is exact up to
 
 The sketch only orders tokens: a poor estimate costs time, not results.
 
+Members of a bucket are dealt out, and a task holds at most ``LEADERS`` sets
+of its deal and about ``GATHER`` rows of the matrix, however common a token
+is. In the second pass the sets of one token meet in one task.
+
 Edge cases: null and empty texts, and those of white space alone, have an
 empty set, link with nothing and are their own component; rows that repeat
 a doc_id are one document; a null doc_id has a null component; an empty
@@ -65,13 +69,13 @@ NEED = 20
 #: Cells of the count sketch (a power of two), and of each row that it travels in.
 SKETCH_BITS, BLOCK_BITS = 21, 15
 #: Members of a min-hash bucket that one task compares with the bucket's smallest set.
-DEAL = 2000
+DEAL = 256
 LEADERS = 64
 #: Cells of a token up to which they are paired up at once.
 HOT = 8
 #: Sets that are compared with each other at once.
 BLOCK = 512
-#: Rows of the matrix that a task looks at together.
+#: Rows of the matrix that a task holds and looks at together.
 GATHER = 300_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -273,10 +277,33 @@ def _pairs_of(groups: np.ndarray, index: np.ndarray, starts: np.ndarray, sizes:
                     yield left[apart], right[apart]
 
 
-def _common_tokens(limit: int):
+class _Long:
+    """A long run of one token: its sets are let go as soon as the token is known to matter, that is to be in two groups and an index token."""
+
+    def __init__(self, token: int):
+        self.token, self.low, self.high, self.index = token, None, None, False
+        self.sets: list[np.ndarray] = []
+
+    def add(self, rows: np.ndarray) -> np.ndarray:
+        """Take in rows of the token; returns the sets to let go."""
+        if not rows.shape[1]:
+            return rows[4]
+        low, high = int(rows[2].min()), int(rows[2].max())
+        self.low, self.high = (low, high) if self.low is None else (min(low, self.low), max(high, self.high))
+        self.index = self.index or bool(rows[3].any())
+        self.sets.append(rows[4])
+        if self.low == self.high or not self.index:
+            return rows[4, :0]
+        out, self.sets = np.concatenate(self.sets), []
+        return out
+
+
+def _common_tokens(limit: int, gather: int):
     """Rows sorted by token, then cell: pairs of cells with how many tokens of this batch they share.
 
-    A token of more than ``limit`` cells yields its sets alone, with a null partner.
+    A token of more than ``limit`` cells yields its sets alone, with a null
+    partner. A task holds about ``gather`` rows, and of a longer run no more
+    than eight bytes a set, while all sets so far are of one group.
     """
     kinds, names = (pa.int64(),) * 3, ["ca", "cb", "n"]
 
@@ -312,16 +339,38 @@ def _common_tokens(limit: int):
         if held:
             yield tallied(held, cell)
 
+    def alone(sets: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(sets):
+            hot, n = np.unique(sets, return_counts=True)
+            yield _rows([hot, [None] * len(hot), n], kinds, names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [np.empty((5, 0), np.int64)], 0
+        long: _Long | None = None
         for batch in batches:
-            held.append(np.array([batch.column(i).to_numpy() for i in range(5)]))
-            n += batch.num_rows
-            if n > GATHER:
+            rows = np.array([batch.column(i).to_numpy() for i in range(5)])
+            if long:
+                own = int(np.searchsorted(rows[0], long.token, "right"))
+                yield from alone(long.add(rows[:, :own]))
+                rows = rows[:, own:]
+                if not rows.shape[1]:
+                    continue
+                long = None
+            held.append(rows)
+            n += rows.shape[1]
+            if n > gather:
                 rows = np.concatenate(held, axis=1)
                 cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last token's run may go on
                 yield from counted(rows[:, :cut])
-                held, n = [rows[:, cut:]], 0
+                rows = rows[:, cut:]
+                if 2 * rows.shape[1] > gather:
+                    if len(np.unique(rows[1])) > limit:
+                        long = _Long(int(rows[0, 0]))
+                        yield from alone(long.add(rows))
+                        rows = rows[:, :0]
+                    else:  # rows that repeat a document
+                        rows = rows[:, np.sort(np.unique(rows[[1, 4]], axis=1, return_index=True)[1])]
+                held, n = [rows], rows.shape[1]
         yield from counted(np.concatenate(held, axis=1))
 
     return run
@@ -330,7 +379,7 @@ def _common_tokens(limit: int):
 def _counted_pairs(postings: DataFrame, limit: int) -> DataFrame:
     """(ca, cb, n): pairs of cells and their common tokens; with a null cb, a set's tokens beyond the limit."""
     dealt = postings.repartition(F.col("token")).sortWithinPartitions("token", "cell", F.col("info").desc())
-    return dealt.mapInArrow(_common_tokens(limit), "ca bigint, cb bigint, n bigint").groupBy("ca", "cb").agg(F.sum("n").alias("n"))
+    return dealt.mapInArrow(_common_tokens(limit, GATHER), "ca bigint, cb bigint, n bigint").groupBy("ca", "cb").agg(F.sum("n").alias("n"))
 
 
 def _qualified(pairs: DataFrame, stats: DataFrame) -> DataFrame:
