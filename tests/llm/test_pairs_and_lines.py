@@ -97,8 +97,8 @@ def test_jaccard_pairs_do_not_depend_on_the_block(block):
 def test_long_runs_are_let_go_and_counted_alike():
     """Any size of what is held gives the same pairs and the same counts of frequent tokens."""
     r = random.Random(6)
-    rows = sorted({(r.randint(0, 6), r.randint(0, 14), 0, r.randint(0, 1), r.randint(0, 60)) for _ in range(900)}, key=lambda x: (x[0], x[1], -x[3]))
-    rows = [(token, cell, cell // 4, info, cell * 100 + rep) for token, cell, _, info, rep in rows]
+    drawn = {(r.randint(0, 6), r.randint(0, 14), r.randint(0, 60)): r.randint(0, 1) for _ in range(900)}
+    rows = [(token, cell, cell // 4, info, cell * 100 + rep) for (token, cell, rep), info in sorted(drawn.items(), key=lambda x: (x[0][0], x[0][1], -x[1]))]
     rows += [(7, 1, 0, 1, 100 + i) for i in range(40)] + [(8, c, 9, 1, c) for c in range(50)] + [(9, c, c, 0, c) for c in range(50)] + [(10, c, c, 1, c) for c in range(30)]
     rows += [(11 + t, c, c // 2, 1, c * 100 + i) for t in range(4) for c in range(5 + t) for i in range(9)]
 
