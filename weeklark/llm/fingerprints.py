@@ -12,16 +12,25 @@ A hash and its position are packed into one bigint, 32 bits of hash above
 31 bits that fall as the position grows, so the smallest bigint of a window
 is the smallest hash with ties to the right.
 
+A run of characters without white space, as Chinese or base64 may be, is
+cut from its start, so two texts that share a passage of such a run at
+places that differ by anything but a multiple of ``PIECE`` share no k-gram
+up to the next white space: the guarantee is one of tokens.
+
 Edge cases: null and empty text have an empty fingerprint, and two empty
-fingerprints are alike (1.0); equal texts have equal fingerprints.
+fingerprints are alike (1.0); equal texts have equal fingerprints; texts of
+any length are taken whole; rows of null doc_id come first, and repeated
+rows follow each other; an empty table gives no rows; of ``docs`` only
+doc_id and text are used, so other columns can't clash.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, small, steps
+from .common import let, steps
 
 K = 5
 W = 16
@@ -70,35 +79,44 @@ def fingerprint(docs: DataFrame, text: str = "text", k: int = K, w: int = W) ->
     return docs.withColumn("fingerprint", chosen(F.coalesce(F.col(text), F.lit("")), k, w))
 
 
+#: Ranges at most: their bounds and first ids pass through the driver.
+MOST_RANGES = 10_000
+
+
 def with_next(docs: DataFrame, per_range: int = 4096, k: int = K, w: int = W) -> DataFrame:
     """Add fingerprint, next_text and next_fingerprint: those of the next row in order of doc_id, text; after the last row, the first's.
 
-    Rows are dealt to ranges of doc_id of about ``per_range`` rows, whose
-    width follows from the smallest and largest id and the count. Within a
-    range the next row is the following one; the last row of a range takes
-    the first row of the next range that has any. Only one bigint per range
-    meets in one task. Null ids come first. Needs the columns doc_id and
+    Rows are dealt to ranges of doc_id of about ``per_range`` rows, or to
+    ``MOST_RANGES`` larger ones, bounded by approximate quantiles, so ids
+    may lie however unevenly. Within a range the next row is the following
+    one; the last row of a range takes the first row of the next range that
+    has any. Null ids come first. Needs the columns doc_id (a number) and
     text.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    ranges = max(1, -(-(n or 0) // per_range))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
-    span = F.coalesce(F.floor((F.col("doc_id") - (low or 0)) / width), F.lit(-1)).cast("bigint")
-    dealt = fingerprint(docs.select("doc_id", "text"), "text", k, w).withColumn("span", span)
+    spark = docs.sparkSession
+    n = docs.count()
+    ranges = min(max(1, -(-n // per_range)), MOST_RANGES)
+    bounds = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10 * ranges)).first()[0] if ranges > 1 else []
+    # As doubles they keep their order, which is all that a range needs.
+    splits = sorted({float(b) for b in bounds or []})
+    span = F.lit(0)
+    dealt = docs.select("doc_id", "text")
+    if splits:
+        dealt = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="__id", outputCol="__span", handleInvalid="keep").transform(
+            dealt.withColumn("__id", F.col("doc_id").cast("double"))).drop("__id")
+        span = F.col("__span").cast("int")
+    dealt = dealt.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(span).alias("span"))
     order = Window.partitionBy("span").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    led = dealt.withColumns({
+    led = fingerprint(dealt, "text", k, w).withColumns({
         "next_text": F.lead("text").over(order), "next_fingerprint": F.lead("fingerprint").over(order), "is_last": F.lead(F.lit(False), 1, True).over(order),
     })
-    firsts = docs.select("doc_id", span.alias("span")).groupBy("span").agg(F.min("doc_id").alias("first_id"))
-    by_span = Window.orderBy("span")
-    heads = firsts.select("span", "first_id", F.lead("span").over(by_span).alias("after"), F.min("span").over(by_span).alias("start")).select(
-        "span", F.coalesce("after", "start").alias("after"))
+    firsts = sorted(tuple(r) for r in dealt.groupBy("span").agg(F.min("doc_id")).collect())  # at most MOST_RANGES + 2
+    turns = [(s, first, firsts[i - 1][0]) for i, (s, first) in enumerate(firsts)]
+    heads = F.broadcast(spark.createDataFrame(turns, f"of int, first_id {docs.schema['doc_id'].dataType.simpleString()}, last_of int"))
     # The texts of the few first rows are read again, before fingerprints are made, rather than making all of them twice.
-    first_text = docs.select("doc_id", "text").withColumn("span", span).join(
-        small(firsts.select(F.col("span").alias("of"), "first_id"), ranges), (F.col("span") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    first_row = fingerprint(first_text.groupBy("of").agg(F.min("text").alias("text")), "text", k, w).select("of", F.struct("text", "fingerprint").alias("head"))
-    turn = heads.join(first_row, heads["after"] == first_row["of"]).select(F.col("span").alias("last_of"), "head")
-    return led.join(turn, (F.col("span") == F.col("last_of")) & F.col("is_last"), "left").select(
+    first_text = dealt.join(heads, (F.col("span") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    first_row = fingerprint(first_text.groupBy("last_of").agg(F.min("text").alias("text")), "text", k, w).select("last_of", F.struct("text", "fingerprint").alias("head"))
+    return led.join(first_row, (F.col("span") == F.col("last_of")) & F.col("is_last"), "left").select(
         "doc_id", "text", "fingerprint", F.coalesce("next_text", "head.text").alias("next_text"),
         F.when(F.col("is_last"), F.col("head.fingerprint")).otherwise(F.col("next_fingerprint")).alias("next_fingerprint"),
     )
