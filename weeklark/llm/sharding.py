@@ -70,16 +70,18 @@ def shard(
 ) -> DataFrame:
     """Add ``slot`` and ``shard`` to every row.
 
-    A null key has one fixed slot; equal keys share a slot; an empty table
-    gives an empty table. Columns of ``df`` that are called slot or shard
-    are replaced. A key that holds a large part of all rows can be dealt to
+    A null key has one fixed slot; an empty text is a key like others, and a
+    key of any length is one digest; equal keys share a slot, so repeated
+    rows stay together; an empty table gives an empty table. Columns of
+    ``df`` that are called slot or shard are replaced, even where one of
+    them is the key. A key that holds a large part of all rows can be dealt to
     ``spread`` slots by a second column.
     """
     names = [f"shard-{i:05d}" for i in range(shards)] if isinstance(shards, int) else list(shards)
-    by = F.col(key).cast("string")
+    by = F.col(f"`{key}`").cast("string")
     if spread_by and spread > 1:
         by = F.concat_ws("\x01", by, F.pmod(F.hash(F.col(spread_by)), F.lit(spread)).cast("string"))
-    kept = df.drop("slot", "shard").withColumn("slot", slot_of(by, size))
+    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")], slot_of(by, size).alias("slot"))
     return kept.join(F.broadcast(table_frame(df.sparkSession, lookup_table(names, size))), "slot", "left")
 
 
