@@ -13,8 +13,11 @@ sample's members with their own centroids.
 
 Edge cases: texts that are null or without letters are ``und`` with score
 0.0 and rejected; documents of null language are not learnt from; with
-nothing to learn from everything is ``und``; repeated rows and long texts
-need no special care, since every text is read whole, one at a time.
+nothing to learn from everything is ``und``, and an empty table gives no
+rows; repeated rows and long texts need no special care, since every text
+is read whole, one at a time; of equal cosines the first centroid counts,
+by order of language; columns called lang_pred, score or rejected are
+replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -68,7 +71,8 @@ def counts_of(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray | No
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """A fifth of the documents; those of null doc_id are not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 @dataclass
