@@ -1,5 +1,6 @@
 """Secrets, fingerprints, chat, sharding, language ID, packing and HTML against brute force, round trips and held-out accuracy."""
 
+import functools
 import hashlib
 import math
 import random
@@ -9,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -111,8 +113,6 @@ def test_fingerprints_by_hand(spark):
     r = random.Random(6)
     texts = ["", None, "one", "a b c d", "a b c d e", " ".join("ab" for _ in range(60)), "x" * 2000] + [" ".join(r.choices([f"w{i}" for i in range(40)], k=r.randint(1, 120))) for _ in range(40)]
     rows = {x["doc_id"]: x["fingerprint"] for x in fingerprints.fingerprint(docs_of(spark, texts)).collect()}
-    pieces = spark.createDataFrame([(t, " ".join(map(str, range(0)))) for t in ["x"]], "a string, b string")
-    del pieces
     for i, text in enumerate(texts):
         tokens = re.findall(r"[^\x20\x09-\x0D]{1,%d}" % fingerprints.PIECE, text or "")
         found = [(p >> 31, (1 << 31) - 1 - (p & ((1 << 31) - 1))) for p in rows[i]]
@@ -127,6 +127,20 @@ def test_fingerprints_by_hand(spark):
             same = {}
             for p, h in by_place.items():
                 assert same.setdefault(tuple(tokens[p:p + fingerprints.K]), h) == h
+        # Every window's minimum, recomputed.
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        hashes = [signed(xxhash.xxh64_intdigest(t.encode(), 42)) for t in tokens]
+        grams = [functools.reduce(lambda seed, h: xxhash.xxh64_intdigest(h.to_bytes(8, "little", signed=True), seed), hashes[j:j + fingerprints.K], 42) & 0xFFFFFFFF
+                 for j in range(len(hashes) - fingerprints.K + 1)]
+        if 0 < len(hashes) < fingerprints.K:
+            grams = [xxhash.xxh64_intdigest(",".join(map(str, hashes)).encode(), 42) & 0xFFFFFFFF]
+        want = []
+        for j in range(max(len(grams) - fingerprints.W + 1, min(len(grams), 1))):
+            window = [(h, -p) for p, h in enumerate(grams)][j:j + fingerprints.W]
+            least, at = min(window)
+            if (least, -at) not in want:
+                want.append((least, -at))
+        assert found == want
     assert [p for p in rows[5]][-1:] and len(set(p >> 31 for p in rows[5])) == 1
     last = (1 << 31) - 1 - (rows[5][0] & ((1 << 31) - 1))
     assert last == fingerprints.W - 1  # ties go to the right
@@ -147,6 +161,13 @@ def test_edits_and_next_documents(spark):
     assert all(got[i]["near_edited"] > got[i]["near_next"] for i in long)
     nexts = {x["doc_id"]: x["next_text"] for x in fingerprints.with_next(docs_of(spark, {k: v or "" for k, v in texts.items()}), per_range=4).collect()}
     assert nexts == {a: texts[b] or "" for a, b in zip(ids, ids[1:] + ids[:1])}
+    # Ids of both signs near 64 bits, null and repeated ones, one far from all others.
+    wide = [(None, "z"), (None, None), (-(2**63), "a"), (2**63 - 1, "b"), (2**62, "c"), (5, "e"), (5, "d"), (5, "d"), (6, None), (7, "f")]
+    ordered = sorted(wide, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    df = spark.createDataFrame(wide, "doc_id bigint, text string").fillna("", ["text"])
+    for per_range in (1, 3, 100):
+        found = Counter((x["doc_id"], x["text"], x["next_text"]) for x in fingerprints.with_next(df, per_range=per_range).collect())
+        assert found == Counter((a[0], a[1] or "", b[1] or "") for a, b in zip(ordered, ordered[1:] + ordered[:1]))
     one = fingerprints.compare_with_edit(docs_of(spark, {5: "a b c d e f g h"})).first()
     assert one["near_next"] == 1.0
     assert fingerprints.compare_with_edit(df.limit(0)).count() == 0
@@ -214,6 +235,29 @@ def test_tables_are_even_and_stable(n):
         assert moved <= 1009 // 4
 
 
+def test_tables_match_an_independent_fill():
+    """Whole permutations first, then turns."""
+    for names, size in [([f"shard-{i:05d}" for i in range(64)], sharding.TABLE_SIZE), (["a", "b", "c"], 11), (["only"], 7)]:
+        lists = []
+        for name in names:
+            digits = hashlib.md5(name.encode()).hexdigest()
+            start, step = int(digits[:16], 16) % size, int(digits[16:], 16) % (size - 1) + 1
+            lists.append([(start + j * step) % size for j in range(size)])
+        owner, free, turn = {}, [iter(x) for x in lists], 0
+        while len(owner) < size:
+            owner[next(slot for slot in free[turn % len(names)] if slot not in owner)] = turn % len(names)
+            turn += 1
+        assert sharding.lookup_table(names, size) == [owner[i] for i in range(size)]
+
+
+def test_keys_called_like_the_result(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", None)], "slot bigint, shard string, other string")
+    plain = {r["k"]: r["shard"] for r in sharding.shard(spark.createDataFrame([("1",), ("2",), ("a",), ("b",)], "k string"), "k", 8).collect()}
+    by_slot = sharding.shard(df, "slot", 8)
+    assert sorted(by_slot.columns) == ["other", "shard", "slot"] and {r["other"]: r["shard"] for r in by_slot.collect()} == {"x": plain["1"], None: plain["2"]}
+    assert {r["other"]: r["shard"] for r in sharding.shard(df, "shard", 8).collect()} == {"x": plain["a"], None: plain["b"]}
+
+
 def test_shards(spark):
     df = spark.createDataFrame([(1, "mine"), (1, None), (None, "x"), (2, "y")], "doc_id bigint, shard string")
     got = sharding.shard(df, "doc_id", 8).collect()
@@ -237,6 +281,32 @@ def test_language_id_held_out(spark, sf_dir):
     assert sum(r["rejected"] for r in got) / len(got) < 0.02
 
 
+def test_cosines_match_brute_force(spark):
+    """Predictions recomputed from the centroids with dictionaries, one text at a time."""
+    model = langid.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("lang is not null"), dimensions=256, per_language=30)
+    texts = ["the cat sat on the mat", "Der Hund und die Katze", "élève à l'école", "el niño pequeño", "x", "!!!", "The " * 50, "über 12 straße"]
+    got = model.predict(texts)
+    for i, text in enumerate(texts):
+        counts = langid.counts_of(text, 256)
+        if counts is None:
+            assert (got[0][i], got[1][i], got[2][i]) == ("und", 0.0, True)
+            continue
+        weights = {j: math.log1p(int(c)) * float(model.idf[j]) for j, c in enumerate(counts) if c}
+        norm = math.sqrt(sum(v * v for v in weights.values()))
+        cosines = [sum(v / norm * float(c[j]) for j, v in weights.items()) for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert got[0][i] == model.languages[best] and got[1][i] == pytest.approx(cosines[best], abs=1e-5)
+        assert got[2][i] == (1 - got[1][i] > model.radii[best])
+    raw = langid._bytes_of("Ab é")
+    grams = Counter(raw[i:i + n] for n in (1, 2, 3) for i in range(len(raw) - n + 1))
+    assert langid.counts_of("Ab é", 1 << 20).sum() == sum(grams.values()) and (langid.counts_of("Ab é", 1 << 20) > 0).sum() == len(grams)
+
+
+def test_rows_of_null_id_are_not_held_out(spark):
+    df = spark.createDataFrame([(None,), (1,)], "doc_id bigint").select(langid.held_out(F.col("doc_id")).alias("h"))
+    assert all(r["h"] in (True, False) for r in df.collect()) and df.collect()[0]["h"] is False
+
+
 def test_language_id_edges(spark):
     rows = [(i, "the cat sat on the mat with " * 3, "en") for i in range(20)] + [(100 + i, "der Hund und die Katze " * 3, "de") for i in range(20)] + [(200, "x", None)]
     train = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")

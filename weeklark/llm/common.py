@@ -11,6 +11,7 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -35,7 +36,10 @@ _ARROW_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in batches of ARROW_BYTES, unless the session names a size of its own."""
+    """Hand texts to Python in batches of ARROW_BYTES, unless the session names a size of its own.
+
+    The setting stays: tables that operators return are lazy, and their plans read it when they run.
+    """
     if spark.sparkContext.getConf().get(_ARROW_KEY, None) is None:
         spark.conf.set(_ARROW_KEY, ARROW_BYTES)
 
@@ -62,13 +66,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; where that is unset, a local one, and only for a local master."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     set_before = spark.sparkContext.getCheckpointDir()
     if set_before:
         return set_before.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="weeklark-checkpoints-")
     spark.sparkContext.setCheckpointDir(local)
     return f"file://{local}"
@@ -88,22 +95,50 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables written under the shared folder; they replace recomputation and survive lost executors."""
+    """Tables written under the shared folder; they replace recomputation and survive lost executors.
+
+    Those that a lazy result still reads stay until the driver exits, or
+    until the end of a ``passing`` block.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
         self.spark = spark
         self.path = f"{scratch_root(spark)}/weeklark-{name}-{uuid.uuid4().hex[:12]}"
+        self.names: set[str] = set()
         atexit.register(_remove_at_exit, spark, self.path)
+        if _PASSING:
+            _PASSING[-1].append(self)
 
     def write(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         where = f"{self.path}/{name}"
+        self.names.add(name)
         df.write.mode("overwrite").option("compression", compression).parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, name: str) -> None:
+        self.names.discard(name)
         _remove(self.spark, f"{self.path}/{name}")
 
+    def drop_but(self, *kept: str) -> None:
+        """Drop the tables whose names do not start with one of ``kept``."""
+        for name in [n for n in self.names if not n.startswith(kept)]:
+            self.drop(name)
+
+
+_PASSING: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def passing() -> Iterator[None]:
+    """Drop the scratch tables that operators make within the block at its end: for results that are written inside it."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        for scratch in _PASSING.pop():
+            _remove_at_exit(scratch.spark, scratch.path)
+
 
 def wrapped(df: DataFrame, *needed: str) -> DataFrame:
     """The row as one struct, and the columns that an operator needs beside it: no other name can clash with the operator's own."""
@@ -161,7 +196,3 @@ def running_sums(values: Column, block: int = 256) -> Column:
         return let(blocks, lambda bs: F.aggregate(bs, zero, join))
 
     return let(values, whole)
-
-
-def ascii_lower(text: bytes) -> bytes:
-    return text.lower()  # bytes.lower touches A-Z only

@@ -566,6 +566,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         keyed.select(F.col("cell").alias("cb"), F.col("sets").alias("sets_b")), "cb").select("grp_a", "grp_b", "sets_a", "sets_b")
     ties = scratch.write(opened.mapInArrow(_open, "a bigint, b bigint"), "ties")
     whole = components(ties, scratch, "whole")
+    scratch.drop_but("first", "members", "whole")
 
     final = members.join(whole, F.col("grp") == F.col("node"), "left").select(F.col("key").alias("of"), F.coalesce("component", "grp").alias("found"))
     return ids.join(final, F.col("key") == F.col("of"), "left").select(
