@@ -169,6 +169,25 @@ def test_lines_match_by_hand(spark):
     assert linededup.dedup_lines(frame(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("batches", [1, 3, 7])
+def test_common_lines_beyond_a_broadcast(spark, monkeypatch, batches):
+    """Common and other keys by separate joins, uneven ids, any number of batches."""
+    monkeypatch.setattr(linededup, "BROADCAST_ROWS", 10)
+    r = random.Random(batches)
+    pool = [f"{LINE} {i}" for i in range(12)]
+    rows = [(i if i < 900 else 2**62 + i, "\n".join([LINE, *r.choices(pool, k=2)])) for i in range(1100)]
+    got = {x["doc_id"]: (x["n_lines"], x["n_dropped"], x["kept_sha256"]) for x in linededup.digest(linededup.dedup_lines(frame(spark, rows), batches=batches)).collect()}
+    assert got == lines_by_hand(rows)
+
+
+def test_runs_are_read_without_a_shuffle(spark):
+    store = linededup.LineRuns(Scratch(spark, "runs"), fanout=3, buckets=4)
+    for batch in [[(9, b"a"), (8, b"b")], [(6, b"a")]]:
+        store.add(spark.createDataFrame(batch, "doc_id bigint, key binary"))
+    plan = store.frequent(1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+
+
 def test_lines_null_ids_and_clashing_columns(spark):
     rows = [(i, LINE, "x") for i in range(6)] + [(None, LINE, "x")]
     out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string, n_lines string")).collect()

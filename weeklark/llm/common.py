@@ -106,6 +106,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{scratch_root(spark)}/weeklark-{name}-{uuid.uuid4().hex[:12]}"
         self.names: set[str] = set()
+        self.tables: dict[str, str] = {}
         atexit.register(_remove_at_exit, spark, self.path)
         if _PASSING:
             _PASSING[-1].append(self)
@@ -116,8 +117,18 @@ class Scratch:
         df.write.mode("overwrite").option("compression", compression).parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
+    def write_buckets(self, df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+        """Write in buckets by ``key``, each sorted by it, as a table of the session's catalogue: joins of such tables on the key shuffle neither."""
+        self.tables[name] = f"weeklark_{uuid.uuid4().hex}"
+        self.names.add(name)
+        ordered = df.repartition(buckets, key).sortWithinPartitions(key)
+        ordered.write.bucketBy(buckets, key).sortBy(key).option("path", f"{self.path}/{name}").option("compression", "zstd").format("parquet").saveAsTable(self.tables[name])
+        return self.spark.table(self.tables[name])
+
     def drop(self, name: str) -> None:
         self.names.discard(name)
+        if name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
         _remove(self.spark, f"{self.path}/{name}")
 
     def drop_but(self, *kept: str) -> None:
