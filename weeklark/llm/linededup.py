@@ -98,7 +98,8 @@ class LineRuns:
 
     def add(self, digests: DataFrame) -> None:
         """Join one batch's keys with the runs so far and add its own run."""
-        own = digests.repartition(self.buckets, "key").groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
+        counted = digests.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
+        own = counted.repartition(self.buckets, "key")  # after the counts are combined where the digests are, so a common key is a few rows
         for run in self.runs():
             known = run.select(F.col("key").alias("known"))
             own = own.hint("merge").join(known, F.col("key") == F.col("known"), "left").select(
