@@ -8,9 +8,10 @@ the set is verified against the window's words. Every word inside an
 occurrence of a window is hit.
 
 The set is a few arrays: the items' words as one run of bytes, where each
-starts, and per window a hash and a place. It is broadcast in blocks of at
-most ``BLOCK_BYTES`` of these arrays, held against while items stream in, so
-neither the driver nor a worker holds more; an item larger than a block is
+starts, and per window a hash and a place; a worker adds a dictionary of the
+different words. It is broadcast in blocks of at most ``BLOCK_BYTES`` of all
+this, held against while items stream in, so neither the driver nor a worker
+holds more; an item larger than a block is
 cut into parts that overlap by a window less a word. A larger benchmark
 makes more blocks: each is one more pass over the documents, written to the
 shared folder in between, and its broadcast is given up after it.
@@ -39,10 +40,8 @@ from .common import Scratch, kept_by, small_batches, unwrapped, with_fields, wra
 
 WIDTH = 13
 BLOCK_BYTES = 128 << 20
-#: Bytes of the arrays for each word, besides its own: hash, place, and those of the window that starts there.
-PER_WORD = 32
-#: Hashes of words that a worker keeps at hand.
-AT_HAND = 300_000
+#: Bytes for each word, besides its own: hash, place, and those of the window that starts there; and for each different word, once looked up.
+PER_WORD, PER_NEW_WORD = 32, 140
 #: A document is contaminated from one hit word in so many.
 ONE_IN = 20
 
@@ -55,18 +54,8 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_TABLE).split() if text else []
 
 
-class _Words(dict):
-    """Hashes of words; emptied when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= AT_HAND:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-def _hashes(words: list[bytes], at_hand: _Words) -> np.ndarray:
-    return np.fromiter((at_hand[w] for w in words), np.uint64, len(words))
+def _hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) or 1
 
 
 def _hashed(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -90,9 +79,8 @@ class NgramSet:
         self.text = b" ".join([b" ".join(words) for _, words in items])
         lengths = np.fromiter((len(w) + 1 for _, words in items for w in words), np.int64, int(sizes.sum()))
         self.starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths)))
-        at_hand = _Words()
-        hashes = np.concatenate([np.empty(0, np.uint64), *(_hashes(words, at_hand) for _, words in items)])
-        self.vocabulary = np.unique(hashes)
+        hashes = np.fromiter((_hash(w) for _, words in items for w in words), np.uint64, int(sizes.sum()))
+        self.vocabulary: dict[bytes, int] | None = None
         self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in np.unique(np.minimum(sizes, width)).tolist():
             of = np.flatnonzero(np.minimum(sizes, width) == n)
@@ -103,14 +91,16 @@ class NgramSet:
             order = np.argsort(keys, kind="stable")
             self.windows[n] = keys[order], at[order]
 
-    def hits(self, words: list[bytes], at_hand: _Words) -> tuple[np.ndarray, set[str]]:
+    def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Marks of the hit words, and the items whose windows occur."""
         marks, items = np.zeros(len(words), bool), set()
-        if not len(self.vocabulary) or not words:
+        if not self.windows or not words:
             return marks, items
-        hashes = _hashes(words, at_hand)
-        place = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        known = np.concatenate(([0], np.cumsum(self.vocabulary[place] == hashes)))
+        if self.vocabulary is None:  # made where it is used, since it is larger than the words
+            self.vocabulary = {w: _hash(w) for w in set(self.text.split(b" "))}
+        get = self.vocabulary.get
+        hashes = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
+        known = np.concatenate(([0], np.cumsum(hashes > 0)))
         for n, (keys, at) in self.windows.items():
             here = np.flatnonzero(known[n:] - known[:-n] == n) if len(words) >= n else ()
             if not len(here):
@@ -145,15 +135,18 @@ def _parts(words: list[bytes], width: int, block_bytes: int) -> Iterator[list[by
 def blocks_of(benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, list[bytes]]]]:
     """Items and their words in blocks of bounded size; one block is on the driver at a time, as are the rows of one partition."""
     block: list[tuple[str, list[bytes]]] = []
+    seen: set[bytes] = set()
     size = 0
     for item, text in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").toLocalIterator():
         for part in _parts(words_of(text), width, block_bytes):
             if part:
                 block.append((item, part))
-                size += sum(map(len, part)) + PER_WORD * len(part)
+                new = len(seen)
+                seen.update(part)
+                size += sum(map(len, part)) + PER_WORD * len(part) + PER_NEW_WORD * (len(seen) - new)
             if size >= block_bytes:
                 yield block
-                block, size = [], 0
+                block, seen, size = [], set(), 0
     if block:
         yield block
 
@@ -163,7 +156,7 @@ _ADDED = ("n_words", "n_hit", "hit_marks", "items")
 
 def _scanner(shared, text_at: int, own: int, first: bool, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_hand = kept_by("decontam").setdefault("words", _Words())
+        kept_by("decontam")
         ngrams = shared.value
         for batch in batches:
             total, hit, marks, items = [], [], [], []
@@ -171,7 +164,7 @@ def _scanner(shared, text_at: int, own: int, first: bool, names: list[str]):
             old_items = [None] * batch.num_rows if first else batch.column(own + 3).to_pylist()
             for text, m0, i0 in zip(batch.column(text_at).to_pylist(), old_marks, old_items, strict=True):
                 words = words_of(text)
-                m, found = ngrams.hits(words, at_hand)
+                m, found = ngrams.hits(words)
                 if m0:
                     m |= np.unpackbits(np.frombuffer(m0, np.uint8), count=len(words)).astype(bool)
                 total.append(len(words))
