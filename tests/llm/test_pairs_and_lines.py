@@ -68,7 +68,7 @@ def by_brute_force(rows):
     return {d: (len(sets[d]), find(d)) for d in docs}
 
 
-@pytest.mark.parametrize("settings", [{}, {"HOT": 2, "CELL": 4, "DEAL": 5, "LEADERS": 1, "BLOCK": 3}, {"HOT": 1, "LEADERS": 0}, {"HOT": 2, "GATHER": 40, "DEAL": 3}])
+@pytest.mark.parametrize("settings", [{}, {"HOT": 2, "CELL": 4, "DEAL": 5, "LEADERS": 1, "BLOCK": 3}, {"HOT": 1, "LEADERS": 0}, {"HOT": 2, "GATHER": 40, "DEAL": 3}, {"HOT": 1, "LEADERS": 0, "RUN": 3, "BLOCK": 2, "PART_BYTES": 200}, {"HOT": 1, "LEADERS": 0, "RUN": 10, "PART_BYTES": 5000}])
 def test_jaccard_matches_brute_force(spark, monkeypatch, settings):
     for name, value in settings.items():
         monkeypatch.setattr(jaccard, name, value)
@@ -92,6 +92,8 @@ def test_jaccard_pairs_do_not_depend_on_the_block(block):
     rows = [(i, i, 20, sorted({7, *draw.sample(range(8, 20), 5)}), 4) for i in range(13)]
     found = lambda size: {(i, j) for x, y in jaccard._Run(7, rows).pairs(size) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
     assert found(block) == found(100) and found(100)
+    across = lambda size: {(i, j) for x, y in jaccard._Run(7, rows).pairs(size, 5) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+    assert across(block) == {(i, j) for i, j in found(100) if i < 5 <= j}
 
 
 def test_long_runs_are_let_go_and_counted_alike():

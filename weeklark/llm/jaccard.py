@@ -40,7 +40,8 @@ The sketch only orders tokens: a poor estimate costs time, not results.
 
 Members of a bucket are dealt out, and a task holds at most ``LEADERS`` sets
 of its deal and about ``GATHER`` rows of the matrix, however common a token
-is. In the second pass the sets of one token meet in one task.
+is. In the second pass it holds two blocks of about ``RUN`` sets, or those
+of a part, whose number follows from the sets' lengths.
 
 Edge cases: null and empty texts, and those of white space alone, have an
 empty set, link with nothing and are their own component; rows that repeat
@@ -56,10 +57,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, kept_by, small, tidy
+from .common import Scratch, kept_by, let, small, tidy
 from .components import components
 
 WORDS = 5
@@ -75,6 +76,8 @@ LEADERS = 64
 HOT = 8
 #: Sets that are compared with each other at once.
 BLOCK = 512
+#: Sets of a token in the second pass up to which they meet in one task, and the bytes of a part of the tokens there.
+RUN, PART_BYTES = 1024, 64 << 20
 #: Rows of the matrix that a task holds and looks at together.
 GATHER = 300_000
 
@@ -393,12 +396,11 @@ def _qualified(pairs: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def _by_frequency(sets: DataFrame) -> DataFrame:
-    """(cell, grp, n, firsts, n_index) of ``sets`` (rep, cell, grp, n, tokens): first tokens under the exact order by frequency among them.
+    """(rep, cell, grp, n, tokens, n_index, n_run, often) of ``sets`` (rep, cell, grp, n, tokens): first tokens in the exact order by frequency among them.
 
-    Tokens of a single set are left out of ``firsts`` again once the others
-    have their places; n_index counts what is left of the index tokens. Half
-    of each token stands for it from here on: tokens that look alike can only
-    add pairs.
+    Tokens of a single set are left out again once the others have their
+    places; n_index counts what is left of the index tokens, n_run the tokens
+    of at most RUN sets, which come first; often are the counts.
     """
     rows = sets.select("tokens", "cell", "grp", "rep", "n").mapInArrow(_all_tokens, "token bigint, cell bigint, grp bigint, rep bigint, n bigint")
     often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
@@ -407,7 +409,29 @@ def _by_frequency(sets: DataFrame) -> DataFrame:
     first = (n - F.ceil(n * NUM / DEN) + need).cast("int")
     index = (n - F.ceil(n * 2 * NUM / (NUM + DEN)) + need).cast("int")
     shared = lambda length: F.filter(F.slice("all", F.lit(1), length), lambda x: x["often"] > 1)
-    return ordered.select("cell", "grp", "n", F.array_distinct(F.transform(shared(first), lambda x: F.shiftright(x["token"], 32).cast("int"))).alias("firsts"), F.size(shared(index)).alias("n_index"))
+    return ordered.select("rep", "cell", "grp", "n", shared(first).alias("firsts"), F.size(shared(index)).alias("n_index")).select(
+        "rep", "cell", "grp", "n", F.transform("firsts", lambda x: x["token"]).alias("tokens"), "n_index",
+        F.size(F.filter("firsts", lambda x: x["often"] <= RUN)).alias("n_run"), F.transform("firsts", lambda x: x["often"]).alias("often"))
+
+
+def _near(ordered: DataFrame) -> DataFrame:
+    """Pairs of cells of the second pass that qualify; ``ordered`` is a stored table of ``_by_frequency``."""
+    size = ordered.agg(F.sum(F.pow(F.size("tokens").cast("double"), 2)) * 8).first()[0] or 0
+    parts = 1 << min(20, max(6, int(size // PART_BYTES).bit_length()))
+    light = F.transform(
+        F.array_distinct(F.transform(F.slice("tokens", F.lit(1), F.col("n_run")), lambda t: t.bitwiseAND(F.lit(parts - 1).cast("bigint")))),
+        lambda p: F.struct(p.alias("part"), F.lit(None).cast("bigint").alias("token"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("mine")))
+    frequent = F.arrays_zip(F.col("tokens").alias("t"), F.col("often").alias("k"))
+
+    def dealt(x: Column) -> Column:
+        blocks = F.ceil(x["k"] / RUN)
+        return let(F.pmod(F.xxhash64("rep", x["t"]), blocks).cast("bigint"), lambda mine: F.transform(F.sequence(F.lit(0).cast("bigint"), (blocks - 1).cast("bigint")), lambda o: F.struct(
+            F.xxhash64(x["t"], F.least(mine, o), F.greatest(mine, o)).alias("part"), x["t"].alias("token"), F.least(mine, o).alias("a"), F.greatest(mine, o).alias("b"), mine.alias("mine"))))
+
+    heavy = F.flatten(F.transform(F.filter(frequent, lambda x: x["k"] > RUN), dealt))
+    keyed = ordered.withColumn("key", F.explode(F.concat(light, heavy))).select("key.*", "cell", "grp", "n", "tokens", "n_index", "n_run")
+    near = keyed.repartition(F.col("part")).sortWithinPartitions("part", "token", "a", "b", "mine", "cell")
+    return near.mapInArrow(_near_pairs(BLOCK, parts), "ca bigint, cb bigint, grp_a bigint, grp_b bigint")
 
 
 def _all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,7 +450,7 @@ class _Run:
     def __init__(self, token: int, rows: list[tuple]):
         self.token = token
         self.cell, self.group, self.n = (np.array([r[i] for r in rows]) for i in range(3))
-        self.firsts = [np.asarray(r[3], np.int32) for r in rows]
+        self.firsts = [np.asarray(r[3], np.int64) for r in rows]
         self.n_index = [r[4] for r in rows]
 
     def _matrix(self, places: range, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -439,15 +463,15 @@ class _Run:
             index[row, at[:self.n_index[i]][ok[:self.n_index[i]]]] = 1
         return first, index
 
-    def pairs(self, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places of the pairs whose smallest common index token this is, and whose common ones reach the need."""
+    def pairs(self, block: int, split: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of the pairs whose smallest common index token this is, and whose common ones reach the need; with ``split``, of one before and one after it."""
         k = len(self.cell)
         need = np.maximum(1, self.n // NEED)
         rest = -(-self.n * NUM // DEN) - need
-        for a in range(0, k, block):
-            for b in range(a, k, block):
-                left, right = range(a, min(a + block, k)), range(b, min(b + block, k))
-                if a == b and len(left) == 1:
+        for a in range(0, k if split is None else split, block):
+            for b in range(a if split is None else split, k, block):
+                left, right = range(a, min(a + block, k if split is None else split)), range(b, min(b + block, k))
+                if split is None and a == b and len(left) == 1:
                     continue  # one set has no partner here
                 tokens, often = np.unique(np.concatenate([self.firsts[i] for i in {*left, *right}]), return_counts=True)
                 tokens = tokens[often > 1]
@@ -464,34 +488,66 @@ class _Run:
                 # All common first tokens, and as many as lie beyond the first ones of either set, must make up the least overlap.
                 beyond = np.maximum(rest[a:left.stop, None], rest[None, b:right.stop])
                 ok &= fa @ fb.T + beyond >= -(-NUM * (na + nb) // (NUM + DEN))
-                if a == b:
+                if split is None and a == b:
                     ok = np.triu(ok, 1)
                 i, j = np.nonzero(ok)
                 yield i + a, j + b
 
 
-def _near_pairs(block: int):
-    """Rows (token, cell, grp, n, firsts, n_index) sorted by token: pairs of cells that qualify."""
+def _runs_of(part: int, parts: int, sets: list[tuple]) -> Iterator[tuple[int, list[tuple]]]:
+    """(token, its sets) for the part's tokens that sets of two groups have, and one as an index token."""
+    own = [np.flatnonzero((s[3][:s[5]] & (parts - 1)) == part) for s in sets]
+    tokens = np.concatenate([s[3][at] for s, at in zip(sets, own, strict=True)])
+    owner = np.repeat(np.arange(len(sets)), [len(at) for at in own])
+    index = np.concatenate([at < s[4] for s, at in zip(sets, own, strict=True)])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner, index = tokens[order], owner[order], index[order]
+    starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.empty(0, np.int64)
+    group = np.array([s[1] for s in sets])[owner]
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(tokens)], strict=True):
+        if hi - lo > 1 and index[lo:hi].any() and group[lo:hi].min() != group[lo:hi].max():
+            yield int(tokens[lo]), [sets[i] for i in owner[lo:hi].tolist()]
+
+
+def _near_pairs(block: int, parts: int):
+    """Rows (part, token, a, b, mine, cell, grp, n, tokens, n_index, n_run) in order of their key: pairs of cells that qualify.
+
+    A null token stands for all tokens of the part; otherwise the rows are
+    the sets of two blocks (or one) of that token.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        token = None
+        key = None
+
+        def found(sets: _Run, split: int | None = None) -> Iterator[pa.RecordBatch]:
+            for i, j in sets.pairs(block, split):
+                if len(i):
+                    pairs = np.unique(np.stack([sets.cell[i], sets.cell[j], sets.group[i], sets.group[j]]), axis=1)
+                    yield _rows(list(pairs), (pa.int64(),) * 4, ["ca", "cb", "grp_a", "grp_b"])
 
         def done() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1 and len({r[1] for r in held}) > 1:
-                sets = _Run(token, held)
-                for i, j in sets.pairs(block):
-                    if len(i):
-                        pairs = np.unique(np.stack([sets.cell[i], sets.cell[j], sets.group[i], sets.group[j]]), axis=1)
-                        yield _rows(list(pairs), (pa.int64(),) * 4, ["ca", "cb", "grp_a", "grp_b"])
+            if len({r[1] for r in held}) < 2:
+                return
+            part, token, a, b = key
+            if token is not None:
+                yield from found(_Run(token, held), None if a == b else sum(r[6] == a for r in held))
+                return
+            for each, sets in _runs_of(part, parts, held):
+                yield from found(_Run(each, sets))
 
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[:4]] + [batch.column(4).to_numpy(zero_copy_only=False), batch.column(5).to_pylist()]
-            for now, *row in zip(*columns, strict=True):
-                if now != token:
-                    yield from done()
-                    held, token = [], now
-                held.append(tuple(row))
-        yield from done()
+            keys = list(zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True))
+            mine, cell, group, n = (c.to_pylist() for c in batch.columns[4:8])
+            ends, values = batch.column(8).offsets.to_numpy(), batch.column(8).values.to_numpy()
+            n_index, n_run = (c.to_pylist() for c in batch.columns[9:11])
+            for i, now in enumerate(keys):
+                if now != key:
+                    if key is not None:
+                        yield from done()
+                    held, key = [], now
+                held.append((cell[i], group[i], n[i], values[ends[i]:ends[i + 1]].copy(), n_index[i], n_run[i], mine[i]))
+        if key is not None:
+            yield from done()
 
     return run
 
@@ -551,9 +607,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if n_rest:
         texts = pair.join(small(rest, n_rest), pair["doc_id"] == rest["rep"]).select("text", "key", "rep", "cell", "grp", "n")
         whole_sets = texts.mapInArrow(_to_sets, "tokens binary, key binary, rep bigint, cell bigint, grp bigint, n bigint").dropDuplicates(["rep"])
-        ordered = _by_frequency(scratch.write(whole_sets, "rest-sets"))
-        dealt = ordered.select(F.explode("firsts").alias("token"), "cell", "grp", "n", "firsts", "n_index").repartition(F.col("token")).sortWithinPartitions("token", "cell")
-        found = found.unionByName(dealt.mapInArrow(_near_pairs(BLOCK), "ca bigint, cb bigint, grp_a bigint, grp_b bigint")).distinct()
+        ordered = scratch.write(_by_frequency(scratch.write(whole_sets, "rest-sets")), "rest-ordered")
+        found = found.unionByName(_near(ordered)).distinct()
     qualified = scratch.write(found, "qualified")
 
     # Whole sets of qualifying cells only.
