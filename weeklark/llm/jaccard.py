@@ -417,7 +417,7 @@ def _by_frequency(sets: DataFrame) -> DataFrame:
 def _near(ordered: DataFrame) -> DataFrame:
     """Pairs of cells of the second pass that qualify; ``ordered`` is a stored table of ``_by_frequency``."""
     size = ordered.agg(F.sum(F.pow(F.size("tokens").cast("double"), 2)) * 8).first()[0] or 0
-    parts = 1 << min(20, max(6, int(size // PART_BYTES).bit_length()))
+    parts = 1 << min(20, max(12, int(size // PART_BYTES).bit_length()))
     light = F.transform(
         F.array_distinct(F.transform(F.slice("tokens", F.lit(1), F.col("n_run")), lambda t: t.bitwiseAND(F.lit(parts - 1).cast("bigint")))),
         lambda p: F.struct(p.alias("part"), F.lit(None).cast("bigint").alias("token"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("mine")))
