@@ -375,6 +375,8 @@ def _common_tokens(limit: int, gather: int):
                         rows = rows[:, np.sort(np.unique(rows[[1, 4]], axis=1, return_index=True)[1])]
                 held, n = [rows], rows.shape[1]
         yield from counted(np.concatenate(held, axis=1))
+        held = []
+        tidy()
 
     return run
 
@@ -548,6 +550,8 @@ def _near_pairs(block: int, parts: int):
                 held.append((cell[i], group[i], n[i], values[ends[i]:ends[i + 1]].copy(), n_index[i], n_run[i], mine[i]))
         if key is not None:
             yield from done()
+        held = []
+        tidy()
 
     return run
 

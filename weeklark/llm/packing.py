@@ -273,6 +273,7 @@ def _epoch(capacity: int, epoch: int, population: int, offspring: int):
                 best, made = evolve(lengths, found, capacity, row["shard"] * 1009 + row["island"] * 31 + epoch, population, offspring)
                 row |= {"packings": [p.astype("<i4").tobytes() for p in best], "generations": row["generations"] + made}
                 yield pa.RecordBatch.from_pylist([row], _STATE_ARROW)
+        tidy()
 
     return run
 
