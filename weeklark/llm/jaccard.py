@@ -69,6 +69,8 @@ CELL = 64
 NEED = 20
 #: Cells of the count sketch (a power of two), and of each row that it travels in.
 SKETCH_BITS, BLOCK_BITS = 21, 15
+#: Tokens that are added to the sketch at once.
+COUNTED = 500_000
 #: Members of a min-hash bucket that one task compares with the bucket's smallest set.
 DEAL = 256
 LEADERS = 64
@@ -86,29 +88,28 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 _SALTS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-class _Words(dict):
-    """Hashes of words; emptied when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-def shingles(text: str | None, words: _Words, k: int = WORDS) -> np.ndarray:
+def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     """The set's tokens, sorted."""
     own = text.encode().lower().split() if text else []  # bytes split at ASCII white space alone
     n = len(own)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter((words[w] for w in own), np.uint64, n)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, n)  # quicker than a dictionary of them
     width = min(k, n)
     total = np.full(n - width + 1, width, np.uint64)
     for j in range(width):
-        total = (total + h[j:n - width + 1 + j]) * _STEP
+        total += h[j:n - width + 1 + j]
+        total *= _STEP
         total ^= total >> np.uint64(32)
-    return np.unique(total)
+    return distinct(total)
+
+
+def distinct(tokens: np.ndarray) -> np.ndarray:
+    """The values in order; quicker than np.unique."""
+    tokens = np.sort(tokens)
+    new = np.ones(len(tokens), bool)
+    np.not_equal(tokens[1:], tokens[:-1], out=new[1:])
+    return tokens[new]
 
 
 def least_overlap(n: int) -> int:
@@ -152,24 +153,35 @@ def _rows(columns, kinds, names) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
+def _count(sketch: np.ndarray, sets: list[np.ndarray]) -> None:
+    if sets:
+        sketch += np.bincount(_cells(np.concatenate(sets)), minlength=len(sketch)).astype(np.uint32)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end the task's part of the sketch in blocks."""
     kept_by("jaccard")
-    words, sketch = _Words(), np.zeros(1 << SKETCH_BITS, np.uint32)
+    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+    waiting, n_waiting = [], 0
     names = [c.split()[0] for c in _FIRST.split(", ")]
     for batch in batches:
         out: list[list] = [[], [], [], []]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tokens = shingles(text, words)
+            tokens = shingles(text)
             key, mins = None, None
             if len(tokens):
-                np.add.at(sketch, _cells(tokens), 1)
+                waiting.append(tokens)
+                n_waiting += len(tokens)
+                if n_waiting >= COUNTED:
+                    _count(sketch, waiting)
+                    waiting, n_waiting = [], 0
                 key = xxhash.xxh3_128_digest(tokens.tobytes())
                 mins = [int(((tokens ^ salt) * salt).min().astype(np.int64)) for salt in _SALTS]
             for column, value in zip(out, (doc, len(tokens), key, mins), strict=True):
                 column.append(value)
         none = [None] * batch.num_rows
         yield _rows([*out, none, none], _FIRST_KINDS, names)
+    _count(sketch, waiting)
     for block, counts in enumerate(sketch.reshape(-1, 1 << BLOCK_BITS)):
         if counts.any():
             yield _rows([[None], [None], [None], [None], [block], [zlib.compress(counts.astype("<u4").tobytes(), 1)]], _FIRST_KINDS, names)
@@ -198,11 +210,10 @@ def _ranks(first: DataFrame) -> np.ndarray:
 
 def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace the first column, text, by the set's tokens."""
-    words = _Words()
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            tokens = [shingles(t, words).tobytes() for t in part.column(0).to_pylist()]
+            tokens = [shingles(t).tobytes() for t in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), *part.columns[1:]], ["tokens", *part.schema.names[1:]])
     tidy()
 
@@ -244,12 +255,12 @@ def _stars(sets: DataFrame) -> DataFrame:
 def _first_tokens(shared):
     """Rows (text, doc's key, cell, grp, rep) to a row for each first token of the text's set; info is 1 for an index token."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ranks = _Words(), np.frombuffer(shared.value, np.uint8)
+        ranks = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 held: list[tuple] = []
                 for text, key, cell, group, rep in zip(*(c[at:at + 500].to_pylist() for c in batch.columns), strict=True):
-                    tokens = shingles(text, words)
+                    tokens = shingles(text)
                     if xxhash.xxh3_128_digest(tokens.tobytes()) != key:
                         continue  # another text under the same doc_id
                     n = len(tokens)
@@ -563,7 +574,7 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ga, gb, sa, sb in zip(*(batch.column(i) for i in range(4)), strict=True):
             left = [np.frombuffer(x.as_py(), np.uint64) for x in sa]
             right = [np.frombuffer(x.as_py(), np.uint64) for x in sb]
-            union = np.unique(np.concatenate(right)) if len(right) > 1 else right[0]
+            union = distinct(np.concatenate(right)) if len(right) > 1 else right[0]
             if any(common(x, union) >= least_overlap(len(x)) and any(linked(x, y) for y in right) for x in left):
                 a.append(ga.as_py())
                 b.append(gb.as_py())
