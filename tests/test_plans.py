@@ -211,6 +211,14 @@ def test_gbt_query_fits_all_trees_of_the_operator(spark, sf_dir, monkeypatch):
     assert asked == [200]
 
 
+def test_fold_wapes_round_the_exact_value(spark, weekly):
+    """1/32 is a tie and goes to the even digit; the doubles of 0.00015 and 0.76625 are just under theirs."""
+    cases = {"a": (1, 32), "b": (3, 20000), "c": (613, 800), "d": (1, 3), "e": (250, 2), "f": (0, 7), "g": (123456, 1), "h": (1, 20000), "i": (1599999, 1600000)}
+    series = {k: [0] * 52 + [total + wrong] + [0] * 51 + [total] + [0] * 51 for k, (wrong, total) in cases.items()}
+    rows = evaluate_benchmarks(weekly(series), *NAMES, names=["seasonal_naive"])[0].collect()
+    assert {r["item_id"]: r["fold_wapes"] for r in rows} == {k: f"{wrong / total:.4f}" for k, (wrong, total) in cases.items()}
+
+
 @pytest.mark.parametrize("gap", [1, 7, 10])
 def test_python_models_get_the_dates_of_the_series(spark, gap):
     """Daily, weekly and gappy rows: the dates are those of the training rows."""

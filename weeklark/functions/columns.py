@@ -38,6 +38,23 @@ def is_finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(INF))
 
 
+def four_digits(x: Column) -> Column:
+    """C's ``%.4f`` of a finite number of 0 or more: its exact value to the nearest, ties to the even digit.
+
+    Spark's formats round the shortest decimal that reads back as the double.
+    Here the rest is held against the tie at half a digit: both parts of it
+    times 20,000 are exact.
+    """
+    whole = F.floor(x)
+    rest = x - whole
+    high = rest.cast("float").cast("double")
+    digits = F.floor(rest * 10000)
+    over = (high * 20000 - (2 * digits + 1)) + (rest - high) * 20000
+    rounded = digits + F.when(over > 0, 1).when(over == 0, digits % 2).otherwise(0)
+    shown = F.concat((whole + F.floor(rounded / 10000)).cast("string"), F.lit("."), F.lpad((rounded % 10000).cast("string"), 4, "0"))
+    return F.when(x < 2.0**53, shown).otherwise(F.call_function("format_number", x, F.lit("0.0000")))
+
+
 def nan() -> Column:
     return F.lit(NAN)
 

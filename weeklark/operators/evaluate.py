@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_finite, nan
+from ..functions.columns import four_digits, is_finite, nan
 from ..functions.registry import TOURNAMENT, known, order_of, tournament_names
 from ..schema import ID, normalise
 from .forecast import FORECASTS, mase_of, naive_error, wape_of, with_forecasts
@@ -32,7 +32,7 @@ def eval_frame(tested: DataFrame, id_col: str) -> DataFrame:
     scored = rows.select(
         F.col(ID).alias(id_col), F.col("x.model").alias("model"), wape.alias("wape"), mase_of(F.col("test"), f, F.col("__naive")).alias("mase"),
         sums(F.col("test")).alias("total_actual"), sums(f).alias("total_forecast"), F.lit(1).alias("n_folds"), F.lit(0.0).alias("wape_std"))
-    return scored.withColumn("fold_wapes", F.when(is_finite(F.col("wape")), F.format_string("%.4f", "wape")).otherwise("inf"))
+    return scored.withColumn("fold_wapes", F.when(is_finite(F.col("wape")), four_digits(F.col("wape"))).otherwise("inf"))
 
 
 def fold_frame(tested: DataFrame, id_col: str, extra: Sequence[Column] = ()) -> DataFrame:
