@@ -219,6 +219,14 @@ def test_fold_wapes_round_the_exact_value(spark, weekly):
     assert {r["item_id"]: r["fold_wapes"] for r in rows} == {k: f"{wrong / total:.4f}" for k, (wrong, total) in cases.items()}
 
 
+def test_win_shares_on_a_tie_go_up(spark):
+    """1, 3 and 12 of 16 series: 6.25, 18.75 and 75 per cent, as SQL's round() shows them."""
+    won = ["tsb"] + ["imapa"] * 3 + ["global_avg"] * 12
+    e = scores(spark, [(f"s{i}", m, 0.5, 0.5) for i, m in enumerate(won)])
+    got = {r["model"]: r["win_pct"] for r in summarize_results(select_best_fit(e, "item_id"), e, "item_id").collect()}
+    assert got == {"tsb": 6.3, "imapa": 18.8, "global_avg": 75.0}
+
+
 @pytest.mark.parametrize("gap", [1, 7, 10])
 def test_python_models_get_the_dates_of_the_series(spark, gap):
     """Daily, weekly and gappy rows: the dates are those of the training rows."""

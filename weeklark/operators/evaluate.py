@@ -97,6 +97,7 @@ def select_best_fit(
 def summarize_results(best_fit_df: DataFrame, eval_df: DataFrame, id_col: str, inactive_df: DataFrame | None = None) -> DataFrame:
     """One row per winning model, most wins first: wins, share, medians of finite metrics, demand-weighted WAPE, median spread.
 
+    A share on a tie is rounded up, as in SQL (pandas would take the even digit).
     ``inactive_df`` is accepted for the sake of callers and not used.
     """
     wins = best_fit_df.groupBy(F.col("best_model").alias("model")).agg(F.count(F.lit(1)).alias("wins"), F.median("wape_std").alias("median_wape_std"))
@@ -107,5 +108,5 @@ def summarize_results(best_fit_df: DataFrame, eval_df: DataFrame, id_col: str, i
         F.when(F.sum("total_actual") > 0, F.sum(F.col("wape") * F.col("total_actual")) / F.nullif(F.sum("total_actual"), F.lit(0.0))).otherwise(nan()).alias("demand_weighted_wape"))
     joined = wins.crossJoin(n).join(per, "model", "left")  # n is one row
     return joined.select(
-        "model", "wins", F.bround(F.col("wins") * 100.0 / F.col("__n"), 1).alias("win_pct"), "median_wape", "median_mase", "demand_weighted_wape", "median_wape_std",
+        "model", "wins", F.round(F.col("wins") * 100.0 / F.col("__n"), 1).alias("win_pct"), "median_wape", "median_mase", "demand_weighted_wape", "median_wape_std",
     ).orderBy(F.col("wins").desc(), "model")
