@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weeklark import cli
 from weeklark.functions import registry
-from weeklark.operators import gbt
+from weeklark.operators import boost, gbt
 from weeklark.operators.activity import flag_inactive_items
 from weeklark.operators.diagnostics import get_diagnostics
 from weeklark.operators.evaluate import evaluate_benchmarks, select_best_fit, summarize_results
@@ -227,6 +227,69 @@ def test_win_shares_on_a_tie_go_up(spark):
     assert got == {"tsb": 6.3, "imapa": 18.8, "global_avg": 75.0}
 
 
+@pytest.fixture(scope="module")
+def tree_rows(spark):
+    """Three features of 9, 30 and 64 values, and a label that they don't explain wholly."""
+    rng = np.random.default_rng(8)
+    x = np.stack([rng.integers(0, k, 3000) for k in (9, 30, 64)], axis=1).astype(float)
+    y = x[:, 0] * x[:, 1] + np.sin(x[:, 2]) * 20 + rng.normal(0, 5, len(x))
+    return x, y, spark.createDataFrame(np.column_stack([x, y]).tolist(), "a double, b double, c double, y double").repartition(5)
+
+
+@pytest.mark.parametrize("workers", [1, 3])
+def test_trees_are_those_of_spark(spark, tree_rows, workers):
+    """Without its random choices, the fit is GBTRegressor's, on one worker as on several."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    x, _, df = tree_rows
+    rows = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df).withColumnRenamed("y", "label")
+    model = GBTRegressor(maxIter=8, maxDepth=4, stepSize=0.1, minInstancesPerNode=20, maxBins=64, featureSubsetStrategy="all", seed=1).fit(rows)
+    found = gbt.as_trees(boost.fit(df, 8, 4, 0.1, 20, rate=1.0, share=1.0, seed=1, workers=workers))
+    assert found.predict(x) == pytest.approx(gbt.parse_trees(model.toDebugString).predict(x), abs=1e-8)
+
+
+def test_trees_cost_no_jobs(spark, weekly):
+    """The table is read for the candidates and dealt to the workers once, not scanned again for every level of every tree."""
+    rng = np.random.default_rng(2)
+    df = normalise(weekly({"a": rng.integers(0, 9, 260), "b": rng.integers(0, 9, 260)}), *NAMES)
+    spark.sparkContext.setJobGroup("trees", "")
+    try:
+        assert len(gbt.train(df, 52, max_iter=30).roots) == 30
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("trees")) < 30
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_random_choices_repeat_and_every_row_counts(tree_rows):
+    _, y, df = tree_rows
+    one, two = (boost.fit(df, 3, 3, 0.1, 20, rate=0.8, share=0.8, seed=5, workers=2) for _ in range(2))
+    assert one == two and one != boost.fit(df, 3, 3, 0.1, 20, rate=0.8, share=0.8, seed=6, workers=2)
+    [(weight, [stump])] = boost.fit(df, 1, 0, 0.1, 20, rate=1.0, share=1.0, seed=5, workers=3)
+    assert weight == 1.0 and stump[0] == -1 and stump[4] == pytest.approx(y.mean())
+
+
+def test_quantiles_of_features_see_all_rows():
+    """Thresholds of a feature of very many values cut the rows into near equal parts, whatever the parts they came in."""
+    rng = np.random.default_rng(3)
+    parts, values = [], []
+    for k in range(7):
+        x = rng.exponential(k + 1, 20_000 * (k + 1))
+        values.append(x)
+        v, c = boost._condensed(x, np.ones(len(x)), boost.POINTS)
+        parts.append({"k": 0, "v": v, "c": c})
+    [edges], rows = boost._edges(parts, 1)
+    every = np.sort(np.concatenate(values))
+    shares = np.diff(np.searchsorted(every, edges), prepend=0, append=len(every)) / len(every)
+    assert rows == len(every) and len(edges) == 63 and np.abs(shares - 1 / 64).max() < 1 / 256
+
+
+def test_trees_refuse_null_demand(spark, weekly):
+    df = normalise(weekly({"a": range(1, 200)}), *NAMES).withColumn("__y", F.when(F.col("__y") != 120, F.col("__y")))
+    with pytest.raises(Exception, match="null or not finite"):
+        gbt.train(df, 52, max_iter=2)
+
+
 @pytest.mark.parametrize("gap", [1, 7, 10])
 def test_python_models_get_the_dates_of_the_series(spark, gap):
     """Daily, weekly and gappy rows: the dates are those of the training rows."""

@@ -20,6 +20,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.calendar import horizon_dates, iso_week
 from ..schema import DATE, ID, Y, ensure_importable
+from . import boost
 from .series import indexed
 
 # The features in order, lags and rolling widths.
@@ -76,18 +77,21 @@ class Trees:
     weights: np.ndarray
 
     def predict(self, x: np.ndarray) -> np.ndarray:
+        # A leaf leads to itself, so that all rows take as many steps as the deepest tree has.
+        inner, me = self.feature >= 0, np.arange(len(self.feature))
+        feature = np.where(inner, self.feature, 0)
+        after = np.stack([np.where(inner, self.right, me), np.where(inner, self.left, me)], axis=1)
+        depth, reached = 0, self.roots
+        while len(reached := reached[inner[reached]]):
+            depth, reached = depth + 1, after[reached].ravel()
+        after, flat, start = after.ravel(), np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
         out = np.zeros(len(x))
-        rows = np.arange(len(x))
         for root, weight in zip(self.roots.tolist(), self.weights.tolist(), strict=True):
             node = np.full(len(x), root)
-            while True:
-                f = self.feature[node]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                goes_left = x[rows, np.maximum(f, 0)] <= self.threshold[node]
-                node = np.where(inner, np.where(goes_left, self.left[node], self.right[node]), node)
-            out += weight * self.value[node]
+            for _ in range(depth):
+                goes_left = flat.take(start + feature.take(node)) <= self.threshold.take(node)
+                node = after.take(2 * node + goes_left)
+            out += weight * self.value.take(node)
         return out
 
 
@@ -134,17 +138,18 @@ def parse_trees(text: str) -> Trees:
 
 def train(df: DataFrame, holdout: int, max_iter: int = 200, max_depth: int = 6, step_size: float = 0.05, min_instances: int = 20, seed: int = 42) -> Trees | None:
     """Fit on all rows of all series; None where there are none."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(df, holdout)).select("features", F.col(Y).alias("label"))
-    if not rows.take(1):
-        return None
-    fitted = GBTRegressor(
-        maxIter=max_iter, maxDepth=max_depth, stepSize=step_size, minInstancesPerNode=min_instances, subsamplingRate=0.8,
-        featureSubsetStrategy="0.8", seed=seed, maxBins=64, cacheNodeIds=False,
-    ).fit(rows)
-    return parse_trees(fitted.toDebugString)
+    rows = features(df, holdout).select(*FEATURES, F.col(Y))
+    found = boost.fit(rows, max_iter, max_depth, step_size, min_instances, rate=0.8, share=0.8, seed=seed)
+    return as_trees(found) if found else None
+
+
+def as_trees(found: list[tuple[float, list]]) -> Trees:
+    """Trees from the (weight, nodes) of each."""
+    sizes = [len(nodes) for _, nodes in found]
+    roots = np.cumsum([0, *sizes[:-1]])
+    nodes = [(f, t, *(c + root if f >= 0 else -1 for c in (left, right)), v) for root, (_, own) in zip(roots.tolist(), found, strict=True) for f, t, left, right, v in own]
+    feature, threshold, left, right, value = (np.array(x) for x in zip(*nodes, strict=True))
+    return Trees(feature, threshold, left, right, value, roots, np.array([weight for weight, _ in found]))
 
 
 def predict_batch(trees: Trees, histories: list[np.ndarray], weeks: np.ndarray, months: np.ndarray) -> np.ndarray:
