@@ -284,6 +284,11 @@ def test_quantiles_of_features_see_all_rows():
     assert rows == len(every) and len(edges) == 63 and np.abs(shares - 1 / 64).max() < 1 / 256
 
 
+def test_trees_learn_from_long_series_only(weekly):
+    df = normalise(weekly({"a": [1] * 200, "b": [1] * 199}), *NAMES)
+    assert {(r[ID], r["t"]) for r in gbt.features(df, 52, 200).select(ID, "t").collect()} == {("a", t) for t in range(52, 148)}
+
+
 def test_trees_refuse_null_demand(spark, weekly):
     df = normalise(weekly({"a": range(1, 200)}), *NAMES).withColumn("__y", F.when(F.col("__y") != 120, F.col("__y")))
     with pytest.raises(Exception, match="null or not finite"):

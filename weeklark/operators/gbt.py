@@ -38,9 +38,9 @@ def _cv(k: Column, s: Column, q: Column) -> Column:
     return F.when((k > 1) & (mean > 0), F.sqrt(var) / F.nullif(mean, F.lit(0.0))).otherwise(0.0)
 
 
-def features(df: DataFrame, holdout: int = 0) -> DataFrame:
-    """(id, date, t, y, the features) for rows t >= 52 of the part before the holdout. Needs internal names; one shuffle."""
-    rows = indexed(df).filter(F.col("i") < F.col("n") - holdout)
+def features(df: DataFrame, holdout: int = 0, least: int = 0) -> DataFrame:
+    """(id, date, t, y, the features) for rows t >= 52 of the part before the holdout, of series of ``least`` rows. Needs internal names; one shuffle."""
+    rows = indexed(df).filter((F.col("i") < F.col("n") - holdout) & (F.col("n") >= least))
     order = Window.partitionBy(ID).orderBy("i")
     before = lambda k: order.rowsBetween(-k, -1)
     prefix = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -136,9 +136,9 @@ def parse_trees(text: str) -> Trees:
     return Trees(*(np.array(x) for x in (feature, threshold, left, right, value, roots, weights)))
 
 
-def train(df: DataFrame, holdout: int, max_iter: int = 200, max_depth: int = 6, step_size: float = 0.05, min_instances: int = 20, seed: int = 42) -> Trees | None:
-    """Fit on all rows of all series; None where there are none."""
-    rows = features(df, holdout).select(*FEATURES, F.col(Y))
+def train(df: DataFrame, holdout: int, max_iter: int = 200, max_depth: int = 6, step_size: float = 0.05, min_instances: int = 20, seed: int = 42, least: int = 0) -> Trees | None:
+    """Fit on all rows of all series of ``least`` rows; None where there are none."""
+    rows = features(df, holdout, least).select(*FEATURES, F.col(Y))
     found = boost.fit(rows, max_iter, max_depth, step_size, min_instances, rate=0.8, share=0.8, seed=seed)
     return as_trees(found) if found else None
 

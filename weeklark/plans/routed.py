@@ -67,8 +67,7 @@ def generate_fold_details(
     long_enough = F.col("n") >= least
     trained = None
     if kind == "gbt":
-        long_ids = plain.groupBy(ID).agg(F.count(F.lit(1)).alias("n")).filter(long_enough).select(ID)
-        trained = gbt.train(plain.join(long_ids, ID, "left_semi"), eval_window, **(gbt_options or {}))
+        trained = gbt.train(plain, eval_window, least=least, **(gbt_options or {}))
 
     flat_name = GBT_FLAT if kind == "gbt" else "global_avg"
     flat = _one(flat_name, flat_forecast(eval_window))
