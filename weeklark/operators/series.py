@@ -54,18 +54,24 @@ def indexed(df: DataFrame) -> DataFrame:
     return rows.withColumn("year_no", F.sum("__new").over(by_date)).drop("__new")
 
 
-def series_table(df: DataFrame, holdout: int = 0, min_rows: int = 0, decay: float = DECAY) -> DataFrame:
+def series_table(df: DataFrame, holdout: int = 0, min_rows: int = 0, decay: float = DECAY, profiles: bool = True) -> DataFrame:
     """One row per series of at least ``min_rows`` rows. Rows of a null date go; equal dates sort by demand.
 
     Columns: id, n, m (training rows), y (training demand), train_dates,
     weeks, last (last training date), test, test_dates, and by ISO week 1..53 (null for
     unseen weeks) the mean, median and weighted mean of the training part;
-    gmean, gmedian, overall (mean of week means).
+    gmean, gmedian, overall (mean of week means). Without ``profiles``, none
+    by ISO week, nor weeks, gmedian and overall.
     """
     rows = df.filter(F.col(DATE).isNotNull()).groupBy(ID).agg(F.sort_array(F.collect_list(F.struct(F.col(DATE).alias("d"), F.col(Y).alias("y")))).alias("rows"))
     n = F.size("rows")
     m = F.greatest(n - holdout, F.lit(0))
     sized = rows.filter(n >= min_rows).select(ID, n.alias("n"), m.alias("m"), F.slice("rows", F.lit(1), m).alias("head"), F.slice("rows", m + 1, F.greatest(n - m, F.lit(0))).alias("tail"))
+    if not profiles:
+        plain = settled(settled(sized).select(
+            ID, "n", "m", F.transform("head", lambda r: r["y"]).alias("y"), F.transform("head", lambda r: r["d"]).alias("train_dates"), F.get("head", F.col("m") - 1)["d"].alias("last"),
+            F.transform("tail", lambda r: r["y"]).alias("test"), F.transform("tail", lambda r: r["d"]).alias("test_dates")))
+        return settled(plain.withColumn("gmean", mean_of(F.col("y"))))
     years = F.array_distinct(F.transform("head", lambda r: F.year(r["d"])))
     # By week, then demand: a week's rows stand together, in order of demand.
     weighted = let(years, lambda ys: F.transform("head", lambda r: F.struct(

@@ -72,7 +72,8 @@ def generate_fold_details(
     flat_name = GBT_FLAT if kind == "gbt" else "global_avg"
     flat = _one(flat_name, flat_forecast(eval_window))
     # Every series in one pass, whatever becomes of it.
-    tested = _routed(series_table(plain, eval_window, eval_window), long_enough, eval_window, kind, fitted, trained)
+    profiles = kind != "gbt"
+    tested = _routed(series_table(plain, eval_window, eval_window, profiles=profiles), long_enough, eval_window, kind, fitted, trained)
     if not grouped:
         both = tested.withColumn(FORECASTS, F.when(long_enough, F.col(FORECASTS)).otherwise(flat))
         return _folds(both, id_col, F.when(long_enough, "direct").otherwise("global_avg_fallback"))
@@ -81,7 +82,7 @@ def generate_fold_details(
     calendar = group_calendar(sums, eval_window)
     short_ids = rows.groupBy(ID).agg(F.count(F.lit(1)).alias("n")).filter(~long_enough).select(ID)
     shares = item_shares(rows.join(short_ids, ID, "left_semi"), calendar, new_item_share)
-    by_group = _routed(series_table(sums, eval_window, least), F.lit(True), eval_window, kind, fitted, trained).select(
+    by_group = _routed(series_table(sums, eval_window, least, profiles=profiles), F.lit(True), eval_window, kind, fitted, trained).select(
         F.col(ID).alias(GRP), F.col("category").alias("__category"), F.col(FORECASTS).alias("__of_group"))
     # A group too short for models of its own has no row in by_group; a series of a null group has no share.
     lent = shares.join(by_group, GRP, "left").select(ID, "share", "__category", "__of_group")
